@@ -102,6 +102,17 @@ def _visits(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, reach: n
     return visits.select("rep", "vec", F.explode("cells").alias("cell"))
 
 
+def _smallest(steps: np.ndarray, k: int) -> np.ndarray:
+    """Column numbers of the k smallest whole-number distances per row; ties go to the smaller column."""
+    columns = steps.shape[1]
+    if k >= columns or steps.max() * columns >= 2.0**62:
+        return np.argsort(steps, 1, kind="stable")[:, :k]
+    keys = steps.astype("int64") * columns + np.arange(columns)
+    near = np.argpartition(keys, k - 1, 1)[:, :k]
+    order = np.argsort(np.take_along_axis(keys, near, 1), 1)
+    return np.take_along_axis(near, order, 1)
+
+
 def _block_top(k: int, cosine: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -113,8 +124,9 @@ def _block_top(k: int, cosine: bool):
             distance = 1.0 - query @ data.T
         else:
             distance = np.maximum((query * query).sum(1)[:, None] + (data * data).sum(1)[None, :] - 2.0 * query @ data.T, 0.0)
-        distance = np.floor(distance * QUANTUM + 0.5) / QUANTUM
-        best = np.argsort(distance, 1, kind="stable")[:, :k]  # stable: equal distances stay in id order
+        steps = np.floor(distance * QUANTUM + 0.5)
+        best = _smallest(steps, k)
+        distance = steps / QUANTUM
         width = best.shape[1]
         return pd.DataFrame({
             "rep": np.repeat(asked, width), "other": ids[best].ravel(),
@@ -124,26 +136,28 @@ def _block_top(k: int, cosine: bool):
     return run
 
 
-def _blocks(rows: np.ndarray | dict, cells: int) -> Column:
+def _blocks(rows: list[int]) -> Column:
     """Literal array: number of blocks of each cell."""
-    return F.array(*[F.lit(max(1, math.ceil(int(rows[c]) / CELL_ROWS))) for c in range(cells)])
+    return F.array(*[F.lit(max(1, math.ceil(int(n) / CELL_ROWS))) for n in rows])
 
 
 def _distinct_neighbours(data: DataFrame, queries: DataFrame, k: int, cosine: bool, probes: int | None) -> DataFrame:
     """Top k distinct vectors of every distinct query vector: (rep, other, distance)."""
     n = data.count()
     cells = min(MAX_PIVOTS, max(1, n // CELL_ROWS)) if probes is None else min(MAX_PIVOTS, max(1, math.isqrt(n)))
-    pivots = _pivots(data, cells)
-    cells = len(pivots)
-    if cells == 0:
-        return data.limit(0).select(F.col("rep"), F.col("rep").alias("other"), F.lit(0.0).alias("distance"))
-    assigned = _assign(data, pivots)
-    rows, radius, reach = _cell_bounds(assigned, cells, k)
-    visits = _visits(queries, pivots, radius, reach, probes)
-    visiting = {c: 0 for c in range(cells)}
-    visiting.update({r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()})
-
-    data_blocks, query_blocks = _blocks(rows, cells), _blocks(visiting, cells)
+    if cells == 1:
+        assigned, visits = data.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
+        rows, visiting = [n], [queries.count()]
+    else:
+        pivots = _pivots(data, cells)
+        assigned = _assign(data, pivots).persist()
+        rows, radius, reach = _cell_bounds(assigned, cells, k)
+        visits = _visits(queries, pivots, radius, reach, probes)
+        visiting = [0] * cells
+        for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect():  # one row per pivot
+            visiting[r.cell] = r.n
+
+    data_blocks, query_blocks = _blocks(rows), _blocks(visiting)
     here = F.col("cell") + 1
     left = visits.withColumn(
         "qb", F.pmod(F.xxhash64("rep"), F.element_at(query_blocks, here)).cast("int")).withColumn(
@@ -152,6 +166,7 @@ def _distinct_neighbours(data: DataFrame, queries: DataFrame, k: int, cosine: bo
         "db", F.pmod(F.xxhash64("rep"), F.element_at(data_blocks, here)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.element_at(query_blocks, here) - 1)))
     keys = ["cell", "qb", "db"]
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # own attributes: both sides may be the same table
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         _block_top(k, cosine), "rep bigint, other bigint, distance double")
     return _first(partial, ["rep"], [F.col("distance"), F.col("other")], k)

@@ -86,47 +86,58 @@ def previous_day(df: DataFrame, group: str, day: str, id_column: str) -> DataFra
     return joined.withColumn("previous_day", back).drop("_first", "_previous")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], splits: int = 64) -> DataFrame:
-    """Exact linearly interpolated quantiles of many columns: rows (feature, probability, quantile).
-
-    Equal values are merged before the shuffle. Approximate splitters cut each feature into ranges; only
-    range counts are accumulated in order, and only the ranges that hold a wanted rank are sorted.
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
+                    splits: int = 64) -> dict[str, dict[float, float]]:
+    """Exact linearly interpolated quantiles of many columns: {column: {probability: quantile}}.
+
+    Equal values are merged before the shuffle. Approximate splitters cut each column into ranges; only
+    range counts are accumulated in order, and only the ranges that hold a wanted rank are sorted. What
+    reaches the driver is bounded by columns x splits. The splitters are fetched once, so that every later
+    pass sees the same ranges.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    spark = df.sparkSession
+    pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
     counted = (
         df.select(F.explode(pairs).alias("p")).select("p.*").filter("v IS NOT NULL")
-        .groupBy("feature", "v").agg(F.count("*").alias("n"))
+        .groupBy("f", "v").agg(F.count("*").alias("n")).persist()
     )
     grid = [i / splits for i in range(1, splits)]
-    splitters = counted.groupBy("feature").agg(
-        F.percentile_approx("v", grid, 1000).alias("cuts"), F.sum("n").alias("total"))
-    # One row per feature: the number of columns bounds this side.
-    ranged = counted.join(F.broadcast(splitters), "feature").withColumn(
-        "part", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
-    ranges = ranged.groupBy("feature", "part").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
-    ranges = ranges.withColumn("start", _before(F.col("n"), ["feature"], ["part"]))
-
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("probability"), side.alias("rank"))
-        for p in probabilities
-        for side in (F.floor(F.lit(float(p)) * (F.col("total") - 1)), F.ceil(F.lit(float(p)) * (F.col("total") - 1)))
-    ])
-    targets = (
-        ranges.select("feature", "part", "n", "start", "total", F.explode(wanted).alias("w"))
-        .select("feature", "part", "start", "total", "w.*", "n").distinct()
-        .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-        .select("feature", "part", "start", "total", "probability", "rank")
-    )
-    # At most two ranks per feature and probability.
-    hits = ranged.select("feature", "part", "v", "n").join(
-        F.broadcast(targets.select("feature", "part", "start").distinct()), ["feature", "part"])
-    placed = hits.withColumn("lo", F.col("start") + _before(F.col("n"), ["feature", "part"], ["v"]))
-    found = placed.join(F.broadcast(targets.drop("start")), ["feature", "part"]).filter(
-        (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("n")))
-    share = F.col("probability") * (F.col("total") - 1) - F.floor(F.col("probability") * (F.col("total") - 1))
-    return found.groupBy("feature", "probability", "total").agg(
-        F.min_by("v", "rank").alias("low"), F.max_by("v", "rank").alias("high")
-    ).select("feature", "probability", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("quantile"))
+    cuts = counted.groupBy("f").agg(F.percentile_approx("v", grid, 1000).alias("cuts"), F.sum("n").alias("total")).collect()
+    edges = spark.createDataFrame([(r.f, r.cuts) for r in cuts], "f int, cuts array<double>")
+    ranged = counted.join(F.broadcast(edges), "f").select(
+        "f", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
+
+    starts: dict[int, list[tuple[int, int, int]]] = {}
+    for r in sorted(ranged.groupBy("f", "part").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.f, r.part)):
+        known = starts.setdefault(r.f, [])
+        begin = known[-1][2] if known else 0
+        known.append((r.part, begin, begin + r.n))
+
+    def wanted_ranks(total: int, p: float) -> tuple[int, int]:
+        return math.floor(p * (total - 1)), math.ceil(p * (total - 1))
+
+    totals = {r.f: r.total for r in cuts}
+    targets = sorted({
+        (f, part, begin, rank)
+        for f, total in totals.items() for p in probabilities for rank in wanted_ranks(total, p)
+        for part, begin, end in starts[f] if begin <= rank < end})
+    if not targets:
+        return {c: {} for c in columns}
+    wanted = spark.createDataFrame(targets, "f int, part int, begin bigint, rank bigint")
+    hits = ranged.join(F.broadcast(wanted.select("f", "part", "begin").distinct()), ["f", "part"])
+    placed = hits.withColumn("low", F.col("begin") + _before(F.col("n"), ["f", "part"], ["v"]))
+    at_rank = placed.join(F.broadcast(wanted.select("f", "part", "rank")), ["f", "part"]).filter(
+        (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n")))
+    value = {(r.f, r.rank): r.v for r in at_rank.select("f", "rank", "v").collect()}  # two per column and probability
+    counted.unpersist()
+
+    out: dict[str, dict[float, float]] = {c: {} for c in columns}
+    for f, total in totals.items():
+        for p in probabilities:
+            low, high = wanted_ranks(total, p)
+            share = p * (total - 1) - low
+            out[columns[f]][p] = value[f, low] + (value[f, high] - value[f, low]) * share
+    return out
 
 
 def page(df: DataFrame, key: list[str], skip: int = 0, limit: int = 100) -> DataFrame:

@@ -37,9 +37,7 @@ class RobustScale:
 
     @staticmethod
     def fit(df: DataFrame, columns: list[str]) -> RobustScale:
-        found: dict[str, dict[float, float]] = {c: {} for c in columns}
-        for r in exact_quantiles(df, columns, [0.25, 0.5, 0.75]).collect():  # three rows per column
-            found[r.feature][r.probability] = r.quantile
+        found = {c: q for c, q in exact_quantiles(df, columns, [0.25, 0.5, 0.75]).items() if q}
         centre = {c: q[0.5] for c, q in found.items()}
         spread = {c: (q[0.75] - q[0.25]) or 1.0 for c, q in found.items()}
         return RobustScale(centre, spread)

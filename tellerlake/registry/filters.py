@@ -122,11 +122,11 @@ def _(c: Context):
 
 
 @query("customers_for_product", "customer_id s",
-       "SELECT member_id AS customer_id FROM rule_top WHERE product_name=(SELECT product_name FROM financial_products WHERE product_id=10)")
+       "SELECT member_id AS customer_id FROM rule_top WHERE product_name=(SELECT product_name FROM financial_products WHERE product_id=6)")
 def _(c: Context):
     from .recommend import rule_docs
 
-    name = c.src.financial_products.filter("product_id = 10").first().product_name
+    name = c.src.financial_products.filter("product_id = 6").first().product_name
     return D.with_product(rule_docs(c), name)
 
 
