@@ -84,7 +84,10 @@ def last_mark(spark: SparkSession, folder: str, job: str) -> int:
 
 
 def _append(spark: SparkSession, row: tuple, schema: str, path: str) -> None:
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+    """Append one literal row; it is built in the JVM, no Python worker starts for it."""
+    fields = [field.split() for field in schema.split(", ")]
+    values = [F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, fields, strict=True)]
+    spark.range(0, 1, 1, 1).select(*values).write.mode("append").parquet(path)
 
 
 def run(spark: SparkSession, jobs: list[Job], folder: str, names: list[str] | None = None) -> DataFrame:

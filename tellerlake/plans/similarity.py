@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -22,6 +24,7 @@ from .rules import _phrases, best_per_customer
 NEIGHBOURS_KEPT, NEIGHBOURS_ASKED, NEIGHBOURS_WEIGHTED = 50, 15, 10
 SEGMENTS, RESTARTS, COMPONENTS, SEED = 10, 10, 15, 42
 NEUTRAL_SIMILARITY = 50.0
+PARALLEL_FITS = 4
 
 
 def clean_features(features: DataFrame) -> DataFrame:
@@ -71,11 +74,14 @@ def segments(vectors: DataFrame, k: int = SEGMENTS, restarts: int = RESTARTS, se
     """Best of several k-means runs by training cost, and each row with its segment."""
     cached = vectors.persist()
     k = max(2, min(k, cached.count()))
-    best = None
-    for run in range(restarts):
-        model = KMeans(k=k, seed=seed + run, featuresCol="features", predictionCol="segment").fit(cached)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+
+    def fit(run: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + run, featuresCol="features", predictionCol="segment").fit(cached)
+
+    # Restarts are independent jobs: a few at a time keep the cluster busy between iterations.
+    with ThreadPool(min(PARALLEL_FITS, restarts)) as pool:
+        models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
+    best = min(models, key=lambda m: m.summary.trainingCost)
     return best, best.transform(cached)
 
 

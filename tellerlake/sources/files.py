@@ -49,11 +49,12 @@ def sink_json(df: DataFrame, path: str) -> None:
 def append_fact(df: DataFrame, path: str, date_key: str) -> None:
     """Append fact rows, laid out by year and month of their YYYYMMDD key for partition pruning.
 
-    No shuffle: each task writes the months it holds, so a hot month is spread over all writers.
+    Rebalancing gathers a month into few files of the advisory size and splits a hot month over tasks.
     """
     (
         df.withColumn("key_year", F.floor(F.col(date_key) / 10000).cast("int"))
         .withColumn("key_month", F.floor(F.col(date_key) / 100).cast("int") % 100)
+        .hint("rebalance", "key_year", "key_month")
         .write.mode("append")
         .partitionBy("key_year", "key_month")
         .parquet(path)
