@@ -231,11 +231,12 @@ TABLES["scaled_features"] = "SELECT customer_id, " + ", ".join(
 TABLES["feature_lists"] = f"SELECT customer_id, [{', '.join(FEATURES)}] AS f FROM scaled_features"
 TABLES["unit_lists"] = """
 SELECT customer_id, list_transform(f, lambda x: x/sqrt(list_dot_product(f,f))) AS u FROM feature_lists"""
-TABLES["similar_rows"] = f"""
+TABLES["similar_ranked"] = f"""
 SELECT customer_id, similar_customer_id, rank, {hu('greatest(0.0,1.0-distance)',3)} AS similarity_score FROM (
  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY distance, similar_customer_id) AS rank FROM (
   SELECT a.customer_id, b.customer_id AS similar_customer_id, {hu('1.0-list_dot_product(a.u,b.u)',9)} AS distance FROM unit_lists a CROSS JOIN unit_lists b))
-WHERE rank<=15"""
+WHERE rank<=50"""
+TABLES["similar_rows"] = "SELECT * FROM similar_ranked WHERE rank<=15"
 TABLES["similarity_scores"] = f"""
 SELECT customer_id, {hu('CASE WHEN w>0 THEN CAST(q AS DOUBLE)*80/(CAST(w AS DOUBLE)*1000) ELSE 50.0 END',6)} AS similarity_score FROM (
  SELECT customer_id, sum(t*t) AS q, sum(t) AS w FROM (SELECT customer_id, CAST(floor(similarity_score*1000+0.5) AS BIGINT) AS t FROM similar_rows WHERE rank<=10) GROUP BY 1)"""

@@ -206,7 +206,12 @@ def _(c: Context):
     return scaled.withColumns({n: half_up(F.col(n), 6) for n in FEATURES})
 
 
-@query("cosine_knn", "customer_id b, similar_customer_id b, similarity_score d, rank b", "SELECT * FROM similar_rows")
+@query("cosine_knn", "customer_id b, similar_customer_id b, similarity_score d, rank b", "SELECT * FROM similar_ranked")
+def _(c: Context):
+    return S.customer_neighbours(fitted(c)[1], S.NEIGHBOURS_KEPT)
+
+
+@query("top_k_neighbours", "customer_id b, similar_customer_id b, similarity_score d, rank b", "SELECT * FROM similar_rows")
 def _(c: Context):
     return S.customer_neighbours(fitted(c)[1])
 

@@ -105,6 +105,16 @@ def _(c: Context):
     return c.wh.fact_financial_health
 
 
+@query("liquid_assets", "health_key b, total_liquid_assets d", "SELECT * FROM fact_financial_health")
+def _(c: Context):
+    return c.wh.fact_financial_health
+
+
+@query("debt_to_assets", "health_key b, debt_to_assets_ratio d", "SELECT * FROM fact_financial_health")
+def _(c: Context):
+    return c.wh.fact_financial_health
+
+
 @query("credit_score_tier", "metric_id b, credit_score_tier s", "SELECT * FROM fact_financial_health")
 def _(c: Context):
     return c.src.financial_health_metrics.select("metric_id", B.credit_score_tier(F.col("credit_score")).alias("credit_score_tier"))
@@ -136,11 +146,15 @@ def _(c: Context):
     return c.raw("orders").select("o_orderkey", *[v.alias(n) for n, v in DT.calendar_columns(F.to_date("o_orderdate")).items()])
 
 
-@query("encode_risk", "metric_id b, code b, back s",
-       "SELECT metric_id, CASE risk_category WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END AS code, risk_category AS back FROM financial_health_metrics")
+@query("encode_risk", "metric_id b, code b",
+       "SELECT metric_id, CASE risk_category WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END AS code FROM financial_health_metrics")
+def _(c: Context):
+    return c.src.financial_health_metrics.select("metric_id", E.encode_risk(F.col("risk_category")).alias("code"))
+
+
+@query("decode_risk", "metric_id b, decoded s", "SELECT metric_id, risk_category AS decoded FROM financial_health_metrics")
 def _(c: Context):
-    coded = c.src.financial_health_metrics.select("metric_id", E.encode_risk(F.col("risk_category")).alias("code"))
-    return coded.withColumn("back", E.decode_risk(F.col("code")))
+    return c.src.financial_health_metrics.select("metric_id", E.decode_risk(E.encode_risk(F.col("risk_category"))).alias("decoded"))
 
 
 @query("encode_status", "member_id b, code b", "SELECT member_id, CASE member_status WHEN 'active' THEN 1 WHEN 'suspended' THEN -1 ELSE 0 END AS code FROM members")
@@ -153,11 +167,14 @@ def _(c: Context):
     return c.src.credit_cards.select("card_id", ratio_or_zero(F.col("current_balance"), F.col("credit_limit")).alias("ratio"))
 
 
-@query("tenure_days", "member_id b, tenure_days b, age b",
-       f"SELECT member_id, datediff('day',member_since,{A}) AS tenure_days, datediff('day',date_of_birth,{A})//365 AS age FROM members")
+@query("tenure_days", "member_id b, tenure_days b", f"SELECT member_id, datediff('day',member_since,{A}) AS tenure_days FROM members")
+def _(c: Context):
+    return c.src.members.select("member_id", DT.days_since(F.col("member_since"), c.asof).alias("tenure_days"))
+
+
+@query("age", "member_id b, age b", f"SELECT member_id, datediff('day',date_of_birth,{A})//365 AS age FROM members")
 def _(c: Context):
-    return c.src.members.select("member_id", DT.days_since(F.col("member_since"), c.asof).alias("tenure_days"),
-                                F.floor(DT.days_since(F.col("date_of_birth"), c.asof) / 365).alias("age"))
+    return c.src.member_ids.select("member_id", F.floor(DT.days_since(F.col("date_of_birth"), c.asof) / 365).alias("age"))
 
 
 @query("coalesce_profile_defaults", "member_id b, age_group s, income_bracket s, member_tenure_months b, total_products_owned b, financial_stability_score d, payment_trend s",
