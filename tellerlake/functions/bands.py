@@ -53,7 +53,7 @@ def age_group(birth: Column, asof: Column) -> Column:
 def region(state: Column) -> Column:
     expr = F.when(F.coalesce(state, F.lit("")) == "", UNKNOWN)
     for name, states in REGION_STATES.items():
-        expr = expr.when(F.upper(state).isin(states), name)
+        expr = expr.when(F.find_in_set(F.upper(state), F.lit(",".join(states))) > 0, name)
     return expr.otherwise("Other")
 
 

@@ -96,9 +96,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     pass sees the same ranges.
     """
     spark = df.sparkSession
-    pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(columns))
     counted = (
-        df.select(F.explode(pairs).alias("p")).select("p.*").filter("v IS NOT NULL")
+        df.selectExpr(f"stack({len(columns)}, {long}) AS (f, v)").filter("v IS NOT NULL")
         .groupBy("f", "v").agg(F.count("*").alias("n")).persist()
     )
     grid = [i / splits for i in range(1, splits)]

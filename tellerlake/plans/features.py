@@ -221,4 +221,4 @@ def dw_features(members: DataFrame, health: DataFrame, cards: DataFrame, payment
         **E.bracket_flags(F.coalesce(F.col("credit_score"), F.lit(0)), E.CREDIT_FLAGS),
     })
     filled = derived.fillna(0, subset=[c for c in DW_FEATURES if c != "savings_rate"])
-    return filled.select(F.col("member_id").alias("customer_id"), *[num(c).alias(c) for c in DW_FEATURES])
+    return filled.selectExpr("member_id AS customer_id", *[f"CAST({c} AS DOUBLE) AS {c}" for c in DW_FEATURES])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encodings import decode_risk
-from ..functions.numbers import finite_or_zero, half_up, num, points
+from ..functions.numbers import half_up, num, points
 from ..operators.neighbours import nearest
 from ..operators.ordered import exact_quantiles
 from ..operators.pairing import pair_with
@@ -28,7 +28,9 @@ PARALLEL_FITS = 4
 
 
 def clean_features(features: DataFrame) -> DataFrame:
-    return features.select("customer_id", *[finite_or_zero(F.col(c)).alias(c) for c in DW_FEATURES])
+    """NaN, null and infinities of every feature become 0 (bulk form of ``finite_or_zero``)."""
+    clean = "CASE WHEN {0} IS NULL OR isnan({0}) OR abs({0}) = double('Infinity') THEN 0.0D ELSE {0} END AS {0}"
+    return features.selectExpr("customer_id", *[clean.format(c) for c in DW_FEATURES])
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,8 @@ class RobustScale:
         return RobustScale(centre, spread)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: (F.col(c) - F.lit(self.centre[c])) / F.lit(self.spread[c]) for c in self.centre})
+        scaled = {c: f"({c} - {self.centre[c]!r}D) / {self.spread[c]!r}D AS {c}" for c in self.centre}
+        return df.selectExpr(*[scaled.get(c, c) for c in df.columns])
 
 
 def scaled_features(features: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.dates import day
 from ..plans.warehouse import Warehouse
@@ -54,7 +53,7 @@ class Query:
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.build(Context(spark, folder))
-        return df.select(*[F.col(f"`{n}`").cast(TYPES[t][0]).alias(n) for n, t in self.columns])
+        return df.selectExpr(*[f"CAST(`{n}` AS {TYPES[t][0]}) AS `{n}`" for n, t in self.columns])
 
     @property
     def oracle(self) -> str | None:

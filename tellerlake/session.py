@@ -13,6 +13,8 @@ SQL_OPTIONS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Kept feature tables are read many times: let them, too, shrink to partitions of a useful size.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot member may sit in front of an aggregate: split it even if that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -34,6 +36,7 @@ def local_session(cores: str = "8", name: str = "tellerlake") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )

@@ -5,18 +5,26 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from . import derivation_sql as D
 from .schemas import SOURCE_SCHEMAS
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """Parquet scan; the schema of a path is read from its files once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _conform(df: DataFrame, table: str) -> DataFrame:
     """Select and cast to the declared schema; column order is the schema's."""
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SOURCE_SCHEMAS[table]])
+    return df.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in SOURCE_SCHEMAS[table]])
 
 
 class BankSources:
