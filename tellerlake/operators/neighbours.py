@@ -18,16 +18,23 @@ from pyspark.sql import functions as F
 
 CELL_ROWS = 2048
 MAX_PIVOTS = 4096
+PIVOTS_FROM = 16  # fewer blocks of rows than this are multiplied outright, without pivots
 SLACK = 1e-6  # distances are compared with this margin, so rounding never prunes a neighbour
 QUANTUM = 1e9  # distances order by 1e-9 steps, then by id
 
 
-def unit(vector: Column) -> Column:
-    """Unit vector with one extra coordinate that holds 1 for a zero vector (similarity 0 to all others)."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
-    flat = F.transform(doubles, lambda x: F.when(norm > 0, x / F.when(norm > 0, norm)).otherwise(F.lit(0.0)))
-    return F.concat(flat, F.array(F.when(norm > 0, F.lit(0.0)).otherwise(F.lit(1.0))))
+def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
+    """``vector`` (doubles) scaled to length 1, with one extra coordinate that holds 1 for a zero vector.
+
+    A zero vector then has similarity 0 to all others. The length is a column of its own: inside the
+    lambda it would be computed again for every coordinate.
+    """
+    measured = df.withColumn("_length", F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x)))
+    length = F.nullif(F.col("_length"), F.lit(0.0))
+    scaled = F.concat(
+        F.transform(vector, lambda x: F.coalesce(x / length, F.lit(0.0))),
+        F.array(F.when(F.col("_length") > 0, F.lit(0.0)).otherwise(F.lit(1.0))))
+    return measured.withColumn(vector, scaled).drop("_length")
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -144,10 +151,13 @@ def _blocks(rows: list[int]) -> Column:
 def _distinct_neighbours(data: DataFrame, queries: DataFrame, k: int, cosine: bool, probes: int | None) -> DataFrame:
     """Top k distinct vectors of every distinct query vector: (rep, other, distance)."""
     n = data.count()
-    cells = min(MAX_PIVOTS, max(1, n // CELL_ROWS)) if probes is None else min(MAX_PIVOTS, max(1, math.isqrt(n)))
+    if probes is None:
+        cells = min(MAX_PIVOTS, n // CELL_ROWS) if n >= PIVOTS_FROM * CELL_ROWS else 1
+    else:
+        cells = min(MAX_PIVOTS, max(1, math.isqrt(n)))
     if cells == 1:
         assigned, visits = data.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
-        rows, visiting = [n], [queries.count()]
+        rows, visiting = [n], [n if queries is data else queries.count()]
     else:
         pivots = _pivots(data, cells)
         assigned = _assign(data, pivots).persist()
@@ -193,8 +203,8 @@ def nearest(data: DataFrame, k: int, *, id_column: str, vector: str, metric: str
     cosine = metric == "cosine"
 
     def prepared(df: DataFrame) -> DataFrame:
-        vec = unit(F.col(vector)) if cosine else F.transform(F.col(vector), lambda x: x.cast("double"))
-        return df.select(F.col(id_column).cast("bigint").alias("id"), vec.alias("vec"))
+        rows = df.selectExpr(f"CAST({id_column} AS BIGINT) AS id", f"CAST({vector} AS ARRAY<DOUBLE>) AS vec")
+        return unit_vectors(rows, "vec") if cosine else rows
 
     base = prepared(data).persist()
     groups = base.groupBy("vec").agg(F.min("id").alias("rep")).persist()
@@ -208,7 +218,9 @@ def nearest(data: DataFrame, k: int, *, id_column: str, vector: str, metric: str
     if cosine:  # a zero query is equally far from everything: its neighbours are the smallest ids
         is_zero = F.element_at("vec", -1) == 1.0
         zero_asked, asked = asked.filter(is_zero), asked.filter(~is_zero)
-    found = _distinct_neighbours(groups.select("rep", "vec"), asked.select("rep", "vec"), k, cosine, probes)
+    everything = groups.select("rep", "vec")
+    wanted = everything if queries is None and not cosine else asked.select("rep", "vec")
+    found = _distinct_neighbours(everything, wanted, k, cosine, probes)
     copies = _first(members, ["rep"], [F.col("id")], k).select(F.col("rep").alias("other"), F.col("id").alias("neighbour_id"))
     spread = found.join(copies, "other").select("rep", "neighbour_id", "distance")
     if cosine:

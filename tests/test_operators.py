@@ -135,6 +135,7 @@ def brute(ids, data, queries, k, cosine):
 def test_neighbours_match_brute_force(spark, monkeypatch, cosine, cell_rows):
     """Clusters, a third of copies of one vector, and zero vectors; many small cells and blocks."""
     monkeypatch.setattr(NB, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(NB, "PIVOTS_FROM", 2)
     random = np.random.default_rng(3)
     centres = random.normal(size=(8, 6)) * 5
     data = np.round(centres[random.integers(0, 8, 400)] + random.normal(size=(400, 6)), 3)
