@@ -33,9 +33,10 @@ def _(c: Context):
     return K.rows_since(c.src.payment_history, "payment_id", _middle(c))
 
 
-@query("extract_events_since", "event_id b, user_id b, event_type s", "SELECT * FROM events WHERE event_id > 2500")
+@query("extract_events_since", "event_id b, user_id b, event_type s", "SELECT * FROM events WHERE event_id > (SELECT max(event_id)//4 FROM events)")
 def _(c: Context):
-    return K.rows_since(c.raw("events"), "event_id", 2500)
+    events = c.raw("events")
+    return K.rows_since(events, "event_id", events.agg(F.max("event_id")).first()[0] // 4)
 
 
 @query("high_water_mark", "job_name s, source_table s, last_processed_id b, records_processed b", """
