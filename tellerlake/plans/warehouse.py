@@ -6,6 +6,7 @@ marts join the current dimension row through the natural key and keep the histor
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -191,10 +192,12 @@ def monthly_balances(cards: DataFrame, payments: DataFrame, asof: Column) -> Dat
         "card_id", F.last_day("payment_date").alias("snapshot_date"), "payment_date", "payment_id",
         F.col("statement_balance").alias("current_balance"), F.col("minimum_due").cast("decimal(8,2)").alias("minimum_payment"),
     ).filter(F.col("snapshot_date") < closing)
-    # Latest statement by (date, id): a mergeable maximum, so a hot card is combined before the shuffle.
-    newest = F.max_by(F.struct("current_balance", "minimum_payment"), F.struct("payment_date", "payment_id"))
-    past = statements.groupBy("card_id", "snapshot_date").agg(newest.alias("b")).select(
-        "card_id", "snapshot_date", "b.current_balance", "b.minimum_payment")
+    # Latest statement by (day of month, id): a mergeable maximum, so a hot card is combined before the shuffle.
+    # Both parts fit one number, which keeps the aggregate hash-based.
+    recency = F.dayofmonth("payment_date").cast("decimal(2,0)") * F.lit(Decimal(10**19)) + F.col("payment_id")
+    past = statements.groupBy("card_id", "snapshot_date").agg(
+        F.max_by("current_balance", recency).alias("current_balance"),
+        F.max_by("minimum_payment", recency).alias("minimum_payment"))
     now = cards.select("card_id", closing.alias("snapshot_date"), "current_balance",
                        F.lit(None).cast("decimal(8,2)").alias("minimum_payment"))
     return past.unionByName(now)
