@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding, url_filter
+from . import mixing, sharding, substrings, url_filter
 from .common import table
 
 SHARDS = 24
@@ -24,12 +25,17 @@ def op4_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, folder, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES, ["page_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op4_byte_shards, op10_url_rules)}
+    f.__name__: f for f in (op1_mixture, op4_byte_shards, op9_repeated_windows, op10_url_rules)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -48,6 +54,19 @@ counted AS (SELECT *, whole + CASE WHEN middle < target - whole * source_size TH
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM counted
 """.replace("WITH RECURSIVE", "WITH", 1)
 
+OP9_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS sequence FROM starts),
+repeated AS (SELECT sequence FROM windows GROUP BY sequence HAVING count(*) > 1),
+hits AS (SELECT r, i FROM windows JOIN repeated USING (sequence)),
+covered AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM hits)),
+spread AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT s.r, count(*) AS n, string_agg(s.word, ' ' ORDER BY s.p) AS kept FROM spread s ANTI JOIN covered c ON s.r = c.r AND s.p = c.p GROUP BY s.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.r = k.r
+"""
+
 OP10_SQL = r"""
 WITH parts AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1) AS raw,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
@@ -59,4 +78,4 @@ fits AS (SELECT h.*, r.rule_host || r.rule_path AS rule, r.verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1
 """
 
-ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op10_url_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op9_repeated_windows": OP9_SQL, "op10_url_rules": OP10_SQL}
