@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, substrings, url_filter
+from . import jaccard_join, mixing, sharding, substrings, url_filter
 from .common import table
 
 SHARDS = 24
@@ -25,6 +25,10 @@ def op4_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, folder, "documents"))
+
+
 def op9_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, folder, "documents"), ["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
@@ -35,7 +39,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op4_byte_shards, op9_repeated_windows, op10_url_rules)}
+    f.__name__: f for f in (op1_mixture, op4_byte_shards, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -54,6 +58,20 @@ counted AS (SELECT *, whole + CASE WHEN middle < target - whole * source_size TH
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM counted
 """.replace("WITH RECURSIVE", "WITH", 1)
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+grams AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM starts),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+pairs AS (SELECT a.r AS r, b.r AS s, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (SELECT p.r, p.s FROM pairs p JOIN sizes x ON p.r = x.r JOIN sizes y ON p.s = y.r WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach(r, s) AS (SELECT r, r FROM sizes UNION SELECT reach.r, links.s FROM reach JOIN links ON reach.s = links.r),
+named AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.s GROUP BY reach.r)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, CASE WHEN sizes.n IS NULL THEN d.doc_id ELSE named.component_id END AS component_id
+FROM d LEFT JOIN sizes ON d.r = sizes.r LEFT JOIN named ON d.r = named.r
+"""
+
 OP9_SQL = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d),
@@ -78,4 +96,4 @@ fits AS (SELECT h.*, r.rule_host || r.rule_path AS rule, r.verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1
 """
 
-ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op9_repeated_windows": OP9_SQL, "op10_url_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op8_jaccard_components": OP8_SQL, "op9_repeated_windows": OP9_SQL, "op10_url_rules": OP10_SQL}
