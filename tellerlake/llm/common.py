@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import work_path
 
+#: Text that a task turns into n-grams at a time.
+CHUNK_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -84,3 +86,42 @@ def window_hashes(codes_hash: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes_hash[i : i + count])
     return h
+
+
+def gram_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, hashes): the sorted distinct n-gram hashes of each text; A-Z lower-cased.
+
+    A text with fewer than ``n`` words has its whole sequence as one n-gram, one without words has none.
+    """
+    bounds, codes, words = split_words(texts, lower=True)
+    word_hash = hash_strings(words)[codes] if len(codes) else np.zeros(0, np.uint64)
+    count = np.diff(bounds)
+    owner = np.repeat(np.arange(len(count)), count)
+    grams, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(codes) >= n:
+        inside = owner[: len(codes) - n + 1] == owner[n - 1 :]
+        grams, own = window_hashes(word_hash, n)[inside], owner[: len(codes) - n + 1][inside]
+    for short in range(1, n):
+        rows = np.flatnonzero(count == short)
+        if len(rows):
+            h = np.full(len(rows), short, dtype=np.uint64)
+            for i in range(short):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word_hash[bounds[rows] + i])
+            grams, own = np.concatenate([grams, h]), np.concatenate([own, rows])
+    order = np.lexsort((grams, own))
+    grams, own = grams[order], own[order]
+    new = np.ones(len(grams), dtype=bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])
+    grams, own = grams[new], own[new]
+    return np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(count))))).astype(np.int64), grams
+
+
+def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES):
+    """Slices of a batch with about ``limit`` bytes of text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, side="right"))
+        stop = max(stop, start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop

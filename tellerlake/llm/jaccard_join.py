@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import hash_strings, mix, pieces, split_words, stored, text_bytes, window_hashes
+from .common import chunks, gram_sets, mix, pieces, stored, text_bytes
 from .graph import components
 
 N = 5
 #: A pair is linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-CHUNK_BYTES = 4 << 20  # text that is turned into n-grams at a time
 COLUMN_BYTES = 20 << 20  # text whose n-grams one column block holds
 BLOCK_ROWS = 400  # documents of one matrix block
 BLOCK_GRAMS = 4096  # n-grams of one matrix block
@@ -28,34 +26,6 @@ BACK = np.dtype([("doc", "<u4"), ("n", "<u4")])
 GRAM = np.dtype([("hash", "<u8"), ("df", "<u4")])
 
 
-def gram_sets(texts, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, hashes): the sorted distinct n-gram hashes of each text; A-Z lower-cased.
-
-    A text with fewer than ``n`` words has its whole sequence as one n-gram, one without words has none.
-    """
-    bounds, codes, words = split_words(texts, lower=True)
-    word_hash = hash_strings(words)[codes] if len(codes) else np.zeros(0, np.uint64)
-    count = np.diff(bounds)
-    owner = np.repeat(np.arange(len(count)), count)
-    grams, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(codes) >= n:
-        inside = owner[: len(codes) - n + 1] == owner[n - 1 :]
-        grams, own = window_hashes(word_hash, n)[inside], owner[: len(codes) - n + 1][inside]
-    for short in range(1, n):
-        rows = np.flatnonzero(count == short)
-        if len(rows):
-            h = np.full(len(rows), short, dtype=np.uint64)
-            for i in range(short):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word_hash[bounds[rows] + i])
-            grams, own = np.concatenate([grams, h]), np.concatenate([own, rows])
-    order = np.lexsort((grams, own))
-    grams, own = grams[order], own[order]
-    new = np.ones(len(grams), dtype=bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])
-    grams, own = grams[new], own[new]
-    return np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(count))))).astype(np.int64), grams
-
-
 def set_signatures(bounds: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums over each set; equal sets have equal sums."""
     out = []
@@ -65,23 +35,6 @@ def set_signatures(bounds: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES):
-    """Slices of a batch with about ``limit`` bytes of text each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        stop = int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, side="right"))
-        stop = max(stop, start + 1)
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
-def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0]+1, ... for each range, one after the other."""
-    ends = np.cumsum(length)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - length), length)
-
-
 def sender(buckets: int, n: int):
     """Deals the n-grams of each chunk of documents to column blocks; copies inside a chunk are sent once."""
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, sharding, substrings, url_filter
+from . import decontamination, jaccard_join, mixing, sharding, substrings, token_counts, url_filter
 from .common import table
 
 SHARDS = 24
+TOKEN_LIMIT = 4096
 #: Fixed rules of the url query: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -25,6 +26,20 @@ def op4_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_token_counts(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer``: path of the model, piece_bpe_32k.model of the public tokenizers if none is given."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("piece_bpe_32k.model")
+    out = token_counts.count_tokens(table(spark, folder, "documents"), ["doc_id"], tokenizer, TOKEN_LIMIT)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
+def op7_contaminated_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
+
+
 def op8_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, folder, "documents"))
 
@@ -39,7 +54,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op4_byte_shards, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
+    f.__name__: f for f in (op1_mixture, op4_byte_shards, op6_token_counts, op7_contaminated_documents, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -58,6 +73,19 @@ counted AS (SELECT *, whole + CASE WHEN middle < target - whole * source_size TH
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM counted
 """.replace("WITH RECURSIVE", "WITH", 1)
 
+OP7_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+dg AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bg AS (SELECT DISTINCT q, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT q, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+sizes AS (SELECT q, count(*) AS n_item FROM bg GROUP BY q),
+common AS (SELECT r, q, count(*) AS n_shared FROM dg JOIN bg USING (g) GROUP BY r, q)
+SELECT d.doc_id, b.item_id, c.n_shared, s.n_item, c.n_shared::DOUBLE / s.n_item AS containment
+FROM common c JOIN sizes s USING (q) JOIN d USING (r) JOIN b USING (q) WHERE 100 * c.n_shared >= 80 * s.n_item
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -96,4 +124,4 @@ fits AS (SELECT h.*, r.rule_host || r.rule_path AS rule, r.verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1
 """
 
-ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op8_jaccard_components": OP8_SQL, "op9_repeated_windows": OP9_SQL, "op10_url_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op7_contaminated_documents": OP7_SQL, "op8_jaccard_components": OP8_SQL, "op9_repeated_windows": OP9_SQL, "op10_url_rules": OP10_SQL}
