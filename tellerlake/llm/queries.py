@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, mixing, sharding, substrings, token_counts, url_filter
+from . import decontamination, jaccard_join, mixing, quality_embeddings, quality_rules, sharding, substrings, token_counts, url_filter
 from .common import table
 
 SHARDS = 24
 TOKEN_LIMIT = 4096
+PREDICT_AT = 0.7
 #: Fixed rules of the url query: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -21,11 +22,25 @@ def op1_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_embeddings.train(docs, table(spark, folder, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scored = quality_embeddings.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+
+
 def op4_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, folder, "documents"), SHARDS, ["doc_id"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_rules.train(docs, table(spark, folder, "labels"))
+    return quality_rules.judge(docs, model, ["doc_id"]).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def op6_token_counts(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     """``tokenizer``: path of the model, piece_bpe_32k.model of the public tokenizers if none is given."""
     if tokenizer is None:
@@ -54,7 +69,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op4_byte_shards, op6_token_counts, op7_contaminated_documents, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
+    f.__name__: f for f in (op1_mixture, op2_quality_scores, op4_byte_shards, op5_quality_rules, op6_token_counts, op7_contaminated_documents, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
