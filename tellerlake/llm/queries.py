@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, mixing, quality_embeddings, quality_rules, sharding, substrings, token_counts, url_filter
+from . import chat_repair, decontamination, jaccard_join, mixing, quality_embeddings, quality_rules, sharding, substrings, token_counts, url_filter
 from .common import table
 
 SHARDS = 24
@@ -30,6 +30,10 @@ def op2_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
 
 
+def op3_repaired_chats(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_repair.repair(table(spark, folder, "conversations"))
+
+
 def op4_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, folder, "documents"), SHARDS, ["doc_id"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -69,7 +73,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_quality_scores, op4_byte_shards, op5_quality_rules, op6_token_counts, op7_contaminated_documents, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
+    f.__name__: f for f in (op1_mixture, op2_quality_scores, op3_repaired_chats, op4_byte_shards, op5_quality_rules, op6_token_counts, op7_contaminated_documents, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
