@@ -123,6 +123,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rules: Rul
     return None if model is None else np.frombuffer(model, np.float32)
 
 
+def probabilities(texts: pa.Array, model: np.ndarray | None) -> np.ndarray:
+    """Calibrated probability of good quality; 1 without a model."""
+    if model is None:
+        return np.ones(len(texts))
+    return 1 / (1 + np.exp(-np.clip(linear_scores(texts, model[:-1]) + float(model[-1]), -500, 500)))
+
+
 def judge(docs: DataFrame, model: np.ndarray | None, keep: list[str], rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """The columns ``keep`` plus the base counts, base_failed, probability and kept, over whole texts.
 
@@ -140,15 +147,27 @@ def judge(docs: DataFrame, model: np.ndarray | None, keep: list[str], rules: Rul
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        weights = shared.value
         for batch in batches:
             for chunk in chunks(batch, "_r_text"):
-                texts = chunk["_r_text"]
-                found = counts(texts)
-                chance = np.ones(len(texts)) if weights is None else 1 / (1 + np.exp(-np.clip(linear_scores(texts, weights[:-1]) + float(weights[-1]), -500, 500)))
-                yield pa.RecordBatch.from_arrays([*(chunk[c] for c in keep), *(pa.array(found[c], pa.int64()) for c in COUNTS), pa.array(chance)], schema=schema)
+                found = counts(chunk["_r_text"])
+                yield pa.RecordBatch.from_arrays([*(chunk[c] for c in keep), *(pa.array(found[c], pa.int64()) for c in COUNTS),
+                                                  pa.array(probabilities(chunk["_r_text"], shared.value))], schema=schema)
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.fields)
     judged = rows.mapInArrow(run, fields + ", ".join(f"{c} long" for c in COUNTS) + ", probability double")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= rules.keep_at))
+
+
+def kept_documents(docs: DataFrame, model: np.ndarray | None, rules: Rules = Rules(), text: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch, text):
+                found = counts(chunk[text])
+                good = (found["n_words"] >= rules.min_words) & (100 * found["n_repeat_words"] <= rules.repeat_percent * found["n_words"])
+                yield chunk.filter(pa.array(good & (probabilities(chunk[text], shared.value) >= rules.keep_at)))
+
+    return docs.mapInArrow(run, docs.schema)
