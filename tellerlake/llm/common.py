@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from ..session import work_path
 #: Text that a task turns into n-grams at a time.
 CHUNK_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
+TO_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -29,6 +31,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_of(keep: list[str], names) -> list[str]:
+    """The kept columns without those that the result's own ``names`` replace."""
+    return [c for c in keep if c not in names]
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts; sizes the groups that one task holds."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
@@ -61,21 +68,21 @@ def split_words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray, lis
     column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, type=pa.large_string(), from_pandas=True)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if lower:
-        column = pc.ascii_lower(column)
-    lists = pc.ascii_split_whitespace(column)
+    lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
     flat = lists.flatten()
     bounds = lists.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     words = coded.dictionary.to_pylist()
-    if "" in (blank := set(words) & {""}):  # edges of a text give an empty word
+    if "" in words:  # edges of a text give an empty word
         keep = codes != words.index("")
         kept = np.concatenate(([0], np.cumsum(keep)))
         bounds, codes = kept[bounds], codes[keep]
-    del blank
+    if lower:  # here and not on the texts: ascii_lower of a sliced array is wrong in some releases
+        number: dict[str, int] = {}
+        merged = np.array([number.setdefault(w.translate(TO_LOWER), len(number)) for w in words], dtype=np.int64)
+        codes, words = merged[codes], list(number)
     return bounds, codes, words
 
 

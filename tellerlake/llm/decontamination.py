@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks, gram_sets, hash_strings, pieces, split_words, text_bytes, window_hashes
+from .common import chunks, free_of, gram_sets, hash_strings, pieces, split_words, text_bytes, window_hashes
 
 N = 5
 PERCENT = 80
@@ -150,9 +150,10 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: list[str], text: str =
     The columns ``keep``, then item_id, n_shared, n_item and containment. Words are compared with A-Z lower-cased;
     null texts and texts of fewer than ``n`` words hold nothing, and items as short match nothing. Repeated rows and
     items give repeated pairs. The items are the stated query set: all documents are searched for one block of
-    them after the other, and no pair travels before it is verified.
+    them after the other, and no pair travels before it is verified. Clashing names in ``keep`` are replaced.
     """
     spark = docs.sparkSession
+    keep = free_of(keep, ("item_id", "n_shared", "n_item", "containment"))
     rows = docs.select(*keep, F.col(text).alias("_d_text"))
     schema = to_arrow_schema(docs.select(*keep).schema)
     id_type = items.schema[item_id].dataType.simpleString()

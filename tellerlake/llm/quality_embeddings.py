@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks
+from .common import chunks, free_of
 from .ngram_features import BITS, FAMILIES, fitted, labelled_sample, linear_scores
 
 
@@ -76,6 +76,7 @@ def score(docs: DataFrame, model: np.ndarray | None, keep: list[str], text: str
     A null or empty text, or one shorter than every n-gram, gets the chance that the biases alone give; without a
     model every score is 0.5. The model has a fixed size, whatever the corpus.
     """
+    keep = free_of(keep, ("score",))
     rows = docs.select(*keep, F.col(text).alias("_q_text"))
     kept = docs.select(*keep).schema
     schema = to_arrow_schema(kept).append(pa.field("score", pa.float64()))

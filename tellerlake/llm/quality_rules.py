@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import chunks, hash_strings, mix, split_words, window_hashes
+from .common import chunks, free_of, hash_strings, mix, split_words, window_hashes
 from .ngram_features import BITS, FAMILIES, fitted, labelled_sample, linear_scores
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, model: np.ndarray | None, keep: list[str], rules: Rul
     its words stand in repeated runs; null and empty texts fail. Otherwise it is kept if the calibrated probability
     of good quality reaches ``keep_at``. Without a model only the base rules decide. Clashing names are replaced.
     """
-    keep = [c for c in keep if c not in (*COUNTS, "base_failed", "probability", "kept")]
+    keep = free_of(keep, (*COUNTS, "base_failed", "probability", "kept"))
     rows = docs.select(*keep, F.col(text).alias("_r_text"))
     kept = docs.select(*keep).schema
     schema = to_arrow_schema(kept)

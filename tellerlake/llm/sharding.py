@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import free_of, pieces, stored
 
 ROWS_PER_PART = 100_000
 
@@ -63,6 +63,7 @@ def shard_documents(docs: DataFrame, shards: int, keep: list[str], doc_id: str =
     Documents stand in the order of their id (null first), then of their text's checksums, so equal rows are
     interchangeable. A null text has size 8 and no checksum; an empty one size 8 and checksum 0.
     """
+    keep = free_of(keep, ("size", "text_crc32", "law", "shard", "slot", "grown_shard"))
     rows = docs.select(*keep, F.col(doc_id).alias("_sd_id"), byte_size(text).alias("size"),
                        F.crc32(F.col(text).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_sd_hash"))
     out = shard_by_bytes(rows, shards, "size", ["_sd_id", "text_crc32", "_sd_hash"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import hash_strings, pieces, split_words, text_bytes, window_hashes
+from .common import free_of, hash_strings, pieces, split_words, text_bytes, window_hashes
 
 WINDOW = 35
 #: Words of a minimiser: long enough that unrelated passages seldom share one.
@@ -215,8 +215,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", k: int
     same minimiser are sent together, as one string, to the minimiser's bucket, where all equal windows meet. A
     group of texts sends each distinct string once with the places it came from, so a passage that stands in every
     text arrives at its bucket once for each group, and not once for each text. Buckets answer to groups with spans.
-    Groups and buckets grow in number with the text, not in size; a single text is never split.
+    Groups and buckets grow in number with the text, not in size; a single text is never split. Clashing names in
+    ``keep`` are replaced.
     """
+    keep = free_of(keep, ("n_words", "n_removed", "kept"))
     groups = pieces(text_bytes(docs, text), GROUP_BYTES)
     dealt = docs.select(*keep, F.col(text).alias("_ss_text"))
     dealt = dealt.withColumn("_ss_group", F.pmod(F.xxhash64(*dealt.columns), F.lit(groups)))

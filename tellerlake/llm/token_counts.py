@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_of
+
 SPACE = "▁"  # the vocabulary's mark for a space
 #: Units whose deltas a worker keeps; beyond that it starts afresh.
 CACHE = 200_000
@@ -162,6 +164,7 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str, budget: int, text:
     prefix within the budget. prefix_table (zstandard) answers both for any prefix: ``prefix_counts``. A null or empty
     text has no bytes and no tokens.
     """
+    keep = free_of(keep, ("n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_table"))
     given = docs.select(*keep, F.col(text).alias("_t_text"))
 
     def count(batches):

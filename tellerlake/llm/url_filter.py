@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_strings, stored
+from .common import free_of, hash_strings, stored
 
 #: Largest filter that is collected and broadcast: 2^30 bits, 128 MB.
 MAX_FILTER_BITS = 1 << 30
@@ -158,6 +158,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], keep: list[s
     ``host``, ``path``, ``rule`` and ``verdict`` replace columns of these names.
     """
     spark = pages.sparkSession
+    keep = free_of(keep, ("host", "path", "rule", "verdict"))
     shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
     split = pages.select(*keep, host_of(url).alias("_u_host"), path_of(url).alias("_u_path"))
 
@@ -190,5 +191,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], keep: list[s
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.schema.fields)
     judged = split.mapInPandas(judge, f"{fields}, _u_rule string, _u_verdict string")
-    return judged.select(*[c for c in keep if c not in ("host", "path", "rule", "verdict")], F.col("_u_host").alias("host"),
+    return judged.select(*keep, F.col("_u_host").alias("host"),
                          F.col("_u_path").alias("path"), F.col("_u_rule").alias("rule"), F.col("_u_verdict").alias("verdict"))
