@@ -210,10 +210,10 @@ def _(c: Context):
 @query("role_source_grant", "user_id b, may_read_oltp o, may_read_dw o", """
 SELECT user_id, bool_or(role IN ('OLTP','OPS')) AS may_read_oltp, bool_or(role IN ('MULTI_DB_USER','DW')) AS may_read_dw FROM (
  SELECT DISTINCT user_id, CASE event_type WHEN 'view' THEN 'DW' WHEN 'purchase' THEN 'OPS' WHEN 'click' THEN 'READONLY' WHEN 'signup' THEN 'OLTP' ELSE 'MULTI_DB_USER' END AS role
- FROM events WHERE value > 100) GROUP BY 1""")
+ FROM events) GROUP BY 1""")
 def _(c: Context):
     event = F.col("event_type")
     role = F.when(event == "view", "DW").when(event == "purchase", "OPS").when(event == "click", "READONLY").when(
         event == "signup", "OLTP").otherwise("MULTI_DB_USER")
-    roles = c.raw("events").filter("value > 100").groupBy("user_id").agg(F.collect_set(role).alias("roles"))
+    roles = c.raw("events").groupBy("user_id").agg(F.collect_set(role).alias("roles"))
     return roles.select("user_id", *[v.alias(n) for n, v in E.granted_sources(F.col("roles")).items()])

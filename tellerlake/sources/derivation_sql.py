@@ -34,7 +34,7 @@ SELECT o_orderkey+1 AS card_id, o_custkey+1 AS member_id, concat('4',lpad(CAST(o
  CASE o_orderstatus WHEN 'P' THEN 'expired' ELSE 'active' END AS card_status,
  CAST(o_orderdate AS DATE) AS issue_date,
  concat(CAST(year(o_orderdate)+3 AS STRING), substr(CAST(CAST(o_orderdate AS DATE) AS STRING),5)) AS expiry_date
- FROM {orders} WHERE o_orderkey % 5 = 0
+ FROM {orders}
 """
 
 PAYMENT_HISTORY = """
@@ -47,27 +47,31 @@ SELECT payment_id, member_id, card_id, payment_date,
  CAST(sbc/100 AS DECIMAL(10,2)) AS statement_balance,
  CASE sk % 7 WHEN 0 THEN 'auto_pay' WHEN 1 THEN 'online' WHEN 2 THEN 'phone' WHEN 3 THEN 'mail' WHEN 4 THEN 'branch' WHEN 5 THEN NULL ELSE 'online' END AS payment_method
  FROM (SELECT *, greatest(2500,(sbc-sbc%50)/50 - ((sbc-sbc%50)/50) % 1) AS mdc FROM (
-   SELECT ((l_orderkey*8+l_linenumber)*100000+l_partkey)*10000+l_suppkey AS payment_id, o_custkey+1 AS member_id, l_orderkey+1 AS card_id,
+   SELECT l_orderkey*1000000+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS payment_id, o_custkey+1 AS member_id, l_orderkey+1 AS card_id,
    CAST(l_shipdate AS DATE) AS payment_date, CAST(round(l_discount*100) AS INT) AS d, l_linenumber AS ln, CAST(l_quantity AS INT) AS qty, l_suppkey AS sk,
    (CAST(round(l_extendedprice*100) AS BIGINT) - CAST(round(l_extendedprice*100) AS BIGINT) % 10)/10 AS sbc
-   FROM {lineitem} JOIN {orders} ON l_orderkey=o_orderkey WHERE o_orderkey % 5 = 0) x) y
+   FROM {lineitem} JOIN {orders} ON l_orderkey=o_orderkey) x) y
 """
 
+# One product for each kind and brand of part, so the catalogue is bounded by these two domains and not by the
+# number of parts; every part counts in the sums that the attributes are taken from.
 FINANCIAL_PRODUCTS = """
-SELECT p_partkey+1 AS product_id, concat(p_name,' ',CAST(p_partkey+1 AS STRING)) AS product_name,
- CASE p_type WHEN 'ECONOMY' THEN 'credit_card' WHEN 'SMALL' THEN 'personal_loan' WHEN 'MEDIUM' THEN 'mortgage' WHEN 'PROMO' THEN 'savings_account' WHEN 'STANDARD' THEN 'cd' ELSE 'investment' END AS product_type,
- CASE p_partkey % 4 WHEN 0 THEN 'premium' WHEN 1 THEN 'standard' WHEN 2 THEN 'basic' ELSE 'secured' END AS product_category,
- CAST((p_size % 26)/100 AS DECIMAL(5,4)) AS interest_rate,
- CAST(500+(p_partkey % 5)*500 AS DECIMAL(10,2)) AS credit_limit_min,
- CAST(5000+(p_partkey % 10)*2500 AS DECIMAL(10,2)) AS credit_limit_max,
- CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(15000+p_size*1700 AS DECIMAL(10,2)) END AS minimum_income_required,
- CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(500+(p_partkey*7) % 281 AS INT) END AS minimum_credit_score,
- CAST((25+(p_partkey % 8)*5)/100 AS DECIMAL(5,4)) AS maximum_debt_to_income,
- CAST(CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 25 WHEN 2 THEN 50 WHEN 3 THEN 95 ELSE 150 END AS DECIMAL(6,2)) AS annual_fee,
- CASE p_partkey % 4 WHEN 0 THEN 'Points' WHEN 1 THEN 'Cashback' WHEN 2 THEN ' ' ELSE NULL END AS rewards_program,
- concat('Benefits of ',p_name) AS benefits, concat('Brand ',p_brand) AS eligibility_criteria,
- CASE p_partkey % 25 WHEN 7 THEN false WHEN 11 THEN NULL ELSE true END AS is_active
- FROM {part} WHERE p_partkey < 50
+SELECT k+1 AS product_id, concat(lower(kind),' ',brand,' ',CAST(k+1 AS STRING)) AS product_name,
+ CASE kind WHEN 'ECONOMY' THEN 'credit_card' WHEN 'SMALL' THEN 'personal_loan' WHEN 'MEDIUM' THEN 'mortgage' WHEN 'PROMO' THEN 'savings_account' WHEN 'STANDARD' THEN 'cd' ELSE 'investment' END AS product_type,
+ CASE k % 4 WHEN 0 THEN 'premium' WHEN 1 THEN 'standard' WHEN 2 THEN 'basic' ELSE 'secured' END AS product_category,
+ CAST((sizes % 26)/100 AS DECIMAL(5,4)) AS interest_rate,
+ CAST(500+(parts % 5)*500 AS DECIMAL(10,2)) AS credit_limit_min,
+ CAST(5000+(sizes % 10)*2500 AS DECIMAL(10,2)) AS credit_limit_max,
+ CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(15000+(sizes % 51)*1700 AS DECIMAL(10,2)) END AS minimum_income_required,
+ CASE WHEN k % 9 = 0 THEN NULL ELSE CAST(500+(sizes*7) % 281 AS INT) END AS minimum_credit_score,
+ CAST((25+(parts % 8)*5)/100 AS DECIMAL(5,4)) AS maximum_debt_to_income,
+ CAST(CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 25 WHEN 2 THEN 50 WHEN 3 THEN 95 ELSE 150 END AS DECIMAL(6,2)) AS annual_fee,
+ CASE k % 4 WHEN 0 THEN 'Points' WHEN 1 THEN 'Cashback' WHEN 2 THEN ' ' ELSE NULL END AS rewards_program,
+ concat('Benefits of ',CAST(parts AS STRING),' parts') AS benefits, concat('Brand ',brand) AS eligibility_criteria,
+ CASE k % 25 WHEN 7 THEN false WHEN 11 THEN NULL ELSE true END AS is_active
+ FROM (SELECT CAST(replace(p_brand,'Brand#','') AS BIGINT)*6 + CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'STANDARD' THEN 4 ELSE 5 END AS k,
+  max(p_type) AS kind, max(p_brand) AS brand, count(*) AS parts, CAST(sum(p_size) AS BIGINT) AS sizes FROM {part}
+  GROUP BY CAST(replace(p_brand,'Brand#','') AS BIGINT)*6 + CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'STANDARD' THEN 4 ELSE 5 END) g
 """
 
 HEALTH = """
