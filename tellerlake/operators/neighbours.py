@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_ROWS = 2048
+QUERY_ROWS = 1000  # queries that one scan answers
 MAX_PIVOTS = 4096
 PIVOTS_FROM = 16  # fewer blocks of rows than this are multiplied outright, without pivots
 SLACK = 1e-6  # distances are compared with this margin, so rounding never prunes a neighbour
@@ -37,15 +38,6 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     return measured.withColumn(vector, scaled).drop("_length")
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def quantised(distance: Column) -> Column:
-    return F.floor(distance * F.lit(QUANTUM) + F.lit(0.5)) / F.lit(QUANTUM)
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
@@ -232,23 +224,47 @@ def nearest(data: DataFrame, k: int, *, id_column: str, vector: str, metric: str
         F.col("id").alias("query_id"), "neighbour_id", "distance", F.col("rank").cast("int").alias("rank"))
 
 
+def _direct_top(asked: np.ndarray, numbers: np.ndarray, k: int):
+    """Keeps the k nearest rows of every Arrow batch for every query; squares are added coordinate by coordinate."""
+
+    def run(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), CELL_ROWS):
+                part = pdf.iloc[start : start + CELL_ROWS].sort_values("id")
+                data = _matrix(part["vec"])
+                total = np.zeros((len(asked), len(data)))
+                for j in range(data.shape[1]):
+                    gap = data[:, j][None, :] - asked[:, j][:, None]
+                    total += gap * gap
+                steps = np.floor(total * QUANTUM + 0.5)
+                best = _smallest(steps, k)
+                yield pd.DataFrame({
+                    "query_id": np.repeat(numbers, best.shape[1]), "neighbour_id": part["id"].to_numpy()[best].ravel(),
+                    "distance": np.take_along_axis(steps, best, 1).ravel() / QUANTUM})
+
+    return run
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_column: str, vector: str,
-                query_id: str, batch_limit: int = 1000) -> DataFrame:
+                query_id: str, block_rows: int = QUERY_ROWS) -> DataFrame:
     """k nearest vectors (squared L2) for a batch of query vectors; 1 <= k <= 50.
 
-    A batch within ``batch_limit`` rows is carried as one array next to the scan; each task keeps k rows per
-    query before the shuffle. A larger batch goes through the pruned block search.
+    The queries are a stated set: they travel in blocks of about ``block_rows``, and one scan answers a block. Every
+    block uses the same formula, so distances do not depend on the number of queries.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be 1..50")
-    if queries.count() > batch_limit:
-        numbered = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
-        return nearest(vectors, k, id_column=id_column, vector=vector, metric="l2",
-                       queries=numbered.select(F.col("_q").alias(id_column), F.col("_v").alias(vector)))
-    batch = queries.agg(F.collect_list(F.struct(F.col(query_id).cast("bigint").alias("q"), F.col(vector).alias("v")))).scalar()
-    scored = vectors.select(F.col(id_column).cast("bigint").alias("neighbour_id"), F.col(vector).alias("_vec")).withColumn(
-        "_query", F.explode(batch)).select(
-        F.col("_query.q").alias("query_id"), "neighbour_id",
-        quantised(squared_l2(F.col("_vec"), F.col("_query.v"))).alias("distance"))
-    ranked = _first(scored, ["query_id"], [F.col("distance"), F.col("neighbour_id")], k, "rank")
+    asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    blocks = max(1, math.ceil(asked.count() / block_rows))
+    found = None
+    for number in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == number).collect()
+        if own:
+            scan = rows.mapInPandas(_direct_top(np.array([r.v for r in own], dtype="float64"), np.array([r.q for r in own]), k),
+                                    "query_id bigint, neighbour_id bigint, distance double")
+            found = scan if found is None else found.unionByName(scan)
+    if found is None:
+        found = rows.select(F.col("id").alias("query_id"), F.col("id").alias("neighbour_id"), F.lit(0.0).alias("distance")).filter("false")
+    ranked = _first(found, ["query_id"], [F.col("distance"), F.col("neighbour_id")], k, "rank")
     return ranked.withColumn("rank", F.col("rank").cast("int"))

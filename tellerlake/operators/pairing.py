@@ -1,8 +1,8 @@
-"""Every left row with every row of a small catalogue, without a cross join.
+"""Every left row with every row of a catalogue, without a cross join.
 
-The catalogue's size is checked first. Up to ``ROWS_PER_BLOCK`` rows it travels as one array and is
-exploded next to each left row: no shuffle, and the left side keeps its partitioning. A larger catalogue
-is cut into blocks; left rows are repeated per block and joined on the block number, in any join strategy.
+The catalogue is cut into blocks of bounded size; left rows are repeated once for each block and joined on the block's
+number, in whatever join strategy suits the sizes. The caller sees to it that the catalogue is bounded by a domain
+(as products by their kinds and brands): the output is left rows times catalogue rows.
 """
 
 from __future__ import annotations
@@ -17,14 +17,9 @@ ROWS_PER_BLOCK = 1000
 
 def pair_with(left: DataFrame, catalogue: DataFrame, key: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Left columns plus the catalogue's columns; ``key`` identifies a catalogue row."""
-    item = F.struct(*catalogue.columns)
     blocks = blocks_needed(catalogue.count(), rows_per_block)
-    if blocks == 1:
-        whole = catalogue.agg(F.collect_list(item).alias("items")).scalar()
-        exploded = left.withColumn("_item", F.explode(whole))
-    else:
-        numbered = catalogue.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")).agg(
-            F.collect_list(item).alias("_items"))
-        spread = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        exploded = spread.join(numbered, "_block").drop("_block").withColumn("_item", F.explode("_items")).drop("_items")
+    numbered = catalogue.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct(*catalogue.columns)).alias("_items"))
+    spread = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    exploded = spread.join(numbered, "_block").withColumn("_item", F.explode("_items"))
     return exploded.select(*left.columns, "_item.*")

@@ -62,8 +62,8 @@ def point_lookup(df: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def search_customers(members: DataFrame, name: str | None = None, email: str | None = None,
-                     phone: str | None = None, limit: int = 100) -> DataFrame:
-    """Members that match any of the given texts, smallest ids first."""
+                     phone: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the members that match any of the given texts, smallest ids first, with the total."""
     tests = []
     if name:
         full = F.concat_ws(" ", "first_name", "last_name")
@@ -74,12 +74,14 @@ def search_customers(members: DataFrame, name: str | None = None, email: str | N
         tests.append(contains("phone", phone))
     if not tests:
         raise ValueError("give a name, an email or a phone number")
-    return members.filter(reduce(lambda a, b: a | b, tests)).orderBy("member_id").limit(limit).select(
-        F.col("member_id").cast("string").alias("customer_id"), "first_name", "last_name", "email", "phone", "date_of_birth")
+    found = members.filter(reduce(lambda a, b: a | b, tests)).select(
+        "member_id", F.col("member_id").cast("string").alias("customer_id"), "first_name", "last_name", "email", "phone", "date_of_birth")
+    return page(found, ["member_id"], skip, limit).drop("member_id")
 
 
-def search_products(products: DataFrame, name: str, limit: int = 100) -> DataFrame:
-    return products.filter(contains("product_name", name)).orderBy("product_id").limit(limit)
+def search_products(products: DataFrame, name: str, skip: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the products whose name holds the text, with the total."""
+    return page(products.filter(contains("product_name", name)), ["product_id"], skip, limit)
 
 
 def contacts(members: DataFrame) -> DataFrame:

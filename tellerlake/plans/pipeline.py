@@ -102,7 +102,7 @@ def run(spark: SparkSession, jobs: list[Job], folder: str, names: list[str] | No
             seen = _run_job(spark, job, folder)
             end = (*head, "success", *seen, time.monotonic() - start, None, 1)
         except Exception as error:  # recorded, and the remaining jobs still run
-            end = (*head, "failed", 0, 0, time.monotonic() - start, str(error)[:2000], 1)
+            end = (*head, "failed", 0, 0, time.monotonic() - start, str(error), 1)
         _append(spark, end, AUDIT_SCHEMA, audit)
     return latest_audit(spark.read.schema(AUDIT_SCHEMA).parquet(audit).filter(F.col("run_id") == run_id))
 

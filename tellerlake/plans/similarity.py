@@ -118,11 +118,6 @@ def model_stats(scaled: DataFrame, products: DataFrame) -> DataFrame:
         F.lit(float(sum(model.explainedVariance))).alias("pca_explained_variance"), available.alias("available_products"))
 
 
-def training_sample(members: DataFrame, n: int = 5000) -> DataFrame:
-    """The first n active customers by id, for a model trained on a part."""
-    return members.filter("is_current AND member_status = 'active'").select("member_id").orderBy("member_id").limit(n)
-
-
 def similarity_score(neighbours: DataFrame, top: int = NEIGHBOURS_WEIGHTED) -> DataFrame:
     """Per customer 0.8 * sum(s^2) / sum(s) * 100 over the nearest, the same for every product.
 

@@ -71,18 +71,18 @@ def _(c: Context):
     return P.point_lookup(c.wh.fact_credit_card_balance, "balance_key", 6000000 + 200112)
 
 
-@query("search_customers", "customer_id s, first_name s, last_name s, email s, phone s, date_of_birth s",
-       "SELECT member_id AS customer_id, * FROM members WHERE lower(first_name||' '||last_name) LIKE '%r 00000001%' OR lower(email) LIKE '%member7%' "
+@query("search_customers", "customer_id s, first_name s, last_name s, email s, phone s, date_of_birth s" + PAGE,
+       "SELECT member_id AS customer_id, *, count(*) OVER () AS total, 1 AS page_number, CAST(ceil(count(*) OVER () / 100.0) AS INT) AS total_pages FROM members WHERE lower(first_name||' '||last_name) LIKE '%r 00000001%' OR lower(email) LIKE '%member7%' "
        "OR phone LIKE '%-00%' ORDER BY member_id LIMIT 100")
 def _(c: Context):
     return P.search_customers(c.src.member_ids, name="R 00000001", email="MEMBER7", phone="-00")
 
 
 @query("search_products", "product_id b, product_name s, product_type s, product_category s, interest_rate d, credit_limit_min d, credit_limit_max d, "
-       "minimum_income_required d, minimum_credit_score b, maximum_debt_to_income d, annual_fee d, rewards_program s, benefits s, eligibility_criteria s, is_active o",
-       "SELECT * FROM financial_products WHERE lower(product_name) LIKE '%ring%' ORDER BY product_id LIMIT 100")
+       "minimum_income_required d, minimum_credit_score b, maximum_debt_to_income d, annual_fee d, rewards_program s, benefits s, eligibility_criteria s, is_active o" + PAGE,
+       "SELECT *, count(*) OVER () AS total, 1 AS page_number, CAST(ceil(count(*) OVER () / 100.0) AS INT) AS total_pages FROM financial_products WHERE lower(product_name) LIKE '%promo%' ORDER BY product_id LIMIT 100")
 def _(c: Context):
-    return P.search_products(c.src.financial_products, "RING")
+    return P.search_products(c.src.financial_products, "PROMO")
 
 
 @query("contact_projection", "member_id b, first_name s, last_name s, email s, phone s, address s, city s, state s, zip_code s", "SELECT * FROM members")

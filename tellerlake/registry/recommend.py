@@ -241,11 +241,6 @@ def _(c: Context):
     return S.model_stats(fitted(c)[1], c.src.financial_products)
 
 
-@query("training_sample", "member_id b", "SELECT member_id FROM members WHERE member_status='active' ORDER BY member_id LIMIT 5000")
-def _(c: Context):
-    return S.training_sample(c.wh.current_members)
-
-
 @query("ml_eligibility_score", "customer_id b, product_id b, eligibility_score d", f"SELECT customer_id, product_id, {hu('eligibility_score', 6)} AS eligibility_score FROM ml_scored")
 def _(c: Context):
     neutral = c.src.member_ids.select(F.col("member_id").alias("customer_id"), F.lit(50.0).alias("similarity_score"))

@@ -192,7 +192,7 @@ def _(c: Context):
     return G.context_summary(_context_hits(c))
 
 
-_GUIDE = "||chr(10)||".join("'" + line.replace("'", "''") + "'" for line in G.GUIDELINES)
+_GUIDE = "'## Hints'||chr(10)||'- Follow the links listed above when tables are combined.'||chr(10)||'- Name computed columns, and bound the rows that are asked for.'"
 
 
 @query("context_prompt", "query_id b, prompt s", f"""

@@ -163,12 +163,15 @@ def test_approximate_recall(spark):
 
 def test_batch_search_paths_agree(spark):
     random = np.random.default_rng(5)
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(random.normal(size=(200, 8)))], "vec_id bigint, e array<double>")
-    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(random.normal(size=(20, 8)))], "q bigint, e array<double>")
+    data, batch = random.normal(size=(200, 8)) + 1000, random.normal(size=(20, 8)) + 1000
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id bigint, e array<double>")
+    asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(batch)], "q bigint, e array<double>")
     small = NB.batch_top_k(df, asked, 5, id_column="vec_id", vector="e", query_id="q")
-    large = NB.batch_top_k(df, asked, 5, id_column="vec_id", vector="e", query_id="q", batch_limit=1)
-    columns = ["query_id", "rank", "neighbour_id"]
-    assert rows(small.select(columns)) == rows(large.select(columns))
+    large = NB.batch_top_k(df, asked, 5, id_column="vec_id", vector="e", query_id="q", block_rows=3)
+    columns = ["query_id", "rank", "neighbour_id", "distance"]
+    assert rows(small.select(columns)) == rows(large.select(columns)) and small.count() == 100
+    for r in small.collect():
+        assert r.distance == pytest.approx(((data[r.neighbour_id] - batch[r.query_id]) ** 2).sum(), abs=1e-8)
     with pytest.raises(ValueError):
         NB.batch_top_k(df, asked, 51, id_column="vec_id", vector="e", query_id="q")
 
