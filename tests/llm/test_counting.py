@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from documents import nasty, nothing  # noqa: F401
 from tellerlake.llm import mixing, quality_rules, sharding, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")

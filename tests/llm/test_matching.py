@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from documents import nasty, nothing  # noqa: F401
 from tellerlake.llm import decontamination, graph, jaccard_join, substrings, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -13,9 +13,9 @@ import corpus_pipeline
 from tellerlake.llm import chat_repair, mixing, ngram_features, quality_embeddings, quality_rules, queries
 from tellerlake.llm.common import table
 
-from conftest import SMALL
+from documents import nasty, nothing  # noqa: F401
 
-MIDDLE = "/root/testdata/sf0.01"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
