@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import mix, pieces, stored
 
 ROLES = ("system", "user", "assistant")
 UNKNOWN = 3
@@ -88,33 +88,55 @@ def matrices(costs: Costs) -> np.ndarray:
     return out
 
 
-def segment_matrices(roles: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Cheapest cost from each state to each over every run of turns: (min, +) products, all runs at once."""
-    size = np.diff(bounds)
-    out = np.full((len(size), STATES, STATES), NEVER, dtype=np.int64)
-    out[:, range(STATES), range(STATES)] = 0
-    for i in range(int(size.max()) if len(size) else 0):
-        own = np.flatnonzero(size > i)
-        out[own] = np.minimum((out[own][:, :, :, None] + table[roles[bounds[own] + i]][:, None, :, :]).min(axis=2), NEVER)
-    return out
+def tie_weights(ties: np.ndarray) -> np.ndarray:
+    """32-bit weight of each turn's step from state to state. Among equally cheap repairs the one with the least sum is
+    taken; as the weights come from the turns alone, it does not matter how a conversation is cut."""
+    pair = np.arange(STATES * STATES, dtype=np.uint64).reshape(1, STATES, STATES)
+    return (mix(ties.astype(np.int64).view(np.uint64)[:, None, None] ^ mix(pair + np.uint64(1))) >> np.uint64(32)).astype(np.int64)
+
+
+def least(cost: np.ndarray, tie: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest (cost, tie) along an axis, and where it is."""
+    low = cost.min(axis=axis, keepdims=True)
+    open_ties = np.where(cost == low, tie, np.iinfo(np.int64).max)
+    return np.minimum(low.squeeze(axis), NEVER), open_ties.min(axis=axis), open_ties.argmin(axis=axis)
 
 
-def best_path(roles: np.ndarray, entry: int, leave: int | None, table: np.ndarray, close: dict) -> tuple[list[int], int]:
-    """States behind each turn of a run from state ``entry``, and the run's cost; ``leave`` None ends the conversation."""
-    costs = np.full((len(roles) + 1, STATES), NEVER, dtype=np.int64)
-    costs[0, entry] = 0
-    for i, role in enumerate(roles):
-        costs[i + 1] = np.minimum((costs[i][:, None] + table[role]).min(axis=0), NEVER)
+def segment_matrices(roles: np.ndarray, ties: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost, and tie weight, from each state to each over every run of turns: (min, +) products, all runs at once."""
+    size, weights = np.diff(bounds), tie_weights(ties)
+    cost = np.full((len(size), STATES, STATES), NEVER, dtype=np.int64)
+    tie = np.zeros_like(cost)
+    cost[:, range(STATES), range(STATES)] = 0
+    for i in range(int(size.max()) if len(size) else 0):
+        own = np.flatnonzero(size > i)
+        at = bounds[own] + i
+        cost[own], tie[own], _ = least(cost[own][:, :, :, None] + table[roles[at]][:, None, :, :], tie[own][:, :, :, None] + weights[at][:, None, :, :], 2)
+    return cost, tie
+
+
+def walk(entry: int, leave: int | None, costs, ties, close: dict) -> tuple[list[int], int]:
+    """States behind each of a chain of (min, +) steps, and the total cost; ``leave`` None ends the conversation."""
+    cost, tie = np.full(STATES, NEVER, dtype=np.int64), np.zeros(STATES, dtype=np.int64)
+    cost[entry] = 0
+    back = []
+    for step, weight in zip(costs, ties):
+        cost, tie, origin = least(cost[:, None] + step, tie[:, None] + weight, 0)
+        back.append(origin)
     if leave is None:
-        total, state = min((int(costs[-1, s]) + cost, s) for s, (cost, _) in close.items())
+        total, _, state = min((int(cost[s]) + extra, int(tie[s]), s) for s, (extra, _) in close.items())
     else:
-        total, state = int(costs[-1, leave]), leave
-    path = [state]
-    for i in range(len(roles) - 1, -1, -1):
-        state = int(np.argmin(costs[i] + table[roles[i]][:, state]))
+        total, state = int(cost[leave]), leave
+    path = []
+    for origin in reversed(back):
         path.append(state)
-    path.reverse()
-    return path[1:], total
+        state = int(origin[state])
+    return path[::-1], total
+
+
+def best_path(roles: np.ndarray, ties: np.ndarray, entry: int, leave: int | None, table: np.ndarray, close: dict) -> tuple[list[int], int]:
+    """States behind each turn of a run from state ``entry``, and the run's cost."""
+    return walk(entry, leave, table[roles], tie_weights(ties), close)
 
 
 def role_number(role: str | None) -> int:
@@ -130,7 +152,7 @@ def segments(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], cut, [len(order)])) if len(order) else np.zeros(1, np.int64)
 
 
-SEGMENT = "part long, conv long, conv_first long, rows long, matrix array<long>"
+SEGMENT = "part long, conv long, conv_first long, rows long, costs array<long>, ties array<long>"
 CHOICE = "part long, conv_first long, entry int, leave int, before long, total long, closes boolean"
 
 
@@ -140,11 +162,12 @@ def summarise(table: np.ndarray):
     def run(rows: pa.Table) -> pa.Table:
         order, bounds = segments(rows)
         roles = np.array([role_number(r) for r in rows["_c_role"].to_pylist()], dtype=np.int64)[order]
-        made = segment_matrices(roles, bounds, table)
+        costs, ties = segment_matrices(roles, rows["_c_tie"].to_numpy()[order], bounds, table)
+        flat = lambda m: pa.array(m.reshape(-1, STATES * STATES).tolist(), pa.list_(pa.int64()))
         first = order[bounds[:-1]]
         return pa.table({"part": rows["_c_part"].take(pa.array(first)), "conv": rows["_c_conv"].take(pa.array(first)),
                          "conv_first": rows["_c_nth"].take(pa.array(first)), "rows": pa.array(np.diff(bounds), pa.int64()),
-                         "matrix": pa.array(made.reshape(-1, STATES * STATES).tolist(), pa.list_(pa.int64()))})
+                         "costs": flat(costs), "ties": flat(ties)})
 
     return run
 
@@ -154,19 +177,11 @@ def choose(close: dict):
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("part", "ascending"), ("conv_first", "ascending")])
-        steps = [np.array(m, dtype=np.int64).reshape(STATES, STATES) for m in rows["matrix"].to_pylist()]
-        costs = np.full((len(steps) + 1, STATES), NEVER, dtype=np.int64)
-        costs[0, START] = 0
-        for i, m in enumerate(steps):
-            costs[i + 1] = np.minimum((costs[i][:, None] + m).min(axis=0), NEVER)
-        total, state = min((int(costs[-1, s]) + cost, s) for s, (cost, _) in close.items())
-        states = [state]
-        for i in range(len(steps) - 1, -1, -1):
-            state = int(np.argmin(costs[i] + steps[i][:, state]))
-            states.append(state)
-        states.reverse()
+        costs, ties = (np.array(rows[c].to_pylist(), dtype=np.int64).reshape(-1, STATES, STATES) for c in ("costs", "ties"))
+        path, total = walk(START, None, costs, ties, close)
+        states = [START, *path]
         size = rows["rows"].to_numpy()
-        n = len(steps)
+        n = len(path)
         return pa.table({"part": rows["part"], "conv_first": rows["conv_first"], "entry": pa.array(states[:-1], pa.int32()),
                          "leave": pa.array(states[1:], pa.int32()), "before": pa.array(np.cumsum(size) - size, pa.int64()),
                          "total": pa.array([total] * n, pa.int64()), "closes": pa.array([i == n - 1 for i in range(n)])})
@@ -202,12 +217,12 @@ def rewrite(costs: Costs, template: Template):
         order, bounds = segments(rows)
         roles = np.array([role_number(r) for r in rows["_c_role"].to_pylist()], dtype=np.int64)[order]
         texts = rows["_c_text"].to_pylist()
-        nth = rows["_c_nth"].to_numpy()[order]
+        nth, ties = rows["_c_nth"].to_numpy()[order], rows["_c_tie"].to_numpy()[order]
         chosen = {c["conv_first"]: c for c in choices.to_pylist()}
         out: dict[str, list] = {n: [] for n in ("position", "new_role", "action", "n_inserted", "cost", "total_cost", "rendered")}
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             own = chosen.get(int(nth[a])) or {"entry": START, "leave": None, "before": 0, "total": None, "closes": True}
-            path, total = best_path(roles[a:b], own["entry"], own["leave"], table, close)
+            path, total = best_path(roles[a:b], ties[a:b], own["entry"], own["leave"], table, close)
             state = own["entry"]
             for i in range(a, b):
                 step = steps[roles[i]][state, path[i - a]]
@@ -236,7 +251,8 @@ def repair(turns: DataFrame, costs: Costs = Costs(), template: Template = Templa
 
     A legal conversation has an optional system turn and then user and assistant turns in turn, ending with an
     assistant's. The repair of least total cost may give a turn another role, merge it into the turn before it, or put
-    empty turns before it or at the end; ties are settled the same way in every run. ``rendered`` is what the turn
+    empty turns before it or at the end; equal costs are
+    settled by the turns themselves, however they are partitioned. ``rendered`` is what the turn
     adds to the conversation's text: the pieces in order of ``position`` are the whole.
 
     Turns are ordered by turn, role and text, nulls first. Equal rows count as one turn (``copies``). Roles are
@@ -248,17 +264,17 @@ def repair(turns: DataFrame, costs: Costs = Costs(), template: Template = Templa
     spark = turns.sparkSession
     table, close = matrices(costs), endings(costs)
     rows = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("_c_copies"))
-    rows = stored(rows.select("*", F.coalesce(F.xxhash64("conv_id"), F.lit(0)).alias("_c_conv"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_c_size")), "chat-turns")
+    rows = stored(rows.select("*", F.xxhash64("conv_id").alias("_c_conv")), "chat-turns")
     parts = max(pieces(rows.count(), PART_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["_c_conv", "conv_id", "turn", "role", "text"]
     ranged = (rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-              .select("conv_id", "turn", "role", "_c_conv", "_c_copies", F.col("role").alias("_c_role"), F.col("text").alias("_c_text"),
+              .select("conv_id", "turn", "role", "_c_conv", "_c_copies", F.xxhash64("conv_id", "turn", "role", "text").alias("_c_tie"), F.col("role").alias("_c_role"), F.col("text").alias("_c_text"),
                       F.spark_partition_id().cast("long").alias("_c_part"), F.monotonically_increasing_id().alias("_c_nth")))
     ranged = stored(ranged, "chat-parts")
-    skeleton = ranged.select("_c_part", "_c_nth", "_c_conv", "_c_role")
+    skeleton = ranged.select("_c_part", "_c_nth", "_c_conv", "_c_role", "_c_tie")
     runs = stored(skeleton.groupBy("_c_part").applyInArrow(summarise(table), SEGMENT), "chat-runs")
     cut = runs.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("conv")
-    choices = runs.join(cut, "conv").groupBy("conv").applyInArrow(lambda t: choose(close)(t), CHOICE)
+    choices = runs.join(cut, "conv").groupBy("conv").applyInArrow(choose(close), CHOICE)
     kinds = dict(turns.dtypes)
     return ranged.groupBy("_c_part").cogroup(choices.groupBy("part")).applyInArrow(
         rewrite(costs, template),

@@ -91,7 +91,7 @@ def test_repair_is_cheapest_and_legal():
     table_, steps, close = chat_repair.matrices(chat_repair.Costs()), chat_repair.turn_steps(chat_repair.Costs()), chat_repair.endings(chat_repair.Costs())
     for n in range(1, 6):
         for roles in itertools.product(range(4), repeat=n):
-            path, total = chat_repair.best_path(np.array(roles), chat_repair.START, None, table_, close)
+            path, total = chat_repair.best_path(np.array(roles), np.arange(n), chat_repair.START, None, table_, close)
             assert total == plain_cost(list(roles)), roles
             spoken, state = [], chat_repair.START
             for role, after in zip(roles, path):
