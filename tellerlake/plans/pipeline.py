@@ -20,7 +20,7 @@ from . import warehouse as W
 
 AUDIT_SCHEMA = ("run_id STRING, job_name STRING, source_table STRING, target_table STRING, status STRING, "
                 "records_read BIGINT, records_written BIGINT, duration_seconds DOUBLE, error_message STRING, seq INT")
-MARK_SCHEMA = "job_name STRING, source_table STRING, last_processed_id BIGINT, records_processed BIGINT"
+MARK_SCHEMA = "job_name STRING, source_table STRING, last_processed_id BIGINT, records_processed BIGINT, load INT"
 
 
 @dataclass(frozen=True)
@@ -69,18 +69,22 @@ def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
     ]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def marks(spark: SparkSession, folder: str, job: str) -> DataFrame:
+    """Marks of the loads that a job has committed."""
+    path = os.path.join(folder, "etl_process_tracking")
+    spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (f.split() for f in MARK_SCHEMA.split(", "))]).write.mode("ignore").parquet(path)
+    return spark.read.schema(MARK_SCHEMA).parquet(path).filter(F.col("job_name") == job)
 
 
-def last_mark(spark: SparkSession, folder: str, job: str) -> int:
-    """Highest id a job has processed so far, 0 at first."""
-    path = os.path.join(folder, "etl_process_tracking")
-    if not _exists(spark, path):
-        return 0
-    marks = spark.read.schema(MARK_SCHEMA).parquet(path).filter(F.col("job_name") == job)
-    return marks.agg(F.coalesce(F.max("last_processed_id"), F.lit(0))).first()[0]
+def last_mark(spark: SparkSession, folder: str, job: str) -> tuple[int, int]:
+    """Highest id a job has processed so far and the number of its next load, 0 and 0 at first."""
+    return tuple(marks(spark, folder, job).agg(F.coalesce(F.max("last_processed_id"), F.lit(0)), F.coalesce(F.max("load") + 1, F.lit(0))).first())
+
+
+def committed(spark: SparkSession, folder: str, job: Job) -> DataFrame:
+    """The rows of a fact that stand in loads with a mark; a load that broke off before its mark is not read."""
+    loads = marks(spark, folder, job.name).select("load")
+    return spark.read.parquet(os.path.join(folder, job.target)).join(F.broadcast(loads), "load", "left_semi")
 
 
 def _append(spark: SparkSession, row: tuple, schema: str, path: str) -> None:
@@ -112,19 +116,20 @@ def _run_job(spark: SparkSession, job: Job, folder: str) -> tuple[int, int]:
     rows = job.extract()
     top = F.lit(0).alias("top")
     if job.id_column:
-        rows = K.rows_since(rows, job.id_column, last_mark(spark, folder, job.name))
+        mark, load = last_mark(spark, folder, job.name)
+        rows = K.rows_since(rows, job.id_column, mark)
         top = F.coalesce(F.max(job.id_column), F.lit(0)).alias("top")
     read, written = Observation(), Observation()
     count = F.count(F.lit(1)).alias("n")
     seen = rows.observe(read, count, top) if job.id_column else rows.observe(read, count)
     out = job.transform(seen).observe(written, count)
     path = os.path.join(folder, job.target)
-    if job.date_key:
-        append_fact(out, path, job.date_key)
+    if job.date_key:  # the mark commits the load; a broken load has its number again and is written over
+        append_fact(out, f"{path}/load={load}", job.date_key, mode="overwrite")
     else:
         out.write.mode("overwrite").parquet(path)
     if job.id_column and read.get["n"]:
-        _append(spark, (job.name, job.source, read.get["top"], read.get["n"]), MARK_SCHEMA,
+        _append(spark, (job.name, job.source, read.get["top"], read.get["n"], load), MARK_SCHEMA,
                 os.path.join(folder, "etl_process_tracking"))
     return read.get["n"], written.get["n"]
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dates import day
 from ..plans.warehouse import Warehouse
-from ..session import tune
+from ..session import own_session
 from ..sources.bank import BankSources, read_table
 from .oracle_tables import TABLES
 
@@ -28,7 +28,7 @@ class Context:
     """What a query reads: the source tables and the star schema of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = tune(spark)
+        self.spark = own_session(spark)
         self.folder = folder
         self.asof = day(ASOF)
 

@@ -218,16 +218,11 @@ def _(c: Context):
 
 @query("query_log_daily_windows", "date s, query_count b", "SELECT CAST(ts AS DATE) AS date, count(*) AS query_count FROM events GROUP BY 1")
 def _(c: Context):
-    """The watermarked daily windows, in complete mode."""
+    """The watermarked daily windows, in update mode."""
     target = work_path(c.spark, "windows")
-    counted = Q.count_windows(Q.read_events(c.spark, c.folder), [])
-
-    def replace(batch, number):
-        batch.write.mode("overwrite").parquet(target)
-
-    counted.writeStream.outputMode("complete").foreachBatch(replace).option(
-        "checkpointLocation", work_path(c.spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return c.spark.read.parquet(target)
+    counted = Q.count_windows(Q.read_events(c.spark, c.folder), [], "3650 days")
+    Q.latest_windows(counted, [], target, work_path(c.spark, "checkpoint")).awaitTermination()
+    return Q.read_windows(c.spark, target, [])
 
 
 # Data checks

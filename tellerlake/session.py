@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,33 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the caller's runtime options and, on top, the jobs' own.
+
+    The caller's session keeps its options; data caches and executors are shared.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return tune(own)
+
+
+def ship(spark: SparkSession, archive: str) -> None:
+    """Send the package to the executors, as a zip file at ``archive``, where it is not installed there.
+
+    Functions that run in Python workers are found by import; without this, or a wheel on every executor, they are not.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    with zipfile.ZipFile(archive, "w") as file:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    file.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def local_session(cores: str = "8", name: str = "tellerlake") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     builder = (

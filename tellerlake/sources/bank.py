@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -11,15 +12,16 @@ from . import derivation_sql as D
 from .schemas import SOURCE_SCHEMAS
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
+_SCHEMAS: WeakKeyDictionary[SparkSession, dict[str, T.StructType]] = WeakKeyDictionary()
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Parquet scan; the schema of a path is read from its files once."""
+    """Parquet scan; a session, and so a query, reads the schema of a path from its files once."""
     path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    known = _SCHEMAS.setdefault(spark, {})
+    if path not in known:
+        known[path] = spark.read.parquet(path).schema
+    return spark.read.schema(known[path]).parquet(path)
 
 
 def _conform(df: DataFrame, table: str) -> DataFrame:

@@ -46,8 +46,8 @@ def sink_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def append_fact(df: DataFrame, path: str, date_key: str) -> None:
-    """Append fact rows, laid out by year and month of their YYYYMMDD key for partition pruning.
+def append_fact(df: DataFrame, path: str, date_key: str, mode: str = "append") -> None:
+    """Add fact rows, laid out by year and month of their YYYYMMDD key for partition pruning.
 
     Rebalancing gathers a month into few files of the advisory size and splits a hot month over tasks.
     """
@@ -55,7 +55,7 @@ def append_fact(df: DataFrame, path: str, date_key: str) -> None:
         df.withColumn("key_year", F.floor(F.col(date_key) / 10000).cast("int"))
         .withColumn("key_month", F.floor(F.col(date_key) / 100).cast("int") % 100)
         .hint("rebalance", "key_year", "key_month")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy("key_year", "key_month")
         .parquet(path)
     )

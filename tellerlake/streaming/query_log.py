@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int = 1000) -> DataFrame:
-    schema = spark.read.parquet(os.path.join(folder, pattern)).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+def read_events(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """Stream over ``folder/name``, be it a folder of part files, as a cluster writes, or a single file."""
+    path = os.path.join(folder, name)
+    stored = spark.read.parquet(path)
+    reader = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files_per_batch)
+    files = stored.inputFiles()
+    if files and all(os.path.basename(f) == name for f in files):
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def count_windows(events: DataFrame, keys: list[str], lateness: str = "1 day") -> DataFrame:
-    """Daily counts per key with a watermark; state is dropped once a day is closed."""
+    """Daily counts per key with a watermark; in update mode state is dropped once a day is closed."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     counted = stamped.groupBy(F.window("ts", "1 day").alias("w"), *keys).agg(F.count("*").alias("query_count"))
     return counted.select(F.to_date("w.start").alias("date"), *keys, "query_count")
@@ -42,5 +45,22 @@ def count_deltas(events: DataFrame, keys: list[str], target: str, checkpoint: st
     )
 
 
+def latest_windows(counted: DataFrame, keys: list[str], target: str, checkpoint: str) -> StreamingQuery:
+    """Write the windows that each micro-batch changed, in update mode, to ``target/batch=<n>``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(target, f"batch={number}"))
+
+    return (
+        counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def read_windows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last count written of every window; counts only grow."""
+    return spark.read.parquet(target).groupBy("date", *keys).agg(F.max("query_count").alias("query_count"))
+
+
 def read_counters(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(target).groupBy("date", *keys).agg(F.sum("query_count").alias("query_count"))

@@ -135,7 +135,7 @@ def test_model_properties(small):
 
 def test_filters(small):
     products = small.wh.dim_financial_product
-    assert P.filtered(products, "dim_financial_product", product_id=3).count() == 1
+    assert P.filtered(products, "dim_financial_product", product_id=products.first().product_id).count() == 1
     with pytest.raises(ValueError):
         P.filtered(products, "dim_financial_product", colour="red")
     with pytest.raises(ValueError):
@@ -165,3 +165,58 @@ def test_facts_keep_history_after_a_reload(spark, small):
     after = member_payment_summary(small.wh.fact_payment, scd2_load(
         small.wh.dim_member, rows, "member_id", "member_key", day("2002-06-01"), "expiry_date"))
     assert before.exceptAll(after).count() == 0 and before.count() == after.count()
+
+
+def test_a_query_leaves_the_callers_options(spark):
+    from tellerlake.registry import QUERIES
+
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        QUERIES["customer_count"](spark, "/root/testdata/sf0.001").collect()
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_streams_read_a_folder_of_files(spark, tmp_path):
+    from tellerlake.registry import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for key in ("query_log_counter_stream", "query_log_daily_windows"):
+        assert QUERIES[key](spark, str(tmp_path)).agg({"query_count": "sum"}).first()[0] == events.count()
+
+
+def test_a_broken_load_is_written_over(spark, small):
+    """A fact whose load broke off before its mark is not read, and the next run replaces it."""
+    rows = spark.range(1, 11).selectExpr("id", "20010100 + id AS day")
+    job = PL.Job("facts", "x", "fact_x", lambda: rows, lambda df: df, "id", "day")
+    folder = work_path(spark, "loads")
+    PL.run(spark, [job], folder)
+    more = PL.Job("facts", "x", "fact_x", lambda: rows.unionAll(spark.range(11, 16).selectExpr("id", "20010200 + id AS day")), lambda df: df, "id", "day")
+    files.append_fact(spark.range(90, 99).selectExpr("id", "20010200 AS day"), f"{folder}/fact_x/load=1", "day")
+    assert PL.committed(spark, folder, job).count() == 10
+    PL.run(spark, [more], folder)
+    PL.run(spark, [more], folder)
+    assert sorted(r.id for r in PL.committed(spark, folder, job).collect()) == list(range(1, 16))
+
+
+def test_the_package_is_shipped(tmp_path):
+    """Workers find the code although the program runs elsewhere and nothing is installed."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    program = f"""
+import sys
+sys.path.insert(0, {root!r})
+from tellerlake.operators.neighbours import batch_top_k
+from tellerlake.session import local_session, ship
+spark = local_session("2", "elsewhere")
+ship(spark, {str(tmp_path / 'code.zip')!r})
+rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id bigint, v array<double>")
+print("FOUND", batch_top_k(rows, rows, 2, id_column="id", vector="v", query_id="id").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND 18" in done.stdout, done.stderr[-2000:]
