@@ -1,8 +1,8 @@
 """Order-dependent results that never sort one whole group in one task.
 
 A group (a member, a feature, the whole table) may hold a third of all rows. Positions are therefore
-built bottom-up: rows are ordered only inside small, order-preserving blocks, and blocks pass on counts
-and sums. Every level works on the partial results of the level below.
+built bottom-up: rows are ordered only inside small key ranges, and ranges pass on counts and sums. Every
+level works on the partial results of the level below.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 18  # unique integer ids: at most 2^18 rows share a block
+from ..session import work_path
+
+RANGE_ROWS = 500_000  # rows of one key range
 
 
 def _before(weight: Column, group: Sequence[str], order: Sequence[str]) -> Column:
@@ -21,19 +23,31 @@ def _before(weight: Column, group: Sequence[str], order: Sequence[str]) -> Colum
     return F.coalesce(F.sum(weight).over(w), F.lit(0))
 
 
-def number_rows(df: DataFrame, id_column: str, name: str = "position") -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str], label: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``_range``, the number of the range of ``order`` that a row lies in; ranges ascend with their numbers.
+
+    The ranges are cut from the data, so sparse, dense and skewed keys give ranges of like size, and a group larger
+    than a range spreads over several. The table is written once to the work folder: every later pass, and every
+    retry of a task, sees the same ranges.
+    """
+    spark = df.sparkSession
+    parts = max(blocks_needed(df.count(), rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    path = work_path(spark, label)
+    ranged.write.parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
+
+
+def number_rows(df: DataFrame, id_column: str, name: str = "position", rows: int = RANGE_ROWS) -> DataFrame:
     """1-based position of every row by a unique integer id, over the whole table.
 
-    Rows are sorted inside id blocks; only the block counts go through a single ordered pass.
+    Rows are sorted inside key ranges; only one count for each range goes through a single ordered pass.
     """
-    blocks = df.withColumn("_block", F.shiftright(id_column, BLOCK_BITS))
-    local = blocks.withColumn("_local", F.row_number().over(Window.partitionBy("_block").orderBy(id_column)))
-    totals = blocks.groupBy("_block").agg(F.count("*").alias("_n"))
-    starts = totals.select("_block", F.sum("_n").over(
-        Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
-    joined = local.join(starts, "_block")
-    return joined.withColumn(name, F.col("_local") + F.coalesce(F.col("_start"), F.lit(0))).drop(
-        "_block", "_local", "_start")
+    ranged = in_ranges(df, [id_column], "numbered", rows)
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range").orderBy(id_column)))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", _before(F.col("_n"), [], ["_range"]).alias("_start"))
+    return local.join(F.broadcast(starts), "_range").withColumn(name, F.col("_local") + F.col("_start")).drop("_range", "_local", "_start")
 
 
 def _fold(parts: DataFrame, group: list[str], order: str, extra: dict[str, Column]) -> DataFrame:
@@ -46,12 +60,16 @@ def _fold(parts: DataFrame, group: list[str], order: str, extra: dict[str, Colum
     )
 
 
-def trend_sums(df: DataFrame, group: str, day: str, id_column: str, value: Column) -> DataFrame:
+def trend_sums(df: DataFrame, group: str, day: str, id_column: str, value: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per group, over rows ordered by (day, id) with positions 0..n-1: n, sum, sum of squares,
     sum of position * value, first and last day. ``value`` is a whole number.
+
+    Rows are folded inside key ranges first, then the ranges of a group's day, then its days.
     """
-    rows = df.select(
-        group, day, id_column, F.shiftright(id_column, BLOCK_BITS).alias("_block"),
+    slim = df.select(group, day, id_column, value.cast("decimal(20,0)").alias("_value"))
+    value = F.col("_value")
+    rows = in_ranges(slim, [group, day, id_column], "trend", range_rows).select(
+        group, day, id_column, "_range",
         F.lit(1).cast("bigint").alias("n"), value.cast("decimal(20,0)").alias("s"),
         F.lit(0).cast("decimal(38,0)").alias("sx"),
         (value.cast("decimal(18,0)") * value.cast("decimal(18,0)")).cast("decimal(38,0)").alias("ss"),
@@ -67,8 +85,8 @@ def trend_sums(df: DataFrame, group: str, day: str, id_column: str, value: Colum
         return out.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("s").cast("decimal(20,0)").alias("s"),
                           wide("sx").alias("sx"), wide("ss").alias("ss"), "first_day", "last_day")
 
-    by_block = fold(rows, [group, day, "_block"], id_column)
-    by_day = fold(by_block, [group, day], "_block")
+    by_range = fold(rows, [group, day, "_range"], id_column)
+    by_day = fold(by_range, [group, day], "_range")
     return fold(by_day, [group], day)
 
 

@@ -59,9 +59,12 @@ def hot_payments(spark):
     return spark.createDataFrame(out, "m bigint, d date, id bigint, a double").withColumn("a", F.col("a").cast("decimal(10,2)")).repartition(7)
 
 
-def test_trend_sums_of_a_hot_member(spark):
-    df = hot_payments(spark)
-    got = {r.m: r for r in O.trend_sums(df, "m", "d", "id", cents(F.col("a"))).collect()}
+@pytest.mark.parametrize("spread", [1, 10**9])
+def test_trend_sums_of_a_hot_member(spark, spread):
+    """Two thirds of the rows are one member's, half of them on one day, with dense and with sparse ids."""
+    df = hot_payments(spark).withColumn("id", F.col("id") * spread if spread > 1 else F.col("id")).withColumn(
+        "d", F.when((F.col("m") == 1) & (F.col("id") % 2 == 0), F.lit(dt.date(2001, 1, 5))).otherwise(F.col("d")))
+    got = {r.m: r for r in O.trend_sums(df, "m", "d", "id", cents(F.col("a")), range_rows=100).collect()}
     groups = {}
     for r in sorted(df.collect(), key=lambda r: (r.m, r.d, r.id)):
         groups.setdefault(r.m, []).append(r)
