@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 CELL_ROWS = 2048
 QUERY_ROWS = 1000  # queries that one scan answers
 MAX_PIVOTS = 4096
@@ -152,7 +154,7 @@ def _distinct_neighbours(data: DataFrame, queries: DataFrame, k: int, cosine: bo
         rows, visiting = [n], [n if queries is data else queries.count()]
     else:
         pivots = _pivots(data, cells)
-        assigned = _assign(data, pivots).persist()
+        assigned = kept(_assign(data, pivots), "cells")
         rows, radius, reach = _cell_bounds(assigned, cells, k)
         visits = _visits(queries, pivots, radius, reach, probes)
         visiting = [0] * cells
@@ -198,8 +200,8 @@ def nearest(data: DataFrame, k: int, *, id_column: str, vector: str, metric: str
         rows = df.selectExpr(f"CAST({id_column} AS BIGINT) AS id", f"CAST({vector} AS ARRAY<DOUBLE>) AS vec")
         return unit_vectors(rows, "vec") if cosine else rows
 
-    base = prepared(data).persist()
-    groups = base.groupBy("vec").agg(F.min("id").alias("rep")).persist()
+    base = kept(prepared(data), "vectors")
+    groups = kept(base.groupBy("vec").agg(F.min("id").alias("rep")), "distinct-vectors")
     members = base.join(groups, "vec").select("rep", "id")
     if queries is None:
         asked, askers = groups, members

@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import kept
 
 RANGE_ROWS = 500_000  # rows of one key range
+ACCURACY = 10_000  # of approximate quantiles: ranks are off by rows / ACCURACY at most
 
 
 def _before(weight: Column, group: Sequence[str], order: Sequence[str]) -> Column:
@@ -33,9 +34,7 @@ def in_ranges(df: DataFrame, order: Sequence[str], label: str, rows: int = RANGE
     spark = df.sparkSession
     parts = max(blocks_needed(df.count(), rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
-    path = work_path(spark, label)
-    ranged.write.parquet(path)
-    return spark.read.schema(ranged.schema).parquet(path)
+    return kept(ranged, label)
 
 
 def number_rows(df: DataFrame, id_column: str, name: str = "position", rows: int = RANGE_ROWS) -> DataFrame:
@@ -104,57 +103,89 @@ def previous_day(df: DataFrame, group: str, day: str, id_column: str) -> DataFra
     return joined.withColumn("previous_day", back).drop("_first", "_previous")
 
 
+class _Wanted:
+    """The values at two neighbouring ranks of a column, searched for in the open interval (low, high)."""
+
+    def __init__(self, column: str, rows: int, p: float):
+        self.column, self.ranks = column, {math.floor(p * (rows - 1)), math.ceil(p * (rows - 1))}
+        self.low, self.high, self.below, self.inside = None, None, 0, rows
+        self.values: dict[int, float] = {}
+
+    def left(self) -> list[int]:
+        return sorted(self.ranks - set(self.values))
+
+    def rows(self) -> Column:
+        """The column where it lies in the interval, else null."""
+        held = F.lit(True)
+        if self.low is not None:
+            held = held & (F.col(self.column) > self.low)
+        if self.high is not None:
+            held = held & (F.col(self.column) < self.high)
+        return F.when(held, F.col(self.column))
+
+    def guess(self) -> Column:
+        """Two approximate quantiles of the interval, a little below and above the ranks."""
+        left, margin = self.left(), 2 / ACCURACY
+        at = [(left[0] - self.below) / self.inside - margin, (left[-1] + 1 - self.below) / self.inside + margin]
+        return F.percentile_approx(self.rows(), [min(1.0, max(0.0, x)) for x in at], ACCURACY)
+
+    def counts(self, low: float, high: float) -> Column:
+        c = F.col(self.column)
+        return F.array(*[F.count(F.when(test, 1)) for test in (c < low, c <= low, c < high, c <= high)])
+
+    def narrow(self, low: float, high: float, counts: list[int]) -> None:
+        """Settle the ranks that fall on the two guesses; the others lie below, between or above them."""
+        under_low, with_low, under_high, with_high = counts
+        for rank in self.left():
+            if under_low <= rank < with_low:
+                self.values[rank] = low
+            elif under_high <= rank < with_high:
+                self.values[rank] = high
+        left = self.left()
+        if not left:
+            return
+        end = self.below + self.inside
+        if left[-1] < under_low:
+            self.high, end = low, under_low
+        elif left[0] >= with_high:
+            self.low, self.below = high, with_high
+        else:
+            if left[0] >= with_low:
+                self.low, self.below = low, with_low
+            if left[-1] < under_high:
+                self.high, end = high, under_high
+        self.inside = end - self.below
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    splits: int = 64) -> dict[str, dict[float, float]]:
+                    fetched: int = 1000) -> dict[str, dict[float, float]]:
     """Exact linearly interpolated quantiles of many columns: {column: {probability: quantile}}.
 
-    Equal values are merged before the shuffle. Approximate splitters cut each column into ranges; only
-    range counts are accumulated in order, and only the ranges that hold a wanted rank are sorted. What
-    reaches the driver is bounded by columns x splits. The splitters are fetched once, so that every later
-    pass sees the same ranges.
+    Each round is two aggregates over all columns at once: approximate quantiles bracket the wanted ranks, and exact
+    counts tell which ranks fall on a bracket's ends and how many rows are left inside. Brackets shrink by a factor
+    of thousands each round; once at most ``fetched`` rows are inside, these are fetched. No value is shuffled, and
+    copies of a value cost nothing, as they are counted at a bracket's end.
     """
-    spark = df.sparkSession
-    long = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(columns))
-    counted = (
-        df.selectExpr(f"stack({len(columns)}, {long}) AS (f, v)").filter("v IS NOT NULL")
-        .groupBy("f", "v").agg(F.count("*").alias("n")).persist()
-    )
-    grid = [i / splits for i in range(1, splits)]
-    cuts = counted.groupBy("f").agg(F.percentile_approx("v", grid, 1000).alias("cuts"), F.sum("n").alias("total")).collect()
-    edges = spark.createDataFrame([(r.f, r.cuts) for r in cuts], "f int, cuts array<double>")
-    ranged = counted.join(F.broadcast(edges), "f").select(
-        "f", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
-
-    starts: dict[int, list[tuple[int, int, int]]] = {}
-    for r in sorted(ranged.groupBy("f", "part").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.f, r.part)):
-        known = starts.setdefault(r.f, [])
-        begin = known[-1][2] if known else 0
-        known.append((r.part, begin, begin + r.n))
-
-    def wanted_ranks(total: int, p: float) -> tuple[int, int]:
-        return math.floor(p * (total - 1)), math.ceil(p * (total - 1))
-
-    totals = {r.f: r.total for r in cuts}
-    targets = sorted({
-        (f, part, begin, rank)
-        for f, total in totals.items() for p in probabilities for rank in wanted_ranks(total, p)
-        for part, begin, end in starts[f] if begin <= rank < end})
-    if not targets:
-        return {c: {} for c in columns}
-    wanted = spark.createDataFrame(targets, "f int, part int, begin bigint, rank bigint")
-    hits = ranged.join(F.broadcast(wanted.select("f", "part", "begin").distinct()), ["f", "part"])
-    placed = hits.withColumn("low", F.col("begin") + _before(F.col("n"), ["f", "part"], ["v"]))
-    at_rank = placed.join(F.broadcast(wanted.select("f", "part", "rank")), ["f", "part"]).filter(
-        (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n")))
-    value = {(r.f, r.rank): r.v for r in at_rank.select("f", "rank", "v").collect()}  # two per column and probability
-    counted.unpersist()
-
+    slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    try:
+        rows = slim.agg(*[F.count(c).alias(c) for c in columns]).first()
+        wanted = {(c, p): _Wanted(c, rows[c], p) for c in columns for p in probabilities if rows[c]}
+        while open_ := [w for w in wanted.values() if w.left() and w.inside > fetched]:
+            guesses = slim.agg(*[w.guess().alias(str(i)) for i, w in enumerate(open_)]).first()
+            counts = slim.agg(*[w.counts(*guesses[i]).alias(str(i)) for i, w in enumerate(open_)]).first()
+            for i, w in enumerate(open_):
+                w.narrow(*guesses[i], counts[i])
+        if rest := [w for w in wanted.values() if w.left()]:
+            found = slim.agg(*[F.sort_array(F.collect_list(w.rows())).alias(str(i)) for i, w in enumerate(rest)]).first()
+            for i, w in enumerate(rest):
+                for rank in w.left():
+                    w.values[rank] = found[i][rank - w.below]
+    finally:
+        slim.unpersist()
     out: dict[str, dict[float, float]] = {c: {} for c in columns}
-    for f, total in totals.items():
-        for p in probabilities:
-            low, high = wanted_ranks(total, p)
-            share = p * (total - 1) - low
-            out[columns[f]][p] = value[f, low] + (value[f, high] - value[f, low]) * share
+    for (c, p), w in wanted.items():
+        low, high = w.values[min(w.ranks)], w.values[max(w.ranks)]
+        out[c][p] = low + (high - low) * (p * (rows[c] - 1) - min(w.ranks))
     return out
 
 

@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +85,8 @@ def segments(vectors: DataFrame, k: int = SEGMENTS, restarts: int = RESTARTS, se
     with ThreadPool(min(PARALLEL_FITS, restarts)) as pool:
         models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best, best.transform(cached)
+    cached.unpersist()
+    return best, best.transform(vectors)
 
 
 def customer_segments(scaled: DataFrame, k: int = SEGMENTS, restarts: int = RESTARTS) -> DataFrame:
@@ -107,15 +108,40 @@ def component_variance(scaled: DataFrame, k: int = COMPONENTS) -> DataFrame:
     return scaled.sparkSession.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def total_variance(scaled: DataFrame) -> DataFrame:
+    """Number of all components and the sum of their variances, which is that of the features."""
+    _, rows = principal_components(scaled, len(DW_FEATURES))
+    parts = rows.select(vector_to_array("components").alias("c"))
+    spread = [F.var_pop(F.col("c")[i]) for i in range(len(DW_FEATURES))]
+    return parts.agg(sum(spread[1:], spread[0]).alias("total_variance")).select(F.lit(len(DW_FEATURES)).alias("components"), "total_variance")
+
+
+def segment_check(scaled: DataFrame, k: int = SEGMENTS, restarts: int = RESTARTS) -> DataFrame:
+    """Customers, segments in use, and customers that some other segment's centre is nearer to than their own."""
+    model, rows = segments(_vectors(scaled), k, restarts)
+    own = rows.select("segment", vector_to_array("features").alias("f"))
+    gaps = F.array(*[F.aggregate(F.zip_with("f", F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+                     for centre in model.clusterCenters()])
+    worse = F.get(gaps, F.col("segment")) > F.array_min(gaps) * (1 + 1e-9) + 1e-9
+    return own.agg(F.count("*").alias("customers"), F.countDistinct("segment").alias("segments"), F.count(F.when(worse, 1)).alias("misplaced"))
+
+
+def approximate_recall(scaled: DataFrame, probes: int, k: int = NEIGHBOURS_ASKED) -> DataFrame:
+    """Customers, share of their exact neighbours that the approximate search finds, and pairs whose similarity differs."""
+    exact = customer_neighbours(scaled, k).select("customer_id", "similar_customer_id", F.col("similarity_score").alias("exact"))
+    near = customer_neighbours(scaled, k, probes).select("customer_id", "similar_customer_id", "similarity_score")
+    both = exact.join(near, ["customer_id", "similar_customer_id"], "left")
+    return both.agg(F.countDistinct("customer_id").alias("customers"), (F.count("similarity_score") / F.count("*")).alias("recall"),
+                    F.count(F.when(F.abs(F.col("exact") - F.col("similarity_score")) > 1e-9, 1)).alias("differing"))
+
+
 def model_stats(scaled: DataFrame, products: DataFrame) -> DataFrame:
-    model, _ = principal_components(scaled)
     customers = scaled.agg(F.count("*").alias("total_customers"))
     available = products.filter("is_active").agg(F.count("*")).scalar()
     return customers.select(
         "total_customers", F.lit(len(DW_FEATURES)).alias("feature_dimensions"),
         F.least(F.lit(NEIGHBOURS_KEPT), F.col("total_customers")).cast("int").alias("n_neighbors"),
-        F.least(F.lit(SEGMENTS), F.col("total_customers")).cast("int").alias("n_clusters"),
-        F.lit(float(sum(model.explainedVariance))).alias("pca_explained_variance"), available.alias("available_products"))
+        F.least(F.lit(SEGMENTS), F.col("total_customers")).cast("int").alias("n_clusters"), available.alias("available_products"))
 
 
 def similarity_score(neighbours: DataFrame, top: int = NEIGHBOURS_WEIGHTED) -> DataFrame:

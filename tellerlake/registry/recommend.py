@@ -12,6 +12,7 @@ from ..plans import documents as D
 from ..plans import features as FE
 from ..plans import rules as R
 from ..plans import similarity as S
+from ..session import kept
 from ..streaming import incremental as I
 from .base import ASOF, Context, query
 from .oracle_tables import FEATURES, hu
@@ -54,7 +55,7 @@ def accepted(c: Context) -> DataFrame:
 
 def fitted(c: Context) -> tuple[DataFrame, DataFrame]:
     """Features, kept for training and scoring, and their scaled form."""
-    features = dw_features(c).persist()
+    features = kept(dw_features(c), "features")
     return features, S.scaled_features(features)
 
 
@@ -236,7 +237,24 @@ def _(c: Context):
     return S.component_variance(fitted(c)[1])
 
 
-@query("model_stats", "total_customers b, feature_dimensions b, n_neighbors b, n_clusters b, pca_explained_variance d, available_products b")
+@query("approx_knn_recall", "customers b, recall_reached o, differing b", "SELECT count(*) AS customers, true AS recall_reached, 0 AS differing FROM scaled_features")
+def _(c: Context):
+    return S.approximate_recall(fitted(c)[1], 8).withColumn("recall_reached", F.col("recall") >= 0.9)
+
+
+@query("kmeans_nearest_centre", "customers b, segments b, misplaced b", "SELECT count(*) AS customers, 10 AS segments, 0 AS misplaced FROM scaled_features")
+def _(c: Context):
+    return S.segment_check(fitted(c)[1])
+
+
+@query("pca_total_variance", "components b, total_variance d", f"SELECT {len(FEATURES)} AS components, {hu(' + '.join(f'var_pop({n})' for n in FEATURES), 4)} AS total_variance FROM scaled_features")
+def _(c: Context):
+    return S.total_variance(fitted(c)[1]).withColumn("total_variance", half_up(F.col("total_variance"), 4))
+
+
+@query("model_stats", "total_customers b, feature_dimensions b, n_neighbors b, n_clusters b, available_products b", """
+SELECT count(*) AS total_customers, 37 AS feature_dimensions, least(50, count(*)) AS n_neighbors, least(10, count(*)) AS n_clusters,
+ (SELECT count(*) FROM financial_products WHERE is_active) AS available_products FROM scaled_features""")
 def _(c: Context):
     return S.model_stats(fitted(c)[1], c.src.financial_products)
 

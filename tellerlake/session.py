@@ -93,6 +93,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "tellerlake", f"{label}-{uuid.uuid4().hex}")
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the work folder and read back: nothing stays in executor memory, and lost executors cost nothing."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder."""
     shared_dir(df.sparkSession)
