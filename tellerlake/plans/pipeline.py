@@ -1,6 +1,7 @@
-"""The warehouse load: seven jobs in dependency order, with audit rows and high-water marks.
+"""The warehouse load: nine jobs in dependency order, with audit rows and high-water marks.
 
-Every job is a lazy DataFrame and one write. Row counts come from observations of that write.
+Every job is a lazy DataFrame and one write to a numbered load of its target. The job's mark commits the load, so a
+load that breaks off is never read and its number is used again. Row counts come from observations of the write.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from . import warehouse as W
 
 AUDIT_SCHEMA = ("run_id STRING, job_name STRING, source_table STRING, target_table STRING, status STRING, "
                 "records_read BIGINT, records_written BIGINT, duration_seconds DOUBLE, error_message STRING, seq INT")
-MARK_SCHEMA = "job_name STRING, source_table STRING, last_processed_id BIGINT, records_processed BIGINT, load INT"
+MARK_SCHEMA = ("job_name STRING, source_table STRING, target_table STRING, last_processed_id BIGINT, records_processed BIGINT, "
+               "load INT, adds BOOLEAN")
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ class Job:
     extract: Callable[[], DataFrame]
     transform: Callable[[DataFrame], DataFrame]
     id_column: str | None = None  # extract only rows above the mark of this id
-    date_key: str | None = None  # facts are appended by this key, dimensions are replaced
+    date_key: str | None = None  # loads of this job add up and are laid out by this key; others replace the load before
 
 
 def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
@@ -39,17 +41,23 @@ def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
     src = w.src
 
     def done(table: str) -> DataFrame:
-        return w.spark.read.parquet(os.path.join(folder, table))
+        return stored_table(w.spark, folder, table)
 
     def current(table: str) -> DataFrame:
         return done(table).filter("is_current")
 
+    def versions(rows: DataFrame, table: str, natural: str, key: str, expiry: str) -> DataFrame:
+        """The first load opens a version of every row; later ones close it and open the next."""
+        if next_load(w.spark, folder, table) == 0:
+            return K.first_versions(rows, natural, key, w.asof, expiry)
+        return K.scd2_load(done(table), rows, natural, key, w.asof, expiry)
+
     def members(rows: DataFrame) -> DataFrame:
-        return K.first_versions(W.member_rows(rows, w.asof), "member_id", "member_key", w.asof, "expiry_date")
+        return versions(W.member_rows(rows, w.asof), "dim_member", "member_id", "member_key", "expiry_date")
 
     def cards(rows: DataFrame) -> DataFrame:
         derived = W.card_rows(rows, current("dim_member"), w.asof)
-        return K.first_versions(derived, "card_id", "card_key", w.asof, "expiry_date_scd")
+        return versions(derived, "dim_credit_card", "card_id", "card_key", "expiry_date_scd")
 
     def payments(rows: DataFrame) -> DataFrame:
         return W.payment_facts(W.payment_keys(
@@ -66,70 +74,88 @@ def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
             "payment_id", "payment_date_key"),
         Job("financial_health", "financial_health_metrics", "fact_financial_health", lambda: src.financial_health_metrics,
             lambda rows: W.health_facts(rows, current("dim_member"), done("dim_date")), "metric_id", "assessment_date_key"),
+        Job("recommendation", "product_recommendations", "fact_product_recommendation", lambda: src.product_recommendations,
+            lambda rows: W.recommendation_facts(rows, current("dim_member"), done("dim_financial_product"), done("dim_date"), w.asof)),
+        Job("card_balance", "payment_history", "fact_credit_card_balance",
+            lambda: W.monthly_balances(src.credit_cards, src.payment_history, w.asof),
+            lambda rows: W.balance_facts(rows, current("dim_credit_card"), done("dim_date"))),
     ]
 
 
-def marks(spark: SparkSession, folder: str, job: str) -> DataFrame:
-    """Marks of the loads that a job has committed."""
+def marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Marks of the loads that jobs have committed."""
     path = os.path.join(folder, "etl_process_tracking")
-    spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in (f.split() for f in MARK_SCHEMA.split(", "))]).write.mode("ignore").parquet(path)
-    return spark.read.schema(MARK_SCHEMA).parquet(path).filter(F.col("job_name") == job)
+    fields = [f.split() for f in MARK_SCHEMA.split(", ")]
+    spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in fields]).write.mode("ignore").parquet(path)
+    return spark.read.schema(MARK_SCHEMA).parquet(path)
+
+
+def last_mark(spark: SparkSession, folder: str, job: str) -> int:
+    """Highest id a job has processed so far, 0 at first."""
+    found = marks(spark, folder).filter(F.col("job_name") == job)
+    return found.agg(F.coalesce(F.max("last_processed_id"), F.lit(0))).first()[0]
 
 
-def last_mark(spark: SparkSession, folder: str, job: str) -> tuple[int, int]:
-    """Highest id a job has processed so far and the number of its next load, 0 and 0 at first."""
-    return tuple(marks(spark, folder, job).agg(F.coalesce(F.max("last_processed_id"), F.lit(0)), F.coalesce(F.max("load") + 1, F.lit(0))).first())
+def next_load(spark: SparkSession, folder: str, table: str) -> int:
+    found = marks(spark, folder).filter(F.col("target_table") == table)
+    return found.agg(F.coalesce(F.max("load") + 1, F.lit(0))).first()[0]
 
 
-def committed(spark: SparkSession, folder: str, job: Job) -> DataFrame:
-    """The rows of a fact that stand in loads with a mark; a load that broke off before its mark is not read."""
-    loads = marks(spark, folder, job.name).select("load")
-    return spark.read.parquet(os.path.join(folder, job.target)).join(F.broadcast(loads), "load", "left_semi")
+def stored_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A warehouse table as the committed loads have left it: all loads of a growing fact, else the last one."""
+    found = marks(spark, folder).filter(F.col("target_table") == table).select("load", "adds").collect()  # one row per load
+    if not found:
+        raise LookupError(f"{table} has not been loaded")
+    loads = sorted({m.load for m in found if m.adds}) or [max(m.load for m in found)]
+    path = os.path.join(folder, table)
+    return spark.read.option("basePath", path).parquet(*[f"{path}/load={n}" for n in loads]).drop("load")
 
 
-def _append(spark: SparkSession, row: tuple, schema: str, path: str) -> None:
-    """Append one literal row; it is built in the JVM, no Python worker starts for it."""
+def _append(spark: SparkSession, rows: list[tuple], schema: str, path: str) -> None:
+    """Append a few literal rows; they are built in the JVM, no Python worker starts for them."""
     fields = [field.split() for field in schema.split(", ")]
-    values = [F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, fields, strict=True)]
-    spark.range(0, 1, 1, 1).select(*values).write.mode("append").parquet(path)
+    built = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)]) for row in rows])
+    spark.range(0, 1, 1, 1).select(F.inline(built)).write.mode("append").parquet(path)
 
 
 def run(spark: SparkSession, jobs: list[Job], folder: str, names: list[str] | None = None) -> DataFrame:
     """Run the named jobs (default: all) in order; a failure is recorded and the next job still runs."""
     run_id = uuid.uuid4().hex
     audit = os.path.join(folder, "etl_job_audit_log")
+    ended: list[tuple] = []
     for job in [j for j in jobs if names is None or j.name in names]:
         head = (run_id, job.name, job.source, job.target)
-        _append(spark, (*head, "started", 0, 0, 0.0, None, 0), AUDIT_SCHEMA, audit)
+        # the end of a job and the start of the next are one append
+        _append(spark, [*ended, (*head, "started", 0, 0, 0.0, None, 0)], AUDIT_SCHEMA, audit)
         start = time.monotonic()
         try:
             seen = _run_job(spark, job, folder)
-            end = (*head, "success", *seen, time.monotonic() - start, None, 1)
+            ended = [(*head, "success", *seen, time.monotonic() - start, None, 1)]
         except Exception as error:  # recorded, and the remaining jobs still run
-            end = (*head, "failed", 0, 0, time.monotonic() - start, str(error), 1)
-        _append(spark, end, AUDIT_SCHEMA, audit)
+            ended = [(*head, "failed", 0, 0, time.monotonic() - start, str(error), 1)]
+    if ended:
+        _append(spark, ended, AUDIT_SCHEMA, audit)
     return latest_audit(spark.read.schema(AUDIT_SCHEMA).parquet(audit).filter(F.col("run_id") == run_id))
 
 
 def _run_job(spark: SparkSession, job: Job, folder: str) -> tuple[int, int]:
-    """One write; both counts and the new mark are observed while it runs."""
+    """One write and its mark; both counts and the new mark are observed while the write runs."""
     rows = job.extract()
+    load = next_load(spark, folder, job.target)
     top = F.lit(0).alias("top")
     if job.id_column:
-        mark, load = last_mark(spark, folder, job.name)
-        rows = K.rows_since(rows, job.id_column, mark)
+        rows = K.rows_since(rows, job.id_column, last_mark(spark, folder, job.name))
         top = F.coalesce(F.max(job.id_column), F.lit(0)).alias("top")
     read, written = Observation(), Observation()
     count = F.count(F.lit(1)).alias("n")
-    seen = rows.observe(read, count, top) if job.id_column else rows.observe(read, count)
-    out = job.transform(seen).observe(written, count)
-    path = os.path.join(folder, job.target)
-    if job.date_key:  # the mark commits the load; a broken load has its number again and is written over
-        append_fact(out, f"{path}/load={load}", job.date_key, mode="overwrite")
+    out = job.transform(rows.observe(read, count, top)).observe(written, count)
+    path = os.path.join(folder, job.target, f"load={load}")
+    if job.date_key:
+        append_fact(out, path, job.date_key, mode="overwrite")
     else:
         out.write.mode("overwrite").parquet(path)
-    if job.id_column and read.get["n"]:
-        _append(spark, (job.name, job.source, read.get["top"], read.get["n"], load), MARK_SCHEMA,
+    if read.get["n"] or not job.id_column:
+        _append(spark, [(job.name, job.source, job.target, read.get["top"], read.get["n"], load, bool(job.date_key))], MARK_SCHEMA,
                 os.path.join(folder, "etl_process_tracking"))
     return read.get["n"], written.get["n"]
 

@@ -181,7 +181,10 @@ UNION ALL SELECT 'member','dim_member','success',(SELECT count(*) FROM members),
 UNION ALL SELECT 'credit_card','dim_credit_card','success',(SELECT count(*) FROM credit_cards),(SELECT count(*) FROM dim_credit_card)
 UNION ALL SELECT 'financial_product','dim_financial_product','success',(SELECT count(*) FROM financial_products),(SELECT count(*) FROM dim_financial_product)
 UNION ALL SELECT 'payment_history','fact_payment','success',(SELECT count(*) FROM payment_history),(SELECT count(*) FROM fact_payment)
-UNION ALL SELECT 'financial_health','fact_financial_health','success',(SELECT count(*) FROM financial_health_metrics),(SELECT count(*) FROM fact_financial_health)"""
+UNION ALL SELECT 'financial_health','fact_financial_health','success',(SELECT count(*) FROM financial_health_metrics),(SELECT count(*) FROM fact_financial_health)
+UNION ALL SELECT 'recommendation','fact_product_recommendation','success',(SELECT count(*) FROM product_recommendations),(SELECT count(*) FROM fact_product_recommendation)
+UNION ALL SELECT 'card_balance','fact_credit_card_balance','success',(SELECT count(DISTINCT (card_id, last_day(payment_date))) FROM payment_history WHERE last_day(payment_date)<DATE '2001-12-31')+(SELECT count(*) FROM credit_cards),
+ (SELECT count(*) FROM fact_credit_card_balance)"""
 
 
 @query("run_pipeline", "job_name s, target_table s, status s, records_read b, records_written b", _RUN_SQL)

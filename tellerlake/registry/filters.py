@@ -71,6 +71,24 @@ def _(c: Context):
     return P.point_lookup(c.wh.fact_credit_card_balance, "balance_key", 6000000 + 200112)
 
 
+@query("point_lookup_member", "member_key b, member_id b, email s, age_group s, income_bracket s", "SELECT * FROM dim_member WHERE member_id=42")
+def _(c: Context):
+    return P.point_lookup(c.wh.dim_member, "member_id", 42)
+
+
+@query("point_lookup_card", "card_key b, card_id b, member_id b, credit_limit d, card_status s", "SELECT * FROM dim_credit_card WHERE card_id=11")
+def _(c: Context):
+    return P.point_lookup(c.wh.dim_credit_card, "card_id", 11)
+
+
+@query("point_lookup_product", "product_key b, product_id b, product_name s, fee_category s",
+       "SELECT * FROM dim_financial_product WHERE product_id=(SELECT min(product_id) FROM financial_products)")
+def _(c: Context):
+    products = c.wh.dim_financial_product
+    least = products.agg(F.min("product_id").alias("product_id"))
+    return products.join(F.broadcast(least), "product_id")
+
+
 @query("search_customers", "customer_id s, first_name s, last_name s, email s, phone s, date_of_birth s" + PAGE,
        "SELECT member_id AS customer_id, *, count(*) OVER () AS total, 1 AS page_number, CAST(ceil(count(*) OVER () / 100.0) AS INT) AS total_pages FROM members WHERE lower(first_name||' '||last_name) LIKE '%r 00000001%' OR lower(email) LIKE '%member7%' "
        "OR phone LIKE '%-00%' ORDER BY member_id LIMIT 100")

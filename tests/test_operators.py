@@ -96,7 +96,7 @@ def test_exact_quantiles_with_copies_and_constants(spark):
     values = np.round(random.exponential(100, 2500), 2)
     data = [(float(v), 0.0 if i % 3 else float(i), 7.0, None if i % 5 else float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(5)
-    got = O.exact_quantiles(df, ["a", "b", "c", "d"], [0.25, 0.5, 0.75, 1.0], splits=16)
+    got = O.exact_quantiles(df, ["a", "b", "c", "d"], [0.25, 0.5, 0.75, 1.0], fetched=20)
     for i, name in enumerate("abcd"):
         column = [r[i] for r in data if r[i] is not None]
         for p, q in got[name].items():
