@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import documents as D
 from ..plans import filters as P
+from ..session import kept
 from .base import Context, query
 
 PAGE = ", total b, page_number b, total_pages b"
@@ -128,24 +129,27 @@ def _(c: Context):
     return P.active_members(c.src.member_ids)
 
 
-@query("docs_for_customer", "customer_id s, items b, best s",
-       """SELECT m.member_id AS customer_id, count(r.product_id) AS items, min(CASE WHEN rank=1 THEN product_name END) AS best
-        FROM members m LEFT JOIN rule_top r USING (member_id) GROUP BY m.member_id""")
+@query("docs_for_customer", "customer_id s, rule_items b, rule_best s, ml_items b, ml_best s", """
+SELECT m.member_id AS customer_id, coalesce(r.n, 0) AS rule_items, r.best AS rule_best, coalesce(t.n, 0) AS ml_items, t.best AS ml_best FROM members m
+LEFT JOIN (SELECT member_id, count(*) AS n, min(CASE WHEN rank=1 THEN product_name END) AS best FROM rule_top GROUP BY 1) r USING (member_id)
+LEFT JOIN (SELECT customer_id, count(*) AS n, min(CASE WHEN rank=1 THEN product_name END) AS best FROM ml_top GROUP BY 1) t ON t.customer_id=m.member_id""")
 def _(c: Context):
-    from .recommend import rule_docs
+    from .recommend import ml_docs, rule_docs
 
     wanted = c.src.member_ids.select(F.col("member_id").alias("customer_id"))
-    docs = D.for_customers(wanted, rule_docs(c))
-    return docs.select("customer_id", F.size("recommendations").alias("items"), F.get("recommendations", F.lit(0))["product_name"].alias("best"))
+    sides = [D.for_customers(wanted, docs).select(
+        "customer_id", F.size("recommendations").alias(f"{name}_items"), F.get("recommendations", F.lit(0))["product_name"].alias(f"{name}_best"))
+        for name, docs in (("rule", rule_docs(c)), ("ml", ml_docs(c)))]
+    return sides[0].join(sides[1], "customer_id")
 
 
 @query("customers_for_product", "customer_id s",
-       "SELECT member_id AS customer_id FROM rule_top WHERE product_name=(SELECT product_name FROM financial_products WHERE product_id=6)")
+       "SELECT member_id AS customer_id FROM rule_top WHERE product_name=(SELECT min(product_name) FROM rule_top)")
 def _(c: Context):
     from .recommend import rule_docs
 
-    name = c.src.financial_products.filter("product_id = 6").first().product_name
-    return D.with_product(rule_docs(c), name)
+    docs = kept(rule_docs(c), "rule-documents")
+    return D.with_product(docs, D.exploded(docs).agg(F.min("product_name").alias("name")).first().name)
 
 
 @query("display_projection", '"Customer b, Name s, Email s, Phone s, DOB s',

@@ -118,19 +118,19 @@ def _(c: Context):
     return S.exclude_owned(seen, _accepted(c)).distinct()
 
 
-_SIDES_SQL = ("(SELECT member_id AS customer_id, count(*) AS n FROM product_recommendations WHERE recommendation_status='{0}' GROUP BY 1)")
-
-
-@query("compare_recommendations", "customer_id b, rule_items b, ml_items b",
-       f"SELECT coalesce(a.customer_id,b.customer_id) AS customer_id, a.n AS rule_items, b.n AS ml_items FROM {_SIDES_SQL.format('accepted')} a "
-       f"FULL JOIN {_SIDES_SQL.format('declined')} b ON a.customer_id=b.customer_id")
+@query("compare_recommendations", "customer_id s, rule_items b, ml_items b, rule_products s, ml_products s", """
+SELECT coalesce(a.member_id, b.customer_id) AS customer_id, a.n AS rule_items, b.n AS ml_items, a.products AS rule_products, b.products AS ml_products
+FROM (SELECT member_id, count(*) AS n, string_agg(product_name, '|' ORDER BY rank) AS products FROM rule_top GROUP BY 1) a
+FULL JOIN (SELECT customer_id, count(*) AS n, string_agg(product_name, '|' ORDER BY rank) AS products FROM ml_top GROUP BY 1) b ON a.member_id=b.customer_id""")
 def _(c: Context):
-    def side(status: str):
-        return c.src.product_recommendations.filter(F.col("recommendation_status") == status).groupBy(
-            F.col("member_id").alias("customer_id")).agg(F.count("*").alias("n"))
+    from .recommend import ml_docs, rule_docs
+
+    def names(side: str):
+        return F.array_join(F.transform(f"{side}.recommendations", lambda r: r["product_name"]), "|")
 
-    return D.compared(side("accepted"), side("declined")).select(
-        "customer_id", F.col("rule_based.n").alias("rule_items"), F.col("ml_based.n").alias("ml_items"))
+    return D.compared(rule_docs(c), ml_docs(c)).select(
+        "customer_id", F.size("rule_based.recommendations").alias("rule_items"), F.size("ml_based.recommendations").alias("ml_items"),
+        names("rule_based").alias("rule_products"), names("ml_based").alias("ml_products"))
 
 
 @query("nl_payments_vs_average", "payment_id b, member_id b, first_name s, last_name s, payment_date s, payment_amount d, avg_payment_amount_last_year d", f"""

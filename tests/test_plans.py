@@ -241,3 +241,12 @@ print("FOUND", batch_top_k(rows, rows, 2, id_column="id", vector="v", query_id="
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "FOUND 18" in done.stdout, done.stderr[-2000:]
+
+
+def test_comparison_with_a_side_missing(spark):
+    from tellerlake.plans import documents as D
+
+    rule = spark.createDataFrame([("1", ["a"]), ("2", ["b"])], "customer_id string, recommendations array<string>")
+    similar = spark.createDataFrame([("2", ["c"]), ("3", ["d"])], "customer_id string, recommendations array<string>")
+    got = {r.customer_id: (r.rule_based, r.ml_based) for r in D.compared(rule, similar).collect()}
+    assert got["1"][1] is None and got["3"][0] is None and got["2"][0].recommendations == ["b"] and "4" not in got
