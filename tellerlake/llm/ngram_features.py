@@ -12,16 +12,18 @@ from .common import chunks, hash_strings, split_words, window_hashes
 BITS = 16
 WORD_SIZES = (1, 2)
 CHAR_SIZES = (3, 4)
+PATTERN = 4
 FAMILIES = len(WORD_SIZES) + len(CHAR_SIZES)
 SPREAD, FINISH = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 SAMPLE = pa.schema([("fold", pa.int64()), ("label", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary())])
 
 
-def families(texts: pa.Array):
+def families(texts: pa.Array, patterns: bool = False):
     """For each n-gram size: (bounds, ids); ids[bounds[i]:bounds[i+1]] are the buckets of text i's n-grams.
 
     Every family has buckets of its own. Words are runs of characters other than white space, unchanged; characters
-    are code points. N-grams never cross texts; a null text has none.
+    are code points. N-grams never cross texts; a null text has none. ``patterns`` adds a family of word n-grams in
+    which every word stands for its first place in the n-gram, so that all n-grams that repeat a word alike are one.
     """
     bounds, codes, words = split_words(texts)
     hashed = hash_strings(words, 11)[codes] if len(codes) else np.zeros(0, np.uint64)
@@ -41,6 +43,20 @@ def families(texts: pa.Array):
         mixed = (rolling ^ (rolling >> np.uint32(15))) * FINISH
         yield inner(ends, size, (mixed >> np.uint32(32 - BITS)).astype(np.int64), number)
         number += 1
+    if patterns:
+        yield inner(bounds, PATTERN, word_patterns(codes, PATTERN), number)
+
+
+def word_patterns(codes: np.ndarray, size: int) -> np.ndarray:
+    """For each run of ``size`` words the places at which each of them first stands in it, as one number."""
+    count = max(0, len(codes) - size + 1)
+    out = np.zeros(count, dtype=np.int64)
+    for i in range(1, size):
+        first = np.full(count, i)
+        for j in range(i - 1, -1, -1):
+            first[codes[i : i + count] == codes[j : j + count]] = j
+        out = out * size + first
+    return out
 
 
 def inner(bounds: np.ndarray, size: int, ids: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,18 +81,18 @@ def means(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def linear_scores(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+def linear_scores(texts: pa.Array, table: np.ndarray, patterns: bool = False) -> np.ndarray:
     """Sum over the families of the mean of ``table`` at the text's n-grams."""
     total = np.zeros(len(texts))
-    for bounds, ids in families(texts):
+    for bounds, ids in families(texts, patterns):
         total += means(bounds, table[ids])
     return total
 
 
-def sparse_rows(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+def sparse_rows(texts: pa.Array, patterns: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, weights) of each text: a bucket's share of its family's n-grams."""
     rows: list[list] = [[] for _ in range(len(texts))]
-    for bounds, ids in families(texts):
+    for bounds, ids in families(texts, patterns):
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
             if b > a:
                 found, count = np.unique(ids[a:b], return_counts=True)
@@ -85,7 +101,7 @@ def sparse_rows(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [tuple(np.concatenate(x) for x in zip(*own)) if own else empty for own in rows]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, folds: tuple[int, ...], text: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, folds: tuple[int, ...], text: str = "text", patterns: bool = False) -> DataFrame:
     """fold, label and sparse features of at most ``limit`` labelled documents, those of the smallest hashed ids.
 
     The fold of a document is crc32 of its id, as text, modulo 4; only those in ``folds`` are used. Null ids and null
@@ -104,7 +120,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     def featurise(batches):
         for batch in batches:
             for chunk in chunks(batch, "_t"):
-                made = sparse_rows(chunk["_t"])
+                made = sparse_rows(chunk["_t"], patterns)
                 yield pa.RecordBatch.from_arrays(
                     [chunk["fold"], chunk["label"], pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()),
                      pa.array([w.astype(np.float32).tobytes() for _, w in made], pa.binary())], schema=SAMPLE)
