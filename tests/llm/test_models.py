@@ -57,6 +57,8 @@ def test_features_do_not_depend_on_neighbours():
     together = ngram_features.linear_scores(pa.array(texts), table_)
     alone = [ngram_features.linear_scores(pa.array([t], pa.string()), table_)[0] for t in texts]
     assert np.allclose(together, alone) and together[1] == together[2] == 0
+    one, other = (ngram_features.word_patterns(np.array(c), 4).tolist() for c in ([7, 7, 7, 7, 8], [5, 5, 5, 5, 1]))
+    assert one == other and one[0] != one[1] and ngram_features.word_patterns(np.array([1, 2, 1]), 4).size == 0
     ids, weights = ngram_features.sparse_rows(pa.array(["abcd"]))[0]
     assert weights.sum() == pytest.approx(3)  # one word, no pair of words, two families of characters
 
