@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import free_of, hash_strings, pieces, split_words, text_bytes, window_hashes
+from .common import chunks, free_of, hash_strings, pieces, split_words, text_bytes, window_hashes
 
 WINDOW = 35
 #: Words of a minimiser: long enough that unrelated passages seldom share one.
 MINIMISER = 8
 #: Text that one task holds at a time.
 GROUP_BYTES = 8 << 20
-BLOB = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("minimisers", pa.binary()), ("packed", pa.binary()), ("refs", pa.binary())])
-SPANS = pa.schema([("grp", pa.int64()), ("spans", pa.binary())])
+#: Text in which common minimisers are looked for, and words of strings from which on a minimiser is common.
+LOOK_BYTES = 64 << 20
+COMMON_WORDS = 2 << 20
+BLOB = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("minimisers", pa.binary()), ("times", pa.binary()), ("packed", pa.binary())])
+HITS = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("hits", pa.binary())])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -48,51 +51,69 @@ class Texts:
         return self.joined[self.starts[first] : self.starts[last] - 1] if last > first else b""
 
 
-def super_kmers(texts: Texts, k: int, m: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, text, minimiser, minimiser occurs again) of each run of windows with one minimiser.
+def super_kmers(texts: Texts, k: int, m: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first window, windows, text, key, key occurs again) of each run of windows with one key.
 
+    The key is the window's minimiser among the runs of ``m`` words that are not ``common``; a window without such
+    a run is one by itself, keyed by the hash of all its words. Equal windows have equal keys, whatever is common.
     A run stays inside its text. Only a run in which the minimiser occurs twice can hold two equal windows.
     """
     none = np.zeros(0, np.int64)
     n = len(texts.codes) - k + 1
     if n <= 0:
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    word_hash = hash_strings(texts.words)
-    short = window_hashes(word_hash[texts.codes], m)
+    word_hash = hash_strings(texts.words)[texts.codes]
+    short = window_hashes(word_hash, m)
+    last = np.uint64(0xFFFFFFFFFFFFFFFF)
+    if len(common):
+        short[common[np.minimum(np.searchsorted(common, short), len(common) - 1)] == short] = last
     least = sliding_min(short, k - m + 1)
     owner = np.repeat(np.arange(len(texts.bounds) - 1), np.diff(texts.bounds))
-    inside = owner[:n] == owner[k - 1 :]
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(owner[:n] == owner[k - 1 :])
     if not len(at):
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+    alone = least == last
+    if alone.any():
+        least[alone] = window_hashes(word_hash, k)[alone]
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+    new[1:] = (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]]) | alone[at[1:]] | alone[at[:-1]]
     run = np.flatnonzero(new)
     first, windows = at[run], np.diff(np.append(run, len(at)))
     span = windows + k - m
     begin = np.concatenate(([0], np.cumsum(span)))[:-1]
     places = np.arange(int(span.sum())) + np.repeat(first - begin, span)
     again = np.add.reduceat((short[places] == np.repeat(least[first], span)).astype(np.int64), begin) > 1
-    return first, windows, owner[first], least[first], again
+    return first, windows, owner[first], least[first], again & ~alone[first]
 
 
-def sender(buckets: int, k: int, m: int):
-    """Packs a group's super-k-mers, each distinct string once, into one blob for each bucket."""
+def by_bucket(key: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, its runs) for each bucket that the keys fall into."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[own[0]]), own) for own in np.split(order, cuts)] if len(order) else []
+
+
+def numbered(texts: Texts, first: np.ndarray, windows: np.ndarray, k: int) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each run's string, and the distinct strings in the order of their numbers."""
+    number: dict[bytes, int] = {}
+    ids = [number.setdefault(texts.slice(f, f + w + k - 1), len(number)) for f, w in zip(first.tolist(), windows.tolist())]
+    return np.array(ids, dtype=np.int64), list(number)
+
+
+def sender(buckets: int, k: int, m: int, shared):
+    """Packs a group's super-k-mers, each distinct string once with its number of occurrences, into one blob for each bucket."""
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
         texts = Texts(rows["_ss_text"])
-        first, windows, owner, least, again = super_kmers(texts, k, m)
-        bucket = (least % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        first, windows, owner, least, again = super_kmers(texts, k, m, shared.value)
         pack = zstandard.ZstdCompressor(level=3)
         out: dict[str, list] = {name: [] for name in BLOB.names}
-        for own in np.split(order, cuts) if len(order) else []:
-            number: dict[bytes, int] = {}
-            ids = np.array([number.setdefault(texts.slice(f, f + w + k - 1), len(number)) for f, w in zip(first[own].tolist(), windows[own].tolist())])
-            sample = np.unique(ids, return_index=True)[1]
-            refs = np.stack([ids, owner[own], first[own] - texts.bounds[owner[own]], texts.copies[owner[own]]]).astype(np.uint32)
-            for name, value in zip(BLOB.names, (key[0].as_py(), int(bucket[own[0]]), least[own[sample]].tobytes() + again[own[sample]].tobytes(), pack.compress(b"\n".join(number)), pack.compress(refs.tobytes()))):
+        for bucket, own in by_bucket(least, buckets):
+            ids, strings = numbered(texts, first[own], windows[own], k)
+            sample = own[np.unique(ids, return_index=True)[1]]
+            times = np.bincount(ids, weights=texts.copies[owner[own]]).astype(np.int64)
+            for name, value in zip(BLOB.names, (key[0].as_py(), bucket, least[sample].tobytes() + again[sample].tobytes(), pack.compress(times.tobytes()), pack.compress(b"\n".join(strings)))):
                 out[name].append(value)
         return pa.table(out, schema=BLOB)
 
@@ -113,7 +134,7 @@ def same_windows(codes: np.ndarray, k: int) -> np.ndarray:
 
 
 def counter(k: int):
-    """Counts a bucket's windows and returns, for each group, the window starts that occur more than once."""
+    """Counts a bucket's windows and returns, for each group, the runs of windows of its strings that occur more than once."""
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -123,13 +144,14 @@ def counter(k: int):
             n = len(b) // 9
             least.append(np.frombuffer(b, np.uint64, n))
             again.append(np.frombuffer(b, bool, n, 8 * n))
-        refs = [np.frombuffer(unpack.decompress(b), np.uint32).reshape(4, -1) for b in rows["refs"].to_pylist()]
-        times = [np.bincount(r[0], weights=r[3], minlength=len(x)) for r, x in zip(refs, least)]
-        # Windows whose minimiser occurs once in the corpus occur once themselves: their strings are left packed.
+        times = [np.frombuffer(unpack.decompress(b), np.int64) for b in rows["times"].to_pylist()]
+        # Windows whose key occurs once in the corpus occur once themselves: their strings are left packed.
         value, place = np.unique(np.concatenate(least), return_inverse=True)
         often = np.bincount(place, weights=np.concatenate(times), minlength=len(value)) > 1
         often = often[place] | np.concatenate(again)
-        strings, from_blob, string_times = [], [], []
+        # equal strings of different groups are counted as one
+        number: dict[bytes, int] = {}
+        ids, from_blob, string_times = [], [], []
         offset = 0
         for i, blob in enumerate(rows["packed"]):
             own = often[offset : offset + len(least[i])]
@@ -137,15 +159,12 @@ def counter(k: int):
             if not own.any():
                 continue
             packed = unpack.decompress(blob.as_py()).split(b"\n")
-            for j in np.flatnonzero(own):
-                strings.append(packed[j])
+            for j in np.flatnonzero(own).tolist():
+                ids.append(number.setdefault(packed[j], len(number)))
                 from_blob.append((i, j))
                 string_times.append(times[i][j])
-        out: dict[str, list] = {"grp": [], "spans": []}
-        if strings:
-            # equal strings of different groups are counted as one
-            number: dict[bytes, int] = {}
-            ids = np.array([number.setdefault(s, len(number)) for s in strings])
+        out: dict[str, list] = {name: [] for name in HITS.names}
+        if ids:
             weight = np.bincount(ids, weights=string_times).astype(np.int64)
             bounds, codes, _ = split_words(pa.array([s.decode("utf-8") for s in number], type=pa.large_string()))
             windows = np.diff(bounds) - k + 1
@@ -154,39 +173,43 @@ def counter(k: int):
             repeated = np.bincount(sequence, weights=np.repeat(weight, windows))[sequence] > 1
             begin = np.concatenate(([0], np.cumsum(windows)))
             found: dict[int, list] = {}
-            for (i, j), s in zip(from_blob, ids.tolist()):
+            for (i, j), s in zip(from_blob, ids):
                 hits = repeated[begin[s] : begin[s + 1]]
                 if hits.any():
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], hits.view(np.int8), [0]))))
-                    found.setdefault(i, []).append((j, edge[::2], edge[1::2] - 1))
-            for i, strings_hit in found.items():
-                spans = []
-                order = np.argsort(refs[i][0], kind="stable")
-                ends = np.searchsorted(refs[i][0][order], np.arange(len(least[i]) + 1))
-                for j, a, b in strings_hit:
-                    own = order[ends[j] : ends[j + 1]]
-                    text, start = refs[i][1][own], refs[i][2][own]
-                    spans.append(np.stack([np.repeat(text, len(a)), (start[:, None] + a).ravel(), (start[:, None] + b).ravel()]))
+                    found.setdefault(i, []).append(np.stack([np.full(len(edge) // 2, j), edge[::2], edge[1::2] - 1]))
+            for i, hits in found.items():
                 out["grp"].append(groups[i])
-                out["spans"].append(zstandard.ZstdCompressor().compress(np.concatenate(spans, axis=1).astype(np.uint32).tobytes()))
-        return pa.table(out, schema=SPANS)
+                out["bucket"].append(key[0].as_py())
+                out["hits"].append(zstandard.ZstdCompressor().compress(np.concatenate(hits, axis=1).astype(np.uint32).tobytes()))
+        return pa.table(out, schema=HITS)
 
     return count
 
 
-def remover(keep: list[str], schema: pa.Schema, k: int):
+def remover(keep: list[str], schema: pa.Schema, buckets: int, k: int, m: int, shared):
     """Takes the words covered by repeated windows out of a group's texts."""
 
-    def remove(rows: pa.Table, spans: pa.Table) -> pa.Table:
+    def remove(rows: pa.Table, hits: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
         texts = Texts(rows["_ss_text"])
         unpack = zstandard.ZstdDecompressor()
         change = np.zeros(len(texts.codes) + 1, dtype=np.int64)
-        for blob in spans["spans"].to_pylist():
-            text, first, last = np.frombuffer(unpack.decompress(blob), np.uint32).reshape(3, -1).astype(np.int64)
-            np.add.at(change, texts.bounds[text] + first, 1)
-            np.add.at(change, texts.bounds[text] + last + k, -1)
+        answers = dict(zip(hits["bucket"].to_pylist(), hits["hits"].to_pylist()))
+        if answers:  # strings are numbered again as they were sent
+            first, windows, _, least, _ = super_kmers(texts, k, m, shared.value)
+            for bucket, own in by_bucket(least, buckets):
+                if bucket not in answers:
+                    continue
+                string, a, b = np.frombuffer(unpack.decompress(answers[bucket]), np.uint32).reshape(3, -1).astype(np.int64)
+                ids, _ = numbered(texts, first[own], windows[own], k)
+                low, high = np.searchsorted(string, ids, "left"), np.searchsorted(string, ids, "right")
+                many = high - low
+                at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                start = np.repeat(first[own], many)
+                np.add.at(change, start + a[at], 1)
+                np.add.at(change, start + b[at] + k, -1)
         gone = np.cumsum(change[:-1]) > 0
         removed = np.concatenate(([0], np.cumsum(gone)))
         kept = []
@@ -204,6 +227,34 @@ def remover(keep: list[str], schema: pa.Schema, k: int):
     return remove
 
 
+def common_minimisers(docs: DataFrame, text: str, total: int, k: int, m: int) -> np.ndarray:
+    """Sorted hashes of the runs of ``m`` words that would bring more than COMMON_WORDS words to one bucket.
+
+    They are counted in a part of the texts chosen by hash, about LOOK_BYTES, and scaled. The choice decides only
+    by which key a window travels; all windows of all texts are counted, with the same result for any choice. Each
+    task drops what is rare in its own chunk; of the rest no more than all words / COMMON_WORDS can be common.
+    """
+    of = pieces(total, LOOK_BYTES)
+    limit = max(2.0, COMMON_WORDS / (2 * k - m) / of)
+    rare = limit / 4 / max(1, total // of)  # a quarter of the limit, for each byte looked at
+
+    def look(batches):
+        for batch in batches:
+            for chunk in chunks(batch, "_ss_text"):
+                bounds, codes, words = split_words(chunk["_ss_text"])
+                grams, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if len(codes) >= k:
+                    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                    inside = owner[: len(codes) - m + 1] == owner[m - 1 :]
+                    grams, times = np.unique(window_hashes(hash_strings(words)[codes], m)[inside], return_counts=True)
+                often = times >= rare * chunk["_ss_text"].nbytes
+                yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(times[often], pa.int64())], names=["gram", "times"])
+
+    rows = docs.select(F.col(text).alias("_ss_text")).filter(F.pmod(F.xxhash64("_ss_text"), F.lit(of)) == 0).distinct()
+    found = rows.mapInArrow(look, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).filter(F.col("times") > limit)
+    return np.sort(np.array([r["gram"] for r in found.select("gram").collect()], dtype=np.int64).view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """The columns ``keep`` plus n_words, n_removed and kept: the text without every word that a repeated window covers.
 
@@ -212,21 +263,24 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", k: int
     has no words, a text of fewer than ``k`` words no window; rows with equal texts repeat each other.
 
     The minimiser of a window is the smallest hash of ``m`` consecutive words in it. Neighbouring windows with the
-    same minimiser are sent together, as one string, to the minimiser's bucket, where all equal windows meet. A
-    group of texts sends each distinct string once with the places it came from, so a passage that stands in every
-    text arrives at its bucket once for each group, and not once for each text. Buckets answer to groups with spans.
-    Groups and buckets grow in number with the text, not in size; a single text is never split. Clashing names in
-    ``keep`` are replaced.
+    same minimiser are sent together, as one string, to the minimiser's bucket, where all equal windows meet. Runs of
+    ``m`` words that stand in very many texts (``common_minimisers``) are no minimisers, as each text puts other
+    words around them: such windows go by their rarest part, or, if all their parts are common, each by the hash of
+    all its words. A group of texts sends each distinct string once with its count and keeps the places, so a passage
+    that stands in every text arrives at its bucket once for each group. Buckets answer with the repeated windows of
+    the strings. A single text is never split. Clashing names in ``keep`` are replaced.
     """
     keep = free_of(keep, ("n_words", "n_removed", "kept"))
-    groups = pieces(text_bytes(docs, text), GROUP_BYTES)
+    total = text_bytes(docs, text)
+    groups = pieces(total, GROUP_BYTES)
+    shared = docs.sparkSession.sparkContext.broadcast(common_minimisers(docs, text, total, k, m))
     dealt = docs.select(*keep, F.col(text).alias("_ss_text"))
     dealt = dealt.withColumn("_ss_group", F.pmod(F.xxhash64(*dealt.columns), F.lit(groups)))
     schema = to_arrow_schema(docs.select(*keep).schema)
     for name, kind in (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())):
         schema = schema.append(pa.field(name, kind))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    blobs = dealt.groupBy("_ss_group").applyInArrow(sender(groups, k, m), "grp long, bucket long, minimisers binary, packed binary, refs binary")
-    spans = blobs.groupBy("bucket").applyInArrow(counter(k), "grp long, spans binary")
-    return dealt.groupBy("_ss_group").cogroup(spans.groupBy("grp")).applyInArrow(
-        remover(keep, schema, k), f"{fields}, n_words long, n_removed long, kept string")
+    blobs = dealt.groupBy("_ss_group").applyInArrow(sender(groups, k, m, shared), "grp long, bucket long, minimisers binary, times binary, packed binary")
+    hits = blobs.groupBy("bucket").applyInArrow(counter(k), "grp long, bucket long, hits binary")
+    return dealt.groupBy("_ss_group").cogroup(hits.groupBy("grp")).applyInArrow(
+        remover(keep, schema, groups, k, m, shared), f"{fields}, n_words long, n_removed long, kept string")

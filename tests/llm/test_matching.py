@@ -135,6 +135,41 @@ def test_windows_across_many_groups(nasty, monkeypatch):
     assert many == Counter((r.doc_id, r.n_removed, r.kept) for r in substrings.remove_repeats(nasty, ["doc_id"]).collect())
 
 
+def test_a_line_of_many_texts_does_not_fill_one_bucket(spark, monkeypatch):
+    """A line and a passage among words of each text's own: the strings of any one key stay under the bound."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    own = lambda n: " ".join(f"o{rnd.random()}" for _ in range(n))
+    line, passage = " ".join(f"l{i}" for i in range(8)), " ".join(f"p{i}" for i in range(50))
+    texts = [f"{own(40)} {passage if i % 3 == 0 else line} {own(40)}" for i in range(600)]
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 40_000)
+    monkeypatch.setattr(substrings, "COMMON_WORDS", 62 * 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+
+    def load(common):
+        held = substrings.Texts(pa.chunked_array([texts]))
+        first, windows, _, key, _ = substrings.super_kmers(held, 35, 8, common)
+        strings = {(int(c), held.slice(f, f + w + 34)) for f, w, c in zip(first.tolist(), windows.tolist(), key.tolist())}
+        out = Counter()
+        for c, s in strings:
+            out[c] += len(s.split())
+        return max(out.values())
+
+    assert load(np.zeros(0, np.uint64)) > 5 * substrings.COMMON_WORDS
+    assert load(substrings.common_minimisers(docs, "text", sum(map(len, texts)), 35, 8)) <= substrings.COMMON_WORDS
+    found = {r.doc_id: (r.n_removed, r.kept) for r in substrings.remove_repeats(docs, ["doc_id"]).collect()}
+    assert found == {i: (0, t) if i % 3 else (50, t.replace(passage + " ", "")) for i, t in enumerate(texts)}
+
+
+def test_windows_do_not_depend_on_common_minimisers(nasty, monkeypatch):
+    for k, m in ((35, 8), (6, 2)):
+        monkeypatch.setattr(substrings, "COMMON_WORDS", 2 << 20)
+        plain = Counter(map(tuple, substrings.remove_repeats(nasty, ["doc_id"], k=k, m=m).collect()))
+        monkeypatch.setattr(substrings, "COMMON_WORDS", 1)
+        assert Counter(map(tuple, substrings.remove_repeats(nasty, ["doc_id"], k=k, m=m).collect())) == plain
+
+
 @pytest.fixture(scope="module")
 def items(spark, nasty):
     texts = [r.text for r in nasty.collect() if r.text and len(words(r.text)) > 70]
