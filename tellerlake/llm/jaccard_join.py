@@ -163,7 +163,7 @@ def gatherer(schema: pa.Schema, percent: int):
                 prefixes.append(None)
                 centre.append(None)
         node = [f"{a:016x}{b:016x}" for a, b in zip(meta["sig1"].tolist(), meta["sig2"].tolist())]
-        return pa.table([ids, pa.array(n), pa.array(node), pa.array(sets, pa.binary()),
+        return pa.table([ids.cast(schema.field(0).type), pa.array(n), pa.array(node), pa.array(sets, pa.binary()),
                          pa.array(prefixes, pa.list_(pa.int64())), pa.array(centre, pa.float64())], schema=schema)
 
     return gather
@@ -276,10 +276,10 @@ def reduced_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int)
     answered = sent.groupBy("bucket").applyInArrow(column_block, fields)
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema
     schema = StructType([*kind.fields, StructField("n_shingles", LongType())])
-    arrow = to_arrow_schema(schema)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    arrow = to_arrow_schema(StructType.fromDDL(out))  # as declared: the fields of an id may be null
     for name, t in (("node", pa.string()), ("set", pa.binary()), ("prefix", pa.list_(pa.int64())), ("centre", pa.float64())):
         arrow = arrow.append(pa.field(name, t))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return answered.groupBy("grp").applyInArrow(gatherer(arrow, percent), f"{out}, node string, set binary, prefix array<long>, centre double")
 
 
@@ -356,10 +356,21 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, all columns.
+    """One row of each component, all columns: the one with the smallest id, and among those the smallest row hash.
 
-    Rows that repeat this id stay, as do rows without an id.
+    Any id comes before a null one. Rows are told apart by id and the hash of all columns, so other rows under the id
+    are not touched; of rows that are equal throughout one stays. A row without words is its own component and stays.
     """
-    found = linked_components(docs, doc_id, text, n, percent)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_j_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_j_gone"), "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    keyed = docs.withColumn("_j_key", F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), row.alias("row")))
+    found = linked_components(keyed, "_j_key", text, n, percent).filter("n_shingles > 0")
+    marks = found.groupBy(F.col("doc_id").alias("_j_mark")).agg(
+        F.max(~F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("_j_gone"), F.count(F.lit(1)).alias("_j_rows"))
+    marks = stored(marks.filter("_j_gone or _j_rows > 1"), "jaccard-marks")
+    gone, twins = marks.filter("_j_gone"), marks.filter("not _j_gone")
+    same = (F.col("_j_key.row") == F.col("_j_mark.row")) & F.col("_j_key.id").eqNullSafe(F.col("_j_mark.id"))
+    left = keyed.join(gone, same, "left_anti")
+    if not twins.isEmpty():
+        left = left.join(twins, same, "left_anti").union(left.join(twins, same, "left_semi").dropDuplicates(["_j_key"]))
+    return left.drop("_j_key")

@@ -58,6 +58,18 @@ def test_jaccard_components(nasty):
     assert {r.doc_id for r in left.collect()} - {None} == wanted - {None}
 
 
+def test_one_row_of_each_component_stays(spark, tmp_path):
+    """Ids that stand for several texts, rows that are repeated, and rows without an id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (8, c, "x"), (8, c, "x"), (8, c, "y"), (None, d, "x"), (None, d, "x"), (None, d, None),
+            (None, e, "x"), (9, e, "x"), (None, a, "x"), (5, None, "x"), (5, None, "x"), (None, "", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    left = jaccard_join.one_of_each(spark.read.parquet(str(tmp_path / "d")))
+    assert left.columns == ["doc_id", "text", "source"]
+    wanted = [(3, a), (7, b), (8, c), (None, d), (9, e), (5, None), (5, None), (None, "")]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(wanted)
+
+
 def test_jaccard_components_of_a_large_group_in_small_blocks(spark, tmp_path, monkeypatch):
     """Chains and stars of near copies that are cut into many blocks, among texts that share one long passage."""
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 4)
