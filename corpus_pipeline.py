@@ -32,8 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The manifest: every column but the text, with size, checksum, shard and slot of each row."""
-    return sharding.shard_documents(docs, SHARDS, [c for c in docs.columns if c != "text"])
+    """The manifest in training order: every column but the text, with position, size, checksum, shard and slot of each row."""
+    return sharding.shard_in_order(docs, SHARDS, [c for c in docs.columns if c != "text"])
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

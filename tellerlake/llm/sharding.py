@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +17,28 @@ def byte_size(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def shard_by_bytes(df: DataFrame, shards: int, size: str, order: list[str]) -> DataFrame:
-    """All columns of ``df`` plus ``shard`` and ``slot``.
+#: Columns that ``as_stored`` adds.
+STORED = ["_so_part", "_so_file", "_so_name", "_so_row"]
+
+
+def as_stored(df: DataFrame) -> DataFrame:
+    """``df`` plus the columns STORED, in whose order its rows were written.
+
+    A sorted table is written as numbered files, each a range of the order, and a file keeps the order of its rows;
+    a reader may hand out the files in any order. A table that is not read from files has the order of its partitions.
+    """
+    try:
+        name = F.col("_metadata.file_name")
+        number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")
+        return df.select(*[F.col(f"`{c}`") for c in df.columns], number(r"^part-(\d+)").alias("_so_part"), number(r"-c(\d+)\.").alias("_so_file"),
+                         name.alias("_so_name"), F.col("_metadata.row_index").alias("_so_row"))
+    except AnalysisException:
+        none = {c: F.lit(0) for c in STORED[:3]}
+        return df.withColumns({**none, "_so_row": F.monotonically_increasing_id()})
+
+
+def shard_by_bytes(df: DataFrame, shards: int, size: str, order: list[str], number: str | None = None) -> DataFrame:
+    """All columns of ``df`` plus ``shard`` and ``slot``, and the row number in the whole table if ``number`` names it.
 
     Rows are put in the order of the columns ``order`` and dealt to range partitions. Each partition reports the
     sum of its sizes and its row count; running totals over the partitions, and then inside each partition, give
@@ -54,7 +75,7 @@ def shard_by_bytes(df: DataFrame, shards: int, size: str, order: list[str]) -> D
     firsts = placed.groupBy("shard").agg(F.min("_sh_row").alias("_sh_first"))  # at most `shards` rows
     return (placed.join(F.broadcast(firsts), "shard")
             .withColumn("slot", (F.col("_sh_row") - F.col("_sh_first")).cast("long"))
-            .select(*df.columns, "shard", "slot"))
+            .select(*df.columns, *([F.col("_sh_row").cast("long").alias(number)] if number else []), "shard", "slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,3 +90,15 @@ def shard_documents(docs: DataFrame, shards: int, keep: list[str], doc_id: str =
     out = shard_by_bytes(rows, shards, "size", ["_sd_id", "text_crc32", "_sd_hash"])
     return out.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_in_order(docs: DataFrame, shards: int, keep: list[str], text: str = "text") -> DataFrame:
+    """Manifest of shards that follow the order in which ``docs`` was written (``as_stored``).
+
+    The columns of ``shard_documents``, and before them, after ``keep``, position: the row's number from 0 on.
+    """
+    keep = free_of(keep, ("position", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
+    rows = as_stored(docs).select(*keep, *STORED, byte_size(text).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"))
+    out = shard_by_bytes(rows, shards, "size", STORED, "position")
+    return out.select(*keep, "position", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))

@@ -102,6 +102,27 @@ def test_training_documents_are_the_copies(nasty):
     assert Counter((r.doc_id, r.source) for r in rows.collect()) == +copies
 
 
+def test_the_manifest_follows_the_training_order(spark, nasty, tmp_path):
+    """The last stage gives each reading its place in time, so another curriculum gives another manifest."""
+    import corpus_pipeline
+
+    flat = [[(0.0, float(w)), (1.0, float(w))] for w in (5, 2, 1)]  # the same areas
+    orders = []
+    for name, schedules in (("curve", mixing.SCHEDULES), ("flat", flat)):
+        path = str(tmp_path / name)
+        # several files for each task
+        mixing.training_documents(nasty, schedules).write.option("maxRecordsPerFile", 5).parquet(path)
+        times = [(t, (r.doc_id is not None, r.doc_id or 0)) for r in mixing.mixture(nasty, schedules).collect() for t in r.positions]
+        rows = sorted(corpus_pipeline.sharded(spark, spark.read.parquet(path), "").collect(), key=lambda r: r.position)
+        assert [r.position for r in rows] == list(range(len(times)))
+        assert [(r.doc_id is not None, r.doc_id or 0) for r in rows] == [d for _, d in sorted(times)]
+        assert [(r.shard, r.slot) for r in rows] == sorted((r.shard, r.slot) for r in rows)
+        orders.append([r.doc_id for r in rows])
+    assert sorted(map(str, orders[0])) == sorted(map(str, orders[1])) and orders[0] != orders[1]
+    ready = spark.range(40).selectExpr("40 - id AS doc_id", "'t' AS text").coalesce(1)
+    assert [r.doc_id for r in sharding.shard_in_order(ready, 3, ["doc_id"]).orderBy("position").collect()] == list(range(40, 0, -1))
+
+
 def test_token_counts_are_the_librarys(nasty):
     counter = token_counts.PrefixCounter(MODEL)
     rows = token_counts.count_tokens(nasty, ["doc_id", "text"], MODEL, 50, tables=True).collect()
