@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_repair, decontamination, jaccard_join, mixing, quality_embeddings, quality_rules, sharding, substrings, token_counts, url_filter
+from . import (chat_repair, collocations, decontamination, hard_negatives, jaccard_join, licences, mixing, quality_embeddings, quality_rules, sharding,
+               substrings, token_counts, url_filter)
 from .common import table
 
 SHARDS = 24
@@ -72,8 +73,23 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES, ["page_id"])
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"), ["doc_id"]).drop("places")
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_quality_scores, op3_repaired_chats, op4_byte_shards, op5_quality_rules, op6_token_counts, op7_contaminated_documents, op8_jaccard_components, op9_repeated_windows, op10_url_rules)}
+    f.__name__: f for f in (op1_mixture, op2_quality_scores, op3_repaired_chats, op4_byte_shards, op5_quality_rules, op6_token_counts, op7_contaminated_documents, op8_jaccard_components, op9_repeated_windows, op10_url_rules,
+                                op11_collocations, op12_licences, op13_hard_negatives)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -143,4 +159,33 @@ fits AS (SELECT h.*, r.rule_host || r.rule_path AS rule, r.verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1
 """
 
-ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op7_contaminated_documents": OP7_SQL, "op8_jaccard_components": OP8_SQL, "op9_repeated_windows": OP9_SQL, "op10_url_rules": OP10_SQL}
+OP11_SQL = r"""
+WITH pieces AS MATERIALIZED (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS MATERIALIZED (SELECT lang, w[i:i + k - 1] AS g, k, count(*) AS f FROM starts, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM grams WHERE k > 1 AND f >= 10),
+inside AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, g[1:2] AS g, f FROM candidates WHERE k = 3 UNION ALL SELECT lang, g[2:3], f FROM candidates WHERE k = 3) GROUP BY lang, g),
+open AS (SELECT c.* FROM candidates c LEFT JOIN inside i ON c.lang = i.lang AND c.g = i.g WHERE i.f IS NULL OR 100 * i.f < 50 * c.f),
+cuts AS (SELECT o.lang, o.g, o.f AS a, x.f AS l, y.f AS r, x.k AS cut, CAST((1000000::HUGEINT * o.f * o.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM open o JOIN grams x ON x.lang = o.lang AND x.k < o.k AND x.g = o.g[1:x.k] JOIN grams y ON y.lang = o.lang AND y.k = o.k - x.k AND y.g = o.g[x.k + 1:o.k]),
+lowest AS (SELECT *, array_to_string(g, ' ') AS phrase FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positives AS (SELECT anchor, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) AS nth FROM scored WHERE same QUALIFY nth <= 5)
+SELECT s.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.other) AS INTEGER) AS rank, s.other AS negative_id,
+  p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_mixture": OP1_SQL, "op7_contaminated_documents": OP7_SQL, "op8_jaccard_components": OP8_SQL, "op9_repeated_windows": OP9_SQL, "op10_url_rules": OP10_SQL,
+                           "op11_collocations": OP11_SQL, "op12_licences": licences.scan_sql(), "op13_hard_negatives": OP13_SQL}
