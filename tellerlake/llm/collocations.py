@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import chunks, hash_strings, mix, pieces, stored, text_bytes
 
 #: Text whose graph a task builds at a time, and text whose edges share a bucket.
-CHUNK, BUCKET_BYTES = 8 << 20, 16 << 20
+CHUNK, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Edges that one node may bring to its bucket; a node that may bring more has its edges dealt singly.
 NODE_EDGES = 1 << 20
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
