@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_strings, mix, pieces, stored, text_bytes
+from .common import chunks, hash_strings, lower_words, mix, pieces, raw, stored, strings, text_bytes
 
 #: Text whose graph a task builds at a time, and text whose edges share a bucket.
 CHUNK, BUCKET_BYTES = 4 << 20, 8 << 20
@@ -24,28 +24,11 @@ PART = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("w1", pa.string(
                   ("a", pa.int64()), ("f", pa.int64()), ("chunk", pa.int64()), ("place", pa.int64())])
 EDGE, NODE, WORD, SINGLE = range(4)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 in a word, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
 
-def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Consecutive strings of the given lengths."""
-    bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bounds) of a string column; works on slices."""
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
-    return data, bounds - bounds[0]
-
-
 def between(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     """The strings data[begin:end], of places that go upwards and do not overlap."""
     flags = np.zeros(len(data) + 1, np.int8)
@@ -56,18 +39,8 @@ def between(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 def split_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(dictionary, code, text number and piece number of each word); piece numbers go upwards."""
-    data, bounds = raw(column)
-    kind = _KIND[data]
-    inside = np.concatenate(([False], kind == 0, [False]))
-    begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-    edges = bounds[:-1][np.diff(bounds) > 0]  # where a text begins, a word cannot go on
-    begins[edges] = inside[1:-1][edges]
-    edges = edges[edges > 0]
-    ends[edges - 1] = inside[1:-1][edges - 1]
-    at = np.flatnonzero(begins)
-    coded = strings(_LOWER[data][kind == 0], np.flatnonzero(ends) + 1 - at).dictionary_encode()
-    text = np.searchsorted(bounds, at, side="right") - 1
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), text, np.cumsum(kind == 2)[at] + text
+    kind, words, code, text, at = lower_words(column, _KIND)
+    return words, code, text, np.cumsum(kind == 2)[at] + text
 
 
 def sender(buckets: int, hot: int):

@@ -86,6 +86,47 @@ def split_words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray, lis
     return bounds, codes, words
 
 
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive strings of the given lengths."""
+    bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of a string column; works on slices."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    return data, bounds - bounds[0]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What a byte of a text is: 0 in a word, 1 between words.
+BLANKS = np.zeros(256, dtype=np.uint8)
+BLANKS[[0x20, *range(0x09, 0x0E)]] = 1
+
+
+def lower_words(column: pa.Array, kind: np.ndarray = BLANKS) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind of each byte, dictionary, code, text number and first byte of each word) of a column of texts.
+
+    Words are runs of bytes of kind 0 and end with their text; A-Z are mapped to a-z on the bytes.
+    """
+    data, bounds = raw(column)
+    kind = kind[data]
+    inside = np.concatenate(([False], kind == 0, [False]))
+    begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = bounds[:-1][np.diff(bounds) > 0]  # where a text begins, a word cannot go on
+    begins[edges] = inside[1:-1][edges]
+    edges = edges[edges > 0]
+    ends[edges - 1] = inside[1:-1][edges - 1]
+    at = np.flatnonzero(begins)
+    coded = strings(_LOWER[data][kind == 0], np.flatnonzero(ends) + 1 - at).dictionary_encode()
+    text = np.searchsorted(bounds, at, side="right") - 1
+    return kind, coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), text, at
+
+
 def window_hashes(codes_hash: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive words, from the words' hashes; runs may cross texts."""
     count = max(0, len(codes_hash) - n + 1)

@@ -113,10 +113,11 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 b AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-dg AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-bg AS (SELECT DISTINCT q, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT q, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+lengths AS (SELECT DISTINCT least(len(w), 5) AS n FROM b WHERE len(w) > 0),
+dg AS (SELECT DISTINCT r, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths)),
+bg AS (SELECT DISTINCT q, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT q, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT q, count(*) AS n_item FROM bg GROUP BY q),
-common AS (SELECT r, q, count(*) AS n_shared FROM dg JOIN bg USING (g) GROUP BY r, q)
+common AS (SELECT r, q, count(*) AS n_shared FROM dg JOIN bg USING (n, g) GROUP BY r, q)
 SELECT d.doc_id, b.item_id, c.n_shared, s.n_item, c.n_shared::DOUBLE / s.n_item AS containment
 FROM common c JOIN sizes s USING (q) JOIN d USING (r) JOIN b USING (q) WHERE 100 * c.n_shared >= 80 * s.n_item
 """

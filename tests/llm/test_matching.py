@@ -186,19 +186,21 @@ def test_windows_do_not_depend_on_common_minimisers(nasty, monkeypatch):
 def items(spark, nasty):
     texts = [r.text for r in nasty.collect() if r.text and len(words(r.text)) > 70]
     rows = [(i, " ".join(words(t)[5:5 + n]).upper() if i % 2 else " ".join(words(t)[20:20 + n])) for i, (t, n) in enumerate(zip(texts * 3, [6, 12, 30, 50, 9, 64, 5, 40, 20] * 3))]
-    rows += [(100, None), (101, ""), (102, "one two"), (103, "never seen words in any of these texts at all"), (1, rows[1][1]), (None, rows[3][1])]
+    rows += [(100, None), (101, ""), (102, "one two"), (104, "ONE two Three"), (105, "two one"), (106, "X"), (107, "x y x y"), (108, "\u6f22\u5b57"), (103, "never seen words in any of these texts at all"), (1, rows[1][1]), (None, rows[3][1])]
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
 def test_decontamination_finds_every_item(nasty, items):
-    def distinct(text):
+    def distinct(text, short=False):
         own = words(text, True)
-        return {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+        return {tuple(own[i : i + n]) for n in ((1, 2, 3, 4, 5) if short else (5,)) for i in range(len(own) - n + 1)}
 
-    asked = [(r.item_id, distinct(r.text)) for r in items.collect()]
+    # an item of less than five words is one shingle, its whole sequence
+    asked = [(r.item_id, distinct(r.text) or {tuple(words(r.text, True))} - {()}) for r in items.collect()]
+    assert {len(w) for _, ws in asked for w in ws} == {1, 2, 3, 4, 5}
     wanted = Counter()
     for r in nasty.collect():
-        own = distinct(r.text)
+        own = distinct(r.text, True)
         for item, wants in asked:
             if wants and 100 * len(wants & own) >= 80 * len(wants):
                 wanted[r.doc_id, item, len(wants & own), len(wants)] += 1
@@ -207,7 +209,7 @@ def test_decontamination_finds_every_item(nasty, items):
     clean = decontamination.without_items(nasty, items)
     assert clean.columns == nasty.columns
     held = {d for d, *_ in wanted}
-    assert clean.count() == sum(not any(w and 100 * len(w & distinct(r.text)) >= 80 * len(w) for _, w in asked) for r in nasty.collect())
+    assert clean.count() == sum(not any(w and 100 * len(w & distinct(r.text, True)) >= 80 * len(w) for _, w in asked) for r in nasty.collect())
     assert held
 
 
