@@ -14,6 +14,8 @@ from .common import WORD, stored
 #: The sources take them in turn, in code point order. Their areas are 5, 2 and 1.
 SCHEDULES = [[(0.0, 7.0), (0.5, 5.0), (1.0, 3.0)], [(0.0, 1.0), (0.5, 2.0), (1.0, 3.0)], [(0.0, 1.0), (1.0, 1.0)]]
 MAX_REPEATS = 3
+#: Rows that one task makes of a unit of repeated rows.
+ROWS_AT_ONCE = 1 << 16
 
 
 def n_words(text: str = "text") -> Column:
@@ -72,70 +74,94 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, repeats: int = MAX_REPEATS) -
 
 
 def placements(units: DataFrame, schedules=SCHEDULES, repeats: int = MAX_REPEATS) -> DataFrame:
-    """Training positions of documents. ``units``: source, doc_id, text_hash, size, multiplicity; other columns stay.
+    """Training positions of documents. ``units``: source, doc_id, text_hash, key, size, multiplicity; other columns stay.
 
-    Inside its source a document's place is its rank by the md5 of its id. Its offset in the source's words is found
-    from totals of sqrt(rows) hash ranges and a running sum inside a range, so that neither step holds more than
-    about sqrt(rows) rows of a source. A source of ``z`` words and target ``g`` is read ``g div z`` times, and the
-    documents whose middle lies in the first ``g mod z`` words once more. Reading at offset ``x`` happens at the time
-    when the source's schedule has spent the share ``x / g`` of its area.
+    Inside its source a document's place is its rank by ``key``, the md5 of its id and text. Its offset in the source's
+    words is found from totals of sqrt(rows) hash ranges and a running sum inside a range, so that neither step holds
+    more than about sqrt(rows) units of a source. A source of ``z`` words and target ``g`` is read ``g div z`` times,
+    and the rows whose middle lies in the first ``g mod z`` words once more. Reading at offset ``x`` happens at the
+    time when the source's schedule has spent the share ``x / g`` of its area.
 
-    Adds source_size, target, copies and positions (array of times, one for each copy, ascending).
+    Adds source_size, target, whole (readings of all its rows), extra (rows that are read once more) and times (of
+    the readings of a row, ascending; rows of a unit share them).
     """
     ranges = math.ceil(math.sqrt(max(1, units.count())))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("multiplicity")).alias("source_size"))
     plan = targets(sizes, schedules, repeats)
-    keyed = (
-        units.withColumn("_m_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("_m_range", (F.conv(F.substring("_m_key", 1, 8), 16, 10).cast("long") * ranges / 4294967296).cast("long")))
+    keyed = units.withColumn("_m_range", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 4294967296).cast("long"))
     totals = keyed.groupBy("source", "_m_range").agg(F.sum(F.col("size") * F.col("multiplicity")).alias("_m_sum"))
     offsets = totals.select(
         F.col("source").alias("_m_source"), F.col("_m_range").alias("_m_r"),
         F.coalesce(F.sum("_m_sum").over(W.partitionBy("source").orderBy("_m_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_m_before"))
     offsets = offsets.join(plan, F.col("_m_source").eqNullSafe(F.col("source"))).drop("source")
-    inside = W.partitionBy("source", "_m_range").orderBy("_m_key", "doc_id", "text_hash", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "_m_range").orderBy("key", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     own = F.col("size") * F.col("multiplicity")
+    # rows of a unit whose middle lies before the rest's end
+    before_end = F.ceil((F.col("_m_rest") - F.col("_m_start")) / F.greatest(F.col("size"), F.lit(1)) - 0.5)
     placed = (
         keyed.withColumn("_m_run", F.sum(own).over(inside))
         .join(offsets, F.col("source").eqNullSafe(F.col("_m_source")) & (F.col("_m_range") == F.col("_m_r")), "left")
-        .withColumn("_m_middle", F.col("_m_before") + F.col("_m_run") - own / 2)
-        .withColumn("_m_whole", F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long"))
-        .withColumn("_m_rest", F.col("target") - F.col("_m_whole") * F.col("source_size"))
-        .withColumn("copies", (F.col("_m_whole") + (F.col("_m_middle") < F.col("_m_rest")).cast("long")).cast("int")))
-    share = lambda i: (i * F.col("source_size") + F.col("_m_middle")) / F.greatest(F.col("target"), F.lit(1.0))
+        .withColumn("_m_start", F.col("_m_before") + F.col("_m_run") - own)
+        .withColumn("whole", F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long"))
+        .withColumn("_m_rest", F.col("target") - F.col("whole") * F.col("source_size"))
+        .withColumn("extra", F.when(F.col("size") > 0, F.least(F.col("multiplicity"), F.greatest(F.lit(0), before_end)))
+                    .otherwise(F.when(F.col("_m_start") < F.col("_m_rest"), F.col("multiplicity")).otherwise(0)).cast("long")))
+    share = lambda i: (i * F.col("source_size") + F.col("_m_start") + own / 2) / F.greatest(F.col("target"), F.lit(1.0))
     times = []
     for i in range(repeats):
         when = F.lit(None).cast("double")
         for j, knots in enumerate(schedules):
             when = F.when(F.col("schedule") == j, training_time(knots, F.least(F.lit(1.0), share(i)))).otherwise(when)
         times.append(when)
-    placed = placed.withColumn("positions", F.slice(F.array(*times), F.lit(1), F.col("copies")))
-    return placed.select(*units.columns, "source_size", "target", "copies", "positions")
+    return placed.select(*units.columns, "source_size", "target", "whole", "extra", F.array(*times).alias("times"))
 
 
 def units_of(docs: DataFrame) -> DataFrame:
     """One row for each distinct (source, doc_id, text), stored without texts; repeated rows are counted."""
-    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("text_hash"), n_words("text").alias("size"))
-    return stored(rows.groupBy("source", "doc_id", "text_hash", "size").agg(F.count(F.lit(1)).alias("multiplicity")), "mix-units")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("text", F.lit(""))).cast("binary"))
+    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("text_hash"), key.alias("key"), n_words("text").alias("size"))
+    return stored(rows.groupBy("source", "doc_id", "text_hash", "key", "size").agg(F.count(F.lit(1)).alias("multiplicity")), "mix-units")
 
 
 def mixture(docs: DataFrame, schedules=SCHEDULES, repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies, positions, in training order.
 
     A null text has no words; documents without words are taken 0 words. Rows equal in source, id and text share
-    their positions. The rows are range-sorted by first position, those that the mix leaves out last.
+    their times; where the mix ends between them, some are read once more than the others. The rows are range-sorted
+    by first position, then id, source and text; those that the mix leaves out come last.
     """
-    placed = placements(units_of(docs), schedules, repeats)
-    placed = placed.withColumn("_m_again", F.explode(F.sequence(F.lit(1), F.col("multiplicity"))))
-    out = placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions")
-    return stored(out, "mixture").orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+    placed = stored(placements(units_of(docs), schedules, repeats), "mix-placed")
+    parts = F.sequence(F.lit(0).cast("long"), F.col("multiplicity") - 1, F.lit(ROWS_AT_ONCE).cast("long"))
+    # a unit may stand for very many rows: they are made in parts, by different tasks
+    parted = placed.filter(F.col("multiplicity") > ROWS_AT_ONCE).withColumn("_m_from", F.explode(parts)).repartition("key", "_m_from")
+    rows = placed.filter(F.col("multiplicity") <= ROWS_AT_ONCE).withColumn("_m_from", F.lit(0).cast("long")).unionByName(parted)
+    rows = rows.withColumn("_m_row", F.explode(F.sequence("_m_from", F.least(F.col("multiplicity"), F.col("_m_from") + ROWS_AT_ONCE) - 1)))
+    rows = rows.withColumn("copies", (F.col("whole") + (F.col("_m_row") < F.col("extra")).cast("long")).cast("int"))
+    rows = rows.withColumn("positions", F.slice("times", F.lit(1), F.col("copies")))
+    order = [F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id", "source", "text_hash", F.desc("copies")]
+    return stored(rows, "mixture").orderBy(*order).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions")
 
 
 def training_documents(docs: DataFrame, schedules=SCHEDULES, repeats: int = MAX_REPEATS) -> DataFrame:
-    """The documents as they are read in training: a row for each copy, all columns of ``docs``, sorted by time."""
-    placed = stored(placements(units_of(docs), schedules, repeats).filter("copies > 0"), "mix-places").select(
-        F.col("source").alias("_m_source"), F.col("doc_id").alias("_m_id"), F.col("text_hash").alias("_m_hash"), F.col("positions").alias("_m_times"))
+    """The documents as they are read in training: a row for each copy, all columns of ``docs``, sorted by time, id, source and text.
+
+    Where the mix ends between rows equal in source, id and text, which happens once a source at most, these rows are
+    numbered and the first of them read once more.
+    """
+    units = stored(placements(units_of(docs), schedules, repeats), "mix-places").select(
+        F.col("source").alias("_m_source"), F.col("doc_id").alias("_m_id"), F.col("text_hash").alias("_m_hash"), "multiplicity", "whole", "extra", F.col("times").alias("_m_times"))
     keyed = docs.withColumn("_m_text", F.xxhash64("text"))
     same = (F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("_m_text") == F.col("_m_hash")) & F.col("source").eqNullSafe(F.col("_m_source")))
-    joined = keyed.join(placed, same).withColumn("_m_time", F.explode("_m_times"))
-    return joined.orderBy("_m_time", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = (F.col("extra") > 0) & (F.col("extra") < F.col("multiplicity"))
+    copies = (F.col("whole") + (F.col("extra") > 0).cast("long")).cast("int")
+    plain = units.filter(~cut).withColumn("_m_times", F.slice("_m_times", F.lit(1), copies)).filter(F.size("_m_times") > 0)
+    joined = keyed.join(plain.select("_m_source", "_m_id", "_m_hash", "_m_times"), same)
+    divided = units.filter(cut)
+    if not divided.isEmpty():
+        place = F.row_number().over(W.partitionBy("_m_source", "_m_id", "_m_hash").orderBy("_m_hash"))
+        numbered = keyed.join(divided, same).withColumn("_m_place", place)
+        times = F.slice("_m_times", F.lit(1), (F.col("whole") + (F.col("_m_place") <= F.col("extra")).cast("long")).cast("int"))
+        joined = joined.unionByName(numbered.withColumn("_m_times", times).select(*joined.columns))
+    timed = joined.withColumn("_m_time", F.explode("_m_times"))
+    return timed.orderBy("_m_time", "_m_id", "_m_source", "_m_hash").select(*[F.col(f"`{c}`") for c in docs.columns])

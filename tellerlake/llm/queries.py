@@ -20,7 +20,8 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 def op1_mixture(spark: SparkSession, folder: str) -> DataFrame:
     out = mixing.mixture(table(spark, folder, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    times = [F.floor(F.try_element_at("positions", F.lit(i)) * 1000000).alias(f"at_{i}") for i in range(1, mixing.MAX_REPEATS + 1)]
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", *times)
 
 
 def op2_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,20 +94,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+
+
+def training_time_sql(share: str) -> str:
+    """The time at which a source's schedule has spent ``share`` of its area."""
+    cases = []
+    for j, knots in enumerate(mixing.SCHEDULES):
+        spent, parts = 0.0, []
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+            need = f"({share} * {mixing.area(knots)}::DOUBLE - {spent}::DOUBLE)"
+            root = f"sqrt(greatest(0.0::DOUBLE, {w0 * w0}::DOUBLE + ({2 * (w1 - w0) / (t1 - t0)})::DOUBLE * {need}))"
+            spent += (t1 - t0) * (w0 + w1) / 2
+            parts.append(f"WHEN {share} * {mixing.area(knots)}::DOUBLE <= {spent}::DOUBLE THEN least({t1}::DOUBLE, {t0}::DOUBLE + 2 * {need} / ({w0}::DOUBLE + {root}))")
+        cases.append(f"WHEN {j} THEN CASE {' '.join(parts)} ELSE 1.0::DOUBLE END")
+    return f"CASE nth % {len(mixing.SCHEDULES)} {' '.join(cases)} END"
+
+
+_TIMES = ", ".join(f"CASE WHEN copies > {i} THEN CAST(floor({training_time_sql(f'least(1.0::DOUBLE, ({i} * source_size + unit_middle) / greatest(target, 1.0::DOUBLE))')} * 1000000) AS BIGINT) END AS at_{i + 1}"
+                   for i in range(mixing.MAX_REPEATS))
 OP1_SQL = rf"""
-WITH RECURSIVE docs AS (SELECT doc_id, source, {WORDS_SQL} AS size, coalesce(CAST(doc_id AS VARCHAR), '') AS name FROM documents),
+WITH docs AS (SELECT doc_id, source, text, {WORDS_SQL} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')) AS key FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM docs GROUP BY source),
 weighted AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3 * source_size AS cap FROM sources),
 ordered AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
   coalesce(sum(cap) OVER before, 0) AS capped, coalesce(sum(weight) OVER before, 0) AS spent
   FROM weighted WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT max((total - capped)::DOUBLE / (weights - spent)) AS level FROM ordered WHERE (total - capped)::DOUBLE / (weights - spent) * weight <= cap),
-plan AS (SELECT source, source_size, least(level * weight, cap::DOUBLE) AS target FROM weighted, levels),
-placed AS (SELECT d.doc_id, d.size, p.source_size, p.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.name), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle,
+plan AS (SELECT source, source_size, nth, least(level * weight, cap::DOUBLE) AS target FROM weighted, levels),
+placed AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.nth, d.source, d.text, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, d.text ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS begins,
   CAST(floor(p.target / greatest(p.source_size, 1)) AS BIGINT) AS whole FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
-counted AS (SELECT *, whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END AS copies FROM placed)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM counted
-""".replace("WITH RECURSIVE", "WITH", 1)
+counted AS (SELECT *, whole + CASE WHEN begins + size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END AS copies,
+  min(begins) OVER same + CAST(sum(size) OVER same AS BIGINT) / 2.0::DOUBLE AS unit_middle FROM placed WINDOW same AS (PARTITION BY source, doc_id, text))
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies, {_TIMES} FROM counted
+"""
 
 OP7_SQL = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,

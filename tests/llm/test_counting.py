@@ -79,6 +79,33 @@ def test_mixture_takes_the_targets(nasty):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_repeated_rows_are_cut_singly(spark, monkeypatch):
+    """A source of one row that stands very often is read as long as its target, a whole row more or less."""
+    monkeypatch.setattr(mixing, "ROWS_AT_ONCE", 64)
+    rows = [(7, "w " * 50, "b")] * 1000 + [(None, f"x{i} y z", "a") for i in range(500)] + [(i, "one two", "c") for i in range(300)] + [(1, "", "b"), (2, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mixture(docs).collect()
+    assert len(out) == len(rows)
+    for source, size in (("a", 3), ("b", 50), ("c", 2)):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= size
+        assert len({r.copies for r in own if r.size}) <= 2
+    copies = Counter()
+    for r in out:
+        copies[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in mixing.training_documents(docs).collect()) == +copies
+
+
+def test_another_schedule_gives_other_rows(spark, nasty, tmp_path, monkeypatch):
+    """Schedules of the same areas move the times, which the query returns."""
+    from tellerlake.llm import queries
+
+    nasty.write.parquet(str(tmp_path / "documents.parquet"))
+    first = sorted(map(str, queries.op1_mixture(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(mixing, "mixture", lambda docs, run=mixing.mixture: run(docs, [[(0.0, float(w)), (1.0, float(w))] for w in (5, 2, 1)]))
+    assert sorted(map(str, queries.op1_mixture(spark, str(tmp_path)).collect())) != first
+
+
 def test_training_time_inverts_the_schedule(spark):
     from pyspark.sql import functions as F
 
