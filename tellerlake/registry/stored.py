@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates as DT
+from ..operators import digests as DG
+from ..operators import keyed as K
+from ..operators import versions as V
 from ..operators.vector_index import VectorIndex
 from ..session import work_path
 from .base import Context, query
@@ -71,3 +75,98 @@ def _(c: Context):
     index.delete(rows.filter("label = 4"), "vec_id")
     index.compact()
     return index.rows().groupBy("label").agg(F.count("*").alias("n"), F.floor(F.sum(F.element_at("vector", 1)) * 10000 + 0.5).cast("double").alias("first")).withColumn("first", F.col("first") / 10000)
+
+
+# Versions by date: incomes are loaded three times, cards twice; a payment takes the versions of its day.
+_RAISES = [("1994-01-01", "true", 0), ("1995-07-01", "annual_income >= 80000", 1000), ("1997-03-15", "employment_status = 'retired' OR annual_income < 60000", 500)]
+
+
+def _member_history(c: Context):
+    history = None
+    rows = c.src.member_ids.select("member_id", "annual_income", "employment_status")
+    for date, condition, more in _RAISES:
+        rows = rows.withColumn("annual_income", F.expr(f"CAST(CASE WHEN {condition} THEN annual_income + {more} ELSE annual_income END AS DECIMAL(12,2))"))
+        history = (K.first_versions(rows, "member_id", "member_key", DT.day(date), "expiry_date") if history is None
+                   else K.scd2_load(history, rows, "member_id", "member_key", DT.day(date), "expiry_date", ["annual_income"]))
+    return history
+
+
+def _card_history(c: Context):
+    rows = c.src.credit_cards.select("card_id", "card_status", "credit_limit")
+    first = K.first_versions(rows, "card_id", "card_key", DT.day("1996-01-01"), "expiry_date")
+    higher = rows.withColumn("credit_limit", F.expr("CAST(CASE WHEN card_status = 'active' THEN credit_limit + 500 ELSE credit_limit END AS DECIMAL(10,2))"))
+    return K.scd2_load(first, higher, "card_id", "card_key", DT.day("1998-01-01"), "expiry_date", ["credit_limit"])
+
+
+_INCOMES = """i1 AS (SELECT member_id, annual_income, employment_status FROM members),
+i2 AS (SELECT member_id, employment_status, CASE WHEN annual_income >= 80000 THEN annual_income + 1000 ELSE annual_income END AS annual_income, annual_income >= 80000 AS rises FROM i1),
+i3 AS (SELECT member_id, employment_status = 'retired' OR annual_income < 60000 AS rises FROM i2),
+dates AS (SELECT member_id, DATE '1994-01-01' AS begins FROM i1 UNION ALL SELECT member_id, DATE '1995-07-01' FROM i2 WHERE rises UNION ALL SELECT member_id, DATE '1997-03-15' FROM i3 WHERE rises),
+member_versions AS (SELECT *, member_id*100000 + datediff('day', DATE '1970-01-01', begins) AS member_key FROM dates)"""
+_CARDS = """card_dates AS (SELECT card_id, DATE '1996-01-01' AS begins FROM credit_cards UNION ALL SELECT card_id, DATE '1998-01-01' FROM credit_cards WHERE card_status = 'active'),
+card_versions AS (SELECT *, card_id*100000 + datediff('day', DATE '1970-01-01', begins) AS card_key FROM card_dates)"""
+
+
+@query("payment_versions", "payment_id b, payment_date s, member_key b, card_key b", f"""SELECT * FROM (WITH {_INCOMES}, {_CARDS}
+SELECT p.payment_id, p.payment_date, m.member_key, k.card_key FROM payment_history p
+ASOF LEFT JOIN member_versions m ON p.member_id = m.member_id AND p.payment_date >= m.begins ASOF LEFT JOIN card_versions k ON p.card_id = k.card_id AND p.payment_date >= k.begins)""")
+def _(c: Context):
+    """Both keys of every payment as of its day; null before the first version."""
+    payments = c.src.payment_history.select("payment_id", "payment_date", "member_id", "card_id")
+    keyed = V.as_of(payments, _member_history(c), "member_id", "payment_date", "effective_date", ["member_key"])
+    return V.as_of(keyed, _card_history(c), "card_id", "payment_date", "effective_date", ["card_key"])
+
+
+@query("health_versions", "metric_id b, member_id b, member_key b", f"""SELECT * FROM (WITH {_INCOMES}
+SELECT h.metric_id, h.member_id, m.member_key FROM financial_health_metrics h ASOF JOIN member_versions m ON h.member_id = m.member_id AND h.assessment_date >= m.begins)""")
+def _(c: Context):
+    metrics = c.src.financial_health_metrics.select("metric_id", "member_id", "assessment_date")
+    return V.as_of(metrics, _member_history(c), "member_id", "assessment_date", "effective_date", ["member_key"]).filter("member_key IS NOT NULL")
+
+
+@query("card_versions_from_ever", "payment_id b, card_key b", f"""SELECT * FROM (WITH {_CARDS}
+SELECT p.payment_id, k.card_key FROM payment_history p ASOF JOIN (SELECT * REPLACE (CASE WHEN begins = DATE '1996-01-01' THEN DATE '1900-01-01' ELSE begins END AS begins) FROM card_versions) k
+ON p.card_id = k.card_id AND p.payment_date >= k.begins)""")
+def _(c: Context):
+    """The first version of a card also holds for payments before it."""
+    payments = c.src.payment_history.select("payment_id", "payment_date", "card_id")
+    return V.as_of(payments, _card_history(c), "card_id", "payment_date", "effective_date", ["card_key"], from_ever=True).filter("card_key IS NOT NULL")
+
+
+# Digests: the state of payments before some came late, some changed and some went.
+def _earlier(c: Context):
+    rows = c.src.payment_history
+    changed = F.when((F.col("payment_method") == "phone") & (F.col("payment_status") == "late"), F.col("late_fee") + 1).otherwise(F.col("late_fee"))
+    stayed = rows.filter("payment_method IS NULL OR payment_method <> 'mail'").withColumn("late_fee", changed.cast(rows.schema["late_fee"].dataType))
+    return stayed.unionByName(rows.filter("payment_method = 'branch'").withColumn("payment_id", -F.col("payment_id")))
+
+
+def _digested(c: Context, before, depth: int | None = None):
+    loads = DG.Loads(c.spark, work_path(c.spark, "digests"), ["payment_id"], depth)
+    loads.write(before, 0)
+    loads.write(c.src.payment_history, 1)
+    return loads
+
+
+@query("digest_changes", "payment_id b, change s", """
+SELECT payment_id, 'inserted' AS change FROM payment_history WHERE payment_method='mail' UNION ALL
+SELECT payment_id, 'changed' FROM payment_history WHERE payment_method='phone' AND payment_status='late' AND late_fee IS NOT NULL UNION ALL
+SELECT -payment_id, 'deleted' FROM payment_history WHERE payment_method='branch'""")
+def _(c: Context):
+    return _digested(c, _earlier(c)).changes(0, 1)
+
+
+@query("digest_incremental_load", "payment_id b, payment_method s, payment_status s, late_fee d", "SELECT * FROM payment_history")
+def _(c: Context):
+    """Late, changed and deleted payments reach a target that was loaded before; others are not touched."""
+    before = _earlier(c)
+    return DG.apply_changes(before, c.src.payment_history, _digested(c, before).changes(0, 1), ["payment_id"])
+
+
+@query("digest_late_row", "payment_id b, change s, most_leaves_equal o",
+       "SELECT min(payment_id) AS payment_id, 'inserted' AS change, true AS most_leaves_equal FROM payment_history")
+def _(c: Context):
+    """One row that comes late, with the smallest id of all: a mark of ids would miss it, one leaf of 4,096 shows it."""
+    first = c.src.payment_history.agg(F.min("payment_id").alias("payment_id"))
+    loads = _digested(c, c.src.payment_history.join(F.broadcast(first), "payment_id", "left_anti"), 3)
+    return loads.changes(0, 1).withColumn("most_leaves_equal", F.lit(len(loads.differing(0, 1)) == 1))
