@@ -13,6 +13,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import read_parted, write_parted
+
 FAN = 16
 LEAF_ROWS = 100_000
 MAX_DEPTH = 5
@@ -39,11 +41,11 @@ class Loads:
         slim = rows.select(*self.keys, leaf.alias("leaf"), row_digest(rows.columns).alias("digest"))
         slim = slim.withColumn("folder", F.floor(F.col("leaf") * min(leaves, FOLDERS) / leaves).cast("int"))
         path = os.path.join(self.folder, "leaves", f"load={load}")
-        slim.repartitionByRange("folder", "leaf", *self.keys).write.mode("overwrite").partitionBy("folder").parquet(path)
+        write_parted(slim.repartitionByRange("folder", "leaf", *self.keys), path, "folder")
 
         # the tree: sums of digests, which add up whatever the order, and counts
         total = F.sum(F.col("digest").cast("decimal(38,0)"))
-        nodes = self.spark.read.parquet(path).groupBy(F.col("leaf").alias("node")).agg(F.count("*").alias("n"), total.alias("digest"))
+        nodes = read_parted(self.spark, path).groupBy(F.col("leaf").alias("node")).agg(F.count("*").alias("n"), total.alias("digest"))
         nodes = nodes.withColumn("level", F.lit(self.depth))
         levels = [nodes]
         for level in reversed(range(self.depth)):
@@ -52,11 +54,11 @@ class Loads:
         tree = levels[0]
         for part in levels[1:]:
             tree = tree.unionByName(part)
-        tree.coalesce(1 if leaves <= 65_536 else 16).write.mode("overwrite").partitionBy("level").parquet(os.path.join(self.folder, "nodes", f"load={load}"))
+        write_parted(tree.coalesce(1 if leaves <= 65_536 else 16), os.path.join(self.folder, "nodes", f"load={load}"), "level")
 
     def _nodes(self, load: int, level: int) -> DataFrame:
         path = os.path.join(self.folder, "nodes", f"load={load}")
-        return self.spark.read.parquet(path).filter(F.col("level") == level).select("node", F.struct("n", "digest").alias(f"_{load}"))
+        return read_parted(self.spark, path).filter(F.col("level") == level).select("node", F.struct("n", "digest").alias(f"_{load}"))
 
     def differing(self, old: int, new: int) -> list[int]:
         """Numbers of the leaves that differ, found from the root down; at most FAN ** MAX_DEPTH numbers."""
@@ -73,7 +75,7 @@ class Loads:
     def _leaves(self, load: int, leaves: list[int]) -> DataFrame:
         count = FAN**self.depth
         folders = sorted({leaf * min(count, FOLDERS) // count for leaf in leaves})
-        rows = self.spark.read.parquet(os.path.join(self.folder, "leaves", f"load={load}"))
+        rows = read_parted(self.spark, os.path.join(self.folder, "leaves", f"load={load}"))
         return rows.filter(F.col("folder").isin(folders) & F.col("leaf").isin(leaves)).drop("folder", "leaf")
 
     def changes(self, old: int, new: int) -> DataFrame:

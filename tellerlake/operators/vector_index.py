@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..sources.files import read_parted, write_parted
 from .neighbours import batch_top_k
 
 TRAIN_ROWS = 20_000  # rows the model is fitted on, those with the smallest hashes
@@ -155,8 +156,8 @@ class VectorIndex:
         coded = plain.mapInPandas(code, f"{fields}, code binary, cell int")
         path = self._path("rows", f"load={load}")
         # ranges of (cell, id): a cell with very many rows is written by several tasks
-        coded.repartitionByRange("cell", "id").write.mode("overwrite").partitionBy("cell").parquet(path)
-        written = self.spark.read.parquet(path)
+        write_parted(coded.repartitionByRange("cell", "id"), path, "cell")
+        written = read_parted(self.spark, path)
         if not base:
             self._ids(written, "id", load)
         self._mark(load, base, written.count())
@@ -169,7 +170,7 @@ class VectorIndex:
         out = None
         for m in live:
             if m.records:
-                part = self.spark.read.parquet(self._path("rows", f"load={m.load}"))
+                part = read_parted(self.spark, self._path("rows", f"load={m.load}"))
                 part = part if cells is None else part.filter(F.col("cell").isin(cells))
                 if later := [n.load for n in live if n.load > m.load]:
                     part = part.join(self.spark.read.parquet(*[self._path("ids", f"load={n}") for n in later]).select("id"), "id", "left_anti")

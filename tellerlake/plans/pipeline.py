@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keyed as K
+from ..operators.versions import as_of
 from ..sources.files import append_fact
 from . import warehouse as W
 
@@ -59,9 +60,24 @@ def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
         derived = W.card_rows(rows, current("dim_member"), w.asof)
         return versions(derived, "dim_credit_card", "card_id", "card_key", "expiry_date_scd")
 
+    def reloaded(*tables: str) -> bool:
+        return any(next_load(w.spark, folder, t) > 1 for t in tables)
+
+    def dated(rows: DataFrame, table: str, natural: str, key: str, day: str) -> DataFrame:
+        """Rows with the key of the version that was valid on their day; the first version holds for all time before it."""
+        return as_of(rows, done(table), natural, day, "effective_date", [key], from_ever=True).filter(F.col(key).isNotNull())
+
     def payments(rows: DataFrame) -> DataFrame:
-        return W.payment_facts(W.payment_keys(
-            rows, current("dim_member"), current("dim_credit_card"), done("dim_date"), done("dim_payment_method")))
+        if not reloaded("dim_member", "dim_credit_card"):  # one version of each key
+            return W.payment_facts(W.payment_keys(
+                rows, current("dim_member"), current("dim_credit_card"), done("dim_date"), done("dim_payment_method")))
+        keyed = dated(dated(rows, "dim_member", "member_id", "member_key", "payment_date"), "dim_credit_card", "card_id", "card_key", "payment_date")
+        return W.payment_facts(W.bounded_keys(keyed, done("dim_date"), done("dim_payment_method")))
+
+    def health(rows: DataFrame) -> DataFrame:
+        if not reloaded("dim_member"):
+            return W.health_facts(rows, current("dim_member"), done("dim_date"))
+        return W.health_facts(dated(rows, "dim_member", "member_id", "member_key", "assessment_date"), None, done("dim_date"))
 
     return [
         Job("date_dimension", "generated", "dim_date", lambda: w.dim_date, lambda rows: rows),
@@ -73,7 +89,7 @@ def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
         Job("payment_history", "payment_history", "fact_payment", lambda: src.payment_history, payments,
             "payment_id", "payment_date_key"),
         Job("financial_health", "financial_health_metrics", "fact_financial_health", lambda: src.financial_health_metrics,
-            lambda rows: W.health_facts(rows, current("dim_member"), done("dim_date")), "metric_id", "assessment_date_key"),
+            health, "metric_id", "assessment_date_key"),
         Job("recommendation", "product_recommendations", "fact_product_recommendation", lambda: src.product_recommendations,
             lambda rows: W.recommendation_facts(rows, current("dim_member"), done("dim_financial_product"), done("dim_date"), w.asof)),
         Job("card_balance", "payment_history", "fact_credit_card_balance",

@@ -100,18 +100,21 @@ def payment_method_rows(methods: DataFrame) -> DataFrame:
         B.payment_channel(method).alias("payment_channel"), B.convenience_score(method).alias("convenience_score"))
 
 
+def bounded_keys(payments: DataFrame, dates: DataFrame, methods: DataFrame, how: str = "inner") -> DataFrame:
+    """Payments with the keys of their day and method; both dimensions are bounded, so they are broadcast."""
+    days = F.broadcast(dates.select(F.col("date_key").alias("payment_date_key"), F.col("date_value").alias("payment_date")))
+    kinds = F.broadcast(methods.select("payment_method_key", "payment_method"))
+    return payments.join(kinds, "payment_method", how).join(days, "payment_date", how)
+
+
 def payment_keys(payments: DataFrame, members: DataFrame, cards: DataFrame, dates: DataFrame,
                  methods: DataFrame, how: str = "inner") -> DataFrame:
     """Payments with their four dimension keys.
 
-    The calendar and the method list are bounded, so they are broadcast; members and cards are not, so
-    Spark picks the join from their size and splits hot members at run time.
+    Members and cards are not bounded, so Spark picks the join from their size and splits hot members at run time.
     """
-    days = F.broadcast(dates.select(F.col("date_key").alias("payment_date_key"), F.col("date_value").alias("payment_date")))
-    kinds = F.broadcast(methods.select("payment_method_key", "payment_method"))
     return (
-        payments.join(kinds, "payment_method", how)
-        .join(days, "payment_date", how)
+        bounded_keys(payments, dates, methods, how)
         .join(cards.select("card_id", "card_key"), "card_id", how)
         .join(members.select("member_id", "member_key"), "member_id", how)
     )
@@ -144,9 +147,11 @@ def payment_facts(keyed: DataFrame) -> DataFrame:
     )
 
 
-def health_facts(metrics: DataFrame, members: DataFrame, dates: DataFrame) -> DataFrame:
+def health_facts(metrics: DataFrame, members: DataFrame | None, dates: DataFrame) -> DataFrame:
     days = F.broadcast(dates.select(F.col("date_key").alias("assessment_date_key"), F.col("date_value").alias("assessment_date")))
-    keyed = metrics.join(days, "assessment_date").join(members.select("member_id", "member_key"), "member_id")
+    keyed = metrics.join(days, "assessment_date")
+    if members is not None:  # else the metrics have their keys
+        keyed = keyed.join(members.select("member_id", "member_key"), "member_id")
     zero = F.lit(0).cast("decimal(12,2)")
     assets = F.coalesce(F.col("savings_balance"), zero) + F.coalesce(F.col("checking_balance"), zero)
     debt = F.coalesce(F.col("total_debt"), zero)

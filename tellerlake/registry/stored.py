@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import dates as DT
 from ..operators import digests as DG
 from ..operators import keyed as K
+from ..operators import profiles as PR
 from ..operators import versions as V
+from ..operators.page_directory import PagedTable
+from ..operators.substring_index import SubstringIndex
 from ..operators.vector_index import VectorIndex
 from ..session import work_path
 from .base import Context, query
@@ -170,3 +173,117 @@ def _(c: Context):
     first = c.src.payment_history.agg(F.min("payment_id").alias("payment_id"))
     loads = _digested(c, c.src.payment_history.join(F.broadcast(first), "payment_id", "left_anti"), 3)
     return loads.changes(0, 1).withColumn("most_leaves_equal", F.lit(len(loads.differing(0, 1)) == 1))
+
+
+# Substring index over the members' names and contacts, and over product names.
+def _member_texts(c: Context) -> SubstringIndex:
+    fields = {"name": F.concat_ws(" ", "first_name", "last_name"), "email": F.col("email"), "phone": F.col("phone")}
+    return SubstringIndex.build(c.src.member_ids, work_path(c.spark, "member-texts"), "member_id", fields)
+
+
+@query("substring_members", "member_id b", "SELECT member_id FROM members WHERE lower(first_name||' '||last_name) LIKE '%r 00000001%' OR lower(email) LIKE '%member7%' OR phone LIKE '%-00%'")
+def _(c: Context):
+    return _member_texts(c).search({"name": "R 00000001", "email": "MEMBER7", "phone": "-00"}).withColumnRenamed("key", "member_id")
+
+
+@query("substring_short_patterns", "member_id b", "SELECT member_id FROM members WHERE lower(first_name||' '||last_name) LIKE '%r %' OR phone LIKE '%9-%' OR lower(email) LIKE '%nobody has this%'")
+def _(c: Context):
+    """Patterns of two characters, and one that no row has."""
+    return _member_texts(c).search({"name": "R ", "phone": "9-", "email": "nobody has this"}).withColumnRenamed("key", "member_id")
+
+
+@query("substring_documents", "doc_id b", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%licensed under%'")
+def _(c: Context):
+    """Long texts."""
+    index = SubstringIndex.build(c.raw("documents"), work_path(c.spark, "document-texts"), "doc_id", {"text": F.col("text")})
+    return index.search({"text": "Licensed Under"}).withColumnRenamed("key", "doc_id")
+
+
+# Profiles: payments come in a load for each year, the parents in one.
+_PROFILED = ["payment_id", "card_id", "payment_amount", "late_fee", "payment_method"]
+
+
+def _profiles(c: Context) -> PR.Profiles:
+    profiles, payments = PR.Profiles(c.spark, work_path(c.spark, "profiles")), c.src.payment_history
+    for load, (first, last) in enumerate([(None, 1994), (1995, 1996), (1997, None)]):
+        year = F.year("payment_date")
+        part = payments.filter((year >= (first or 0)) & (year <= (last or 9999)))
+        profiles.write("payment_history", load, part, _PROFILED)
+    return profiles
+
+
+@query("profile_merged", "column_name s, n b, nulls b, low d, high d, distinct_close o, median_close o", " UNION ALL ".join(
+    f"SELECT '{name}' AS column_name, count(*) AS n, count(*) - count({name}) AS nulls, {low} AS low, {high} AS high, true AS distinct_close, {median} AS median_close FROM payment_history"
+    for name in _PROFILED for low, high, median in [("NULL", "NULL", "NULL") if name == "payment_method" else (f"CAST(min({name}) AS DOUBLE)", f"CAST(max({name}) AS DOUBLE)", "true")]))
+def _(c: Context):
+    """Sketches of three loads as one profile, held against exact counts: five standard errors, and twice the error of ranks."""
+    profiles, rows = _profiles(c), c.src.payment_history
+    merged = profiles.merged().select("column_name", "n", "nulls", "low", "high", "distinct_count").join(profiles.quantile(0.5), "column_name", "left")
+    medians = {r["column_name"]: r["value"] for r in merged.select("column_name", "value").collect()}  # a row a column
+    exact = rows.agg(*[F.count_distinct(n).alias(f"d_{n}") for n in _PROFILED],
+                     *[(F.count_if(F.col(n).cast("double") < F.lit(v)) / F.count(n)).alias(f"l_{n}") for n, v in medians.items() if v is not None],
+                     *[(F.count_if(F.col(n).cast("double") <= F.lit(v)) / F.count(n)).alias(f"u_{n}") for n, v in medians.items() if v is not None]).first().asDict()
+    close, middle = F.lit(None).cast("boolean"), F.lit(None).cast("boolean")
+    for n in _PROFILED:
+        close = F.when(F.col("column_name") == n, F.abs(F.col("distinct_count") - exact[f"d_{n}"]) <= 5 * PR.DISTINCT_ERROR * exact[f"d_{n}"]).otherwise(close)
+        if f"l_{n}" in exact:
+            middle = F.when(F.col("column_name") == n, F.lit(exact[f"l_{n}"] <= 0.5 + 2 * PR.RANK_ERROR and exact[f"u_{n}"] >= 0.5 - 2 * PR.RANK_ERROR)).otherwise(middle)
+    return merged.withColumn("distinct_close", close).withColumn("median_close", middle)
+
+
+_LINKS_CHECKED = [("payment_history", "card_id", "credit_cards", "card_id"), ("product_recommendations", "product_id", "financial_products", "product_id"),
+                  ("product_recommendations", "member_id", "members", "member_id")]
+
+
+@query("profile_orphans", "constraint_name s, orphans b", """
+SELECT 'payment_history.card_id' AS constraint_name, count(*) FILTER (card_id NOT IN (SELECT card_id FROM credit_cards)) AS orphans FROM payment_history UNION ALL
+SELECT 'product_recommendations.product_id', count(*) FILTER (product_id NOT IN (SELECT product_id FROM financial_products WHERE product_category <> 'basic')) FROM product_recommendations UNION ALL
+SELECT 'product_recommendations.member_id', count(*) FILTER (member_id NOT IN (SELECT member_id FROM members)) FROM product_recommendations""")
+def _(c: Context):
+    """The basic products are missing; only this link is counted on its rows."""
+    tables = {"payment_history": c.src.payment_history, "credit_cards": c.src.credit_cards, "product_recommendations": c.src.product_recommendations,
+              "financial_products": c.src.financial_products.filter("product_category <> 'basic'"), "members": c.src.member_ids}
+    profiles = PR.Profiles(c.spark, work_path(c.spark, "profiles"))
+    for table, rows in tables.items():
+        profiles.write(table, 0, rows, sorted({f for a, f, b, k in _LINKS_CHECKED if a == table} | {k for a, f, b, k in _LINKS_CHECKED if b == table}))
+    return PR.orphans(profiles, tables, _LINKS_CHECKED)
+
+
+@query("profile_repeats", "key_name s, repeated_keys b, rows_affected b", """
+SELECT 'payment_history.payment_id' AS key_name, count(*) FILTER (payment_method = 'branch') AS repeated_keys, 2 * count(*) FILTER (payment_method = 'branch') AS rows_affected FROM payment_history
+UNION ALL SELECT 'credit_cards.card_id', 0, 0""")
+def _(c: Context):
+    """Payments at the branch have come twice, in two loads."""
+    payments = c.src.payment_history
+    again = payments.filter("payment_method = 'branch'")
+    profiles = PR.Profiles(c.spark, work_path(c.spark, "profiles"))
+    for load, rows in enumerate((payments, again)):
+        profiles.write("payment_history", load, rows, ["payment_id"])
+    profiles.write("credit_cards", 0, c.src.credit_cards, ["card_id"])
+    return PR.repeats(profiles, {"payment_history": payments.unionByName(again), "credit_cards": c.src.credit_cards},
+                      [("payment_history", "payment_id"), ("credit_cards", "card_id")])
+
+
+# Pages and lookups of stored facts.
+_PAGE = ", total b, page_number b, total_pages b"
+
+
+def _paged_sql(table: str, key: str, where: str, skip: int, limit: int) -> str:
+    return (f"SELECT *, count(*) OVER () AS total, {skip // limit + 1} AS page_number, CAST(ceil(count(*) OVER () / {limit}.0) AS INT) AS total_pages "
+            f"FROM {table} WHERE {where} ORDER BY {key} LIMIT {limit} OFFSET {skip}")
+
+
+@query("stored_page", "payment_key b, payment_amount d" + _PAGE, _paged_sql("fact_payment", "payment_key", "true", 300, 100))
+def _(c: Context):
+    return PagedTable.write(c.wh.fact_payment, work_path(c.spark, "paged"), "payment_key", file_rows=5000).page(300, 100)
+
+
+@query("stored_filtered_page", "payment_key b, member_key b, payment_status s, payment_ratio d" + _PAGE, _paged_sql("fact_payment", "payment_key", "payment_status='late'", 50, 25))
+def _(c: Context):
+    table = PagedTable.write(c.wh.fact_payment, work_path(c.spark, "paged"), "payment_key", ["payment_status", "is_on_time"], 5000)
+    return table.page(50, 25, ("payment_status", "late"))
+
+
+@query("stored_lookup", "balance_key b, card_key b, member_key b, current_balance d", "SELECT * FROM fact_credit_card_balance WHERE balance_key IN (6000000+200112, 7000000+200112, 1)")
+def _(c: Context):
+    return PagedTable.write(c.wh.fact_credit_card_balance, work_path(c.spark, "paged"), "balance_key", file_rows=5000).lookup(6000000 + 200112, 7000000 + 200112, 1)

@@ -80,3 +80,13 @@ def any_source_filled(tables: dict[str, DataFrame]) -> DataFrame:
     for branch in branches[1:]:
         out = out.unionByName(branch)
     return out
+
+
+def write_parted(df: DataFrame, path: str, by: str) -> None:
+    """Overwrite a table of folders by the column ``by``; its schema is kept beside it, as a table without rows has no file."""
+    df.limit(0).write.mode("overwrite").parquet(f"{path}.schema")
+    df.write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def read_parted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}.schema").schema).parquet(path)
