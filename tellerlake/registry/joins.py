@@ -100,9 +100,10 @@ def _(c: Context):
     return R.eligible_or_basic(_catalogue_pairs(c))
 
 
-@query("skip_existing", "customer_id s", "SELECT member_id AS customer_id FROM members WHERE member_status='active' AND member_id NOT IN (SELECT customer_id FROM accepted_products WHERE product_id%6=1)")
+@query("skip_existing", "customer_id s", "SELECT member_id AS customer_id FROM members WHERE member_status='active' AND member_id NOT IN (SELECT customer_id FROM accepted_products JOIN financial_products USING (product_id) WHERE product_type='credit_card')")
 def _(c: Context):
-    docs = _accepted(c).filter("product_id % 6 = 1").select(F.col("customer_id").cast("string").alias("customer_id"))
+    cards = c.src.financial_products.filter("product_type = 'credit_card'").select("product_id")
+    docs = _accepted(c).join(cards, "product_id").select(F.col("customer_id").cast("string").alias("customer_id"))
     return D.missing_customers(c.src.member_ids, docs)
 
 

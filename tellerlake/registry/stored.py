@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as DT
+from ..functions import lexer as LX
+from ..functions.text import STAR_COLUMNS
 from ..operators import digests as DG
 from ..operators import keyed as K
 from ..operators import profiles as PR
@@ -12,9 +14,18 @@ from ..operators import versions as V
 from ..operators.page_directory import PagedTable
 from ..operators.substring_index import SubstringIndex
 from ..operators.vector_index import VectorIndex
-from ..session import work_path
+from ..plans import discovery as DI
+from ..plans import filters as P
+from ..plans import marts as M
+from ..plans import pipeline as PL
+from ..plans import threshold_grid as TG
+from ..plans.stored import JoinLayout, StoredWarehouse
+from ..session import kept, work_path
+from ..sources import embedded as EM
+from ..sources.schemas import SOURCE_SCHEMAS
 from .base import Context, query
 from .oracle_tables import hu
+from .recommend import rule_features, rule_products
 
 # Vector index: every label's rows are indexed with their label, the rows divisible by 50 are the stated queries.
 PROBES, RECALL = 8, 0.9
@@ -287,3 +298,166 @@ def _(c: Context):
 @query("stored_lookup", "balance_key b, card_key b, member_key b, current_balance d", "SELECT * FROM fact_credit_card_balance WHERE balance_key IN (6000000+200112, 7000000+200112, 1)")
 def _(c: Context):
     return PagedTable.write(c.wh.fact_credit_card_balance, work_path(c.spark, "paged"), "balance_key", file_rows=5000).lookup(6000000 + 200112, 7000000 + 200112, 1)
+
+
+# Marts, pages and lookups over the stored loads; the pipeline writes them once.
+def _warehouse(c: Context, jobs: list[str]) -> StoredWarehouse:
+    folder = work_path(c.spark, "warehouse")
+    failed = PL.run(c.spark, PL.warehouse_jobs(c.wh, folder), folder, ["date_dimension", "payment_method", "member", "credit_card", *jobs]).filter("status <> 'success'")
+    if rows := failed.collect():  # a row for each job
+        raise RuntimeError(rows[0]["error_message"])
+    return StoredWarehouse(c.spark, folder)
+
+
+@query("stored_member_summary", "member_id b, income_bracket s, total_payments b, avg_payment_amount d", "SELECT m.member_id, m.income_bracket, count(*) AS total_payments, "
+       + hu("CAST(sum(p.payment_amount) AS DOUBLE)/count(*)", 6) + " AS avg_payment_amount FROM dim_member m JOIN fact_payment p USING (member_id) GROUP BY ALL")
+def _(c: Context):
+    w = _warehouse(c, ["payment_history"])
+    return M.member_payment_summary(w.table("fact_payment"), w.current("dim_member"))
+
+
+@query("stored_payments_page", "payment_key b, member_key b, payment_status s, is_on_time o, payment_ratio d" + _PAGE,
+       _paged_sql("fact_payment", "payment_key", "payment_status='late' AND NOT is_on_time AND payment_date_key BETWEEN 19960101 AND 19960331", 50, 25))
+def _(c: Context):
+    """Late payments of a quarter: only its days are read."""
+    fact = _warehouse(c, ["payment_history"]).day("fact_payment", "payment_date_key", 19960101, 19960331)
+    return P.filtered_page(fact, "fact_payment", 50, 25, payment_status="late", is_on_time=False)
+
+
+@query("stored_health_page", "health_key b, member_key b, risk_category s, credit_score_tier s" + _PAGE,
+       _paged_sql("fact_financial_health", "health_key", "risk_category='high' AND assessment_date_key=20011215", 0, 100))
+def _(c: Context):
+    fact = _warehouse(c, ["financial_health"]).day("fact_financial_health", "assessment_date_key", 20011215, 20011215)
+    return P.filtered_page(fact, "fact_financial_health", risk_category="high")
+
+
+@query("stored_balance_lookup", "card_key b, card_id b, member_key b, balance_key b, current_balance d", "SELECT * FROM fact_credit_card_balance WHERE card_id=6 AND snapshot_date_key=20011231")
+def _(c: Context):
+    """A card's balance at a month end, by its natural key: the filter reaches the files."""
+    return _warehouse(c, ["card_balance"]).table("fact_credit_card_balance").filter("card_id = 6 AND snapshot_date_key = 20011231")
+
+
+@query("bucketed_card_payments", "card_id b, card_type s, n b, paid d, snapshots b", """
+SELECT k.card_id, k.card_type, p.n, p.paid, b.snapshots FROM dim_credit_card k JOIN (SELECT card_id, count(*) AS n, CAST(sum(payment_amount) AS DOUBLE) AS paid FROM fact_payment GROUP BY 1) p USING (card_id)
+JOIN (SELECT card_id, count(*) AS snapshots FROM fact_credit_card_balance GROUP BY 1) b USING (card_id)""")
+def _(c: Context):
+    """Two facts and a dimension in buckets by card: joined and grouped where they lie."""
+    return card_payments(card_layout(c, 8))
+
+
+def card_layout(c: Context, buckets: int) -> JoinLayout:
+    layout = JoinLayout(c.spark, work_path(c.spark, "layout"), "card_id", buckets)
+    layout.write("cards", c.wh.dim_credit_card.filter("is_current"))
+    layout.write("payments", c.wh.fact_payment)
+    layout.write("balances", c.wh.fact_credit_card_balance)
+    return layout
+
+
+def card_payments(layout: JoinLayout):
+    paid = layout.read("payments").groupBy("card_id").agg(F.count("*").alias("n"), F.sum("payment_amount").alias("paid"))
+    seen = layout.read("balances").groupBy("card_id").agg(F.count("*").alias("snapshots"))
+    return layout.read("cards").select("card_id", "card_type").join(paid, "card_id").join(seen, "card_id")
+
+
+# Statements by tokens: conversation turns inside comments, strings and quoted names around harmless and harmful words.
+_KINDS = ["-- {0}\nSELECT * FROM `bank_oltp`.members", "SELECT 'drop ' || x, \"delete\" FROM bank_dw . facts /* {0} */",
+          "DELETE FROM bank_oltp.members WHERE note = '{0}' -- bank_dw.x", "SELECT * , product_id FROM (SELECT a FROM b) t WHERE n = '{0}''s bank_oltp.x'",
+          "select distinct created_at, update_time from bank_dw.t join \"bank_oltp\".u -- {0}"]
+
+
+def _wrapped(c: Context):
+    said = F.regexp_replace(F.col("text"), r"[\r\n]|\*/", " ")
+    out = F.lit(None).cast("string")
+    for i, pattern in enumerate(_KINDS):
+        head, tail = pattern.split("{0}")
+        body = F.replace(said, F.lit("'"), F.lit("''")) if i in (2, 3) else said
+        out = F.when(F.col("turn") % len(_KINDS) == i, F.concat(F.lit(head), body, F.lit(tail))).otherwise(out)
+    return c.raw("conversations").select("conv_id", "turn", out.alias("statement"))
+
+
+def _wrapped_sql() -> str:
+    def text(part: str) -> str:
+        return "'" + part.replace("'", "''") + "'"
+
+    said = r"regexp_replace(text, '[\r\n]|\*/', ' ', 'g')"
+    cases = []
+    for i, pattern in enumerate(_KINDS):
+        head, tail = (text(p).replace("\n", "'||chr(10)||'") for p in pattern.split("{0}"))
+        body = f"replace({said}, '''', '''''')" if i in (2, 3) else said
+        cases.append(f"WHEN {i} THEN {head}||{body}||{tail}")
+    return f"SELECT conv_id, turn, text, CASE turn % {len(_KINDS)} {' '.join(cases)} END AS statement FROM conversations"
+
+
+@query("token_guard", "conv_id b, turn b, is_destructive o, lineage s",
+       f"SELECT conv_id, turn, turn % 5 = 2 AS is_destructive, CASE turn % 5 WHEN 0 THEN 'OLTP' WHEN 1 THEN 'DW' WHEN 2 THEN 'OLTP' WHEN 3 THEN 'Unknown' ELSE 'Both' END AS lineage FROM ({_wrapped_sql()}) WHERE statement IS NOT NULL")
+def _(c: Context):
+    """Words in strings, comments and quoted names neither warn nor name a schema."""
+    statement = F.col("statement")
+    return _wrapped(c).filter(statement.isNotNull()).select("conv_id", "turn", LX.is_destructive(statement).alias("is_destructive"), LX.lineage(statement).alias("lineage"))
+
+
+_STARS = ", ".join(STAR_COLUMNS)
+
+
+@query("token_rewrites", "conv_id b, turn b, expanded s, patched s", f"""SELECT conv_id, turn,
+ CASE turn % 5 WHEN 0 THEN replace(statement, 'SELECT * FROM `bank', 'SELECT {_STARS} FROM `bank') WHEN 3 THEN 'SELECT {_STARS} '||substr(statement, 23) ELSE statement END AS expanded,
+ CASE turn % 5 WHEN 0 THEN replace(statement, chr(10)||'SELECT * FROM `bank', chr(10)||'SELECT product_id, * FROM `bank') WHEN 1 THEN 'SELECT product_id,'||substr(statement, 7)
+  WHEN 4 THEN 'select distinct product_id,'||substr(statement, 16) ELSE statement END AS patched FROM ({_wrapped_sql()})""")
+def _(c: Context):
+    return _wrapped(c).select("conv_id", "turn", LX.expand_star(F.col("statement")).alias("expanded"), LX.ensure_column(F.col("statement")).alias("patched"))
+
+
+@query("grid_recommend", "member_id b, rank b, product_id b, product_name s, product_type s, score d, probability d, eligible o, reasons s",
+       f"SELECT * REPLACE ({hu('probability', 3)} AS probability) FROM rule_top")
+def _(c: Context):
+    """The rule recommendations, scored once a cell of members."""
+    return TG.recommend(rule_features(c), rule_products(c))
+
+
+# The catalogue as the session lists it.
+_KEPT = {"members": "member_id", "credit_cards": "card_id", "payment_history": "payment_id", "financial_health_metrics": "metric_id", "financial_products": "product_id",
+         "product_recommendations": "recommendation_id"}
+
+
+def _bank(c: Context):
+    return {t: DI.described(kept(c.src.table(t), t), {k: f"key of {t}"}, {k}) for t, k in _KEPT.items()}
+
+
+def _catalogue_sql() -> str:
+    parts = []
+    for table, schema in SOURCE_SCHEMAS.items():
+        for i, f in enumerate(schema.fields, 1):
+            unique = f"(SELECT count({f.name}) = count(*) AND count(DISTINCT {f.name}) = count(*) AND count(*) > 0 FROM {table})"
+            targets = [f"CASE WHEN (SELECT count({f.name}) = count(*) AND count(DISTINCT {f.name}) = count(*) AND count(*) > 0 FROM {t}) "
+                       f"AND NOT EXISTS (SELECT 1 FROM {table} x WHERE x.{f.name} IS NOT NULL AND x.{f.name} NOT IN (SELECT {f.name} FROM {t})) THEN '{t}.{f.name}' END"
+                       for t, s in sorted(SOURCE_SCHEMAS.items()) if t != table and f.name in s.names and s[f.name].dataType == f.dataType]
+            refers = f"nullif(array_to_string(list_filter([{', '.join(targets)}], lambda x: x IS NOT NULL), ', '), '')" if targets else "NULL"
+            key = _KEPT[table] == f.name
+            parts.append(f"SELECT '{table}' AS table_name, {i} AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS column_type, {not key} AS nullable, "
+                         f"{repr(f'key of {table}') if key else 'NULL'} AS comment, {unique} AS is_key, {refers} AS refers_to")
+    return " UNION ALL ".join(parts)
+
+
+@query("session_catalogue", "table_name s, position b, column_name s, column_type s, nullable o, comment s, is_key o, refers_to s", _catalogue_sql())
+def _(c: Context):
+    """Columns, nullability and comments from the session, keys and links from the rows."""
+    return DI.catalogue(c.spark, work_path(c.spark, "profiles"), _bank(c))
+
+
+# Tables in embedded database files.
+@query("scan_embedded", "payment_id b, member_id b, payment_date s, payment_amount d, late_fee d, payment_method s, payment_status s", "SELECT * FROM payment_history")
+def _(c: Context):
+    return _embedded(c, "payment_history", "payment_id")
+
+
+@query("scan_embedded_filtered", "payment_id b, payment_amount d, payment_method s",
+       "SELECT * FROM payment_history WHERE payment_id > 20000 AND payment_method IN ('mail', 'phone') AND payment_status = 'late'")
+def _(c: Context):
+    """Key range, list and equality are part of the files' queries."""
+    return _embedded(c, "payment_history", "payment_id").filter("payment_id > 20000 AND payment_method IN ('mail', 'phone') AND payment_status = 'late'")
+
+
+def _embedded(c: Context, table: str, key: str):
+    folder, rows = work_path(c.spark, "embedded"), c.src.table(table)
+    EM.write_embedded(rows.repartition(4), folder, table, key)
+    return EM.scan_embedded(c.spark, folder, table, rows.schema, key)
