@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, stored
+from .common import mix, pieces, stored, text_bytes
 
 ROLES = ("system", "user", "assistant")
 UNKNOWN = 3
@@ -21,8 +21,8 @@ LEGAL = {START: {0: SYSTEM, 1: USER}, SYSTEM: {1: USER}, USER: {2: ASSISTANT}, A
 #: Role of the turn that a state stands behind.
 SPOKEN = {SYSTEM: 0, USER: 1, ASSISTANT: 2}
 NEVER = 1 << 40
-#: Turns that one task holds.
-PART_ROWS = 50_000
+#: Turns, and about as many bytes of text, that one task holds.
+PART_ROWS, PART_BYTES = 50_000, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -265,7 +265,7 @@ def repair(turns: DataFrame, costs: Costs = Costs(), template: Template = Templa
     table, close = matrices(costs), endings(costs)
     rows = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("_c_copies"))
     rows = stored(rows.select("*", F.xxhash64("conv_id").alias("_c_conv")), "chat-turns")
-    parts = max(pieces(rows.count(), PART_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(pieces(rows.count(), PART_ROWS), pieces(text_bytes(rows), PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["_c_conv", "conv_id", "turn", "role", "text"]
     ranged = (rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
               .select("conv_id", "turn", "role", "_c_conv", "_c_copies", F.xxhash64("conv_id", "turn", "role", "text").alias("_c_tie"), F.col("role").alias("_c_role"), F.col("text").alias("_c_text"),

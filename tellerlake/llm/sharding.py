@@ -24,17 +24,20 @@ STORED = ["_so_part", "_so_file", "_so_name", "_so_row"]
 def as_stored(df: DataFrame) -> DataFrame:
     """``df`` plus the columns STORED, in whose order its rows were written.
 
-    A sorted table is written as numbered files, each a range of the order, and a file keeps the order of its rows;
-    a reader may hand out the files in any order. A table that is not read from files has the order of its partitions.
+    A sorted table is written as numbered files (part-N...), each a range of the order, and a file keeps the order of its
+    rows; a reader may hand out the files in any order. Tables that are not read from such files have no such order
+    and are refused: at once, or by the first row of a file that has another name.
     """
+    def number(pattern: str) -> Column:
+        found = F.regexp_extract(name, pattern, 1).try_cast("long")
+        return F.coalesce(found, F.raise_error(F.concat(F.lit("no numbered file of a table: "), name)).cast("long"))
+
     try:
         name = F.col("_metadata.file_name")
-        number = lambda pattern: F.regexp_extract(name, pattern, 1).try_cast("long")
-        return df.select(*[F.col(f"`{c}`") for c in df.columns], number(r"^part-(\d+)").alias("_so_part"), number(r"-c(\d+)\.").alias("_so_file"),
-                         name.alias("_so_name"), F.col("_metadata.row_index").alias("_so_row"))
-    except AnalysisException:
-        none = {c: F.lit(0) for c in STORED[:3]}
-        return df.withColumns({**none, "_so_row": F.monotonically_increasing_id()})
+        return df.select(*[F.col(f"`{c}`") for c in df.columns], number(r"^part-(\d+)").alias("_so_part"),
+                         number(r"-c(\d+)\.").alias("_so_file"), name.alias("_so_name"), F.col("_metadata.row_index").alias("_so_row"))
+    except AnalysisException as error:
+        raise ValueError("rows have the order they were written in only if they are read from Parquet files") from error
 
 
 def shard_by_bytes(df: DataFrame, shards: int, size: str, order: list[str], number: str | None = None) -> DataFrame:

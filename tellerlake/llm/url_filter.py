@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from .common import free_of, hash_strings, stored
 
 #: Largest filter that is collected and broadcast: 2^30 bits, 128 MB.
 MAX_FILTER_BITS = 1 << 30
+#: Words of 64 bits that travel to the driver as one string.
+WORDS = 1 << 15
 MAX_LEVELS = 64
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -89,11 +92,20 @@ def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
             at = np.concatenate([np.empty(0, np.int64), *probes(own, bits, hashes, seed)])
             yield pd.DataFrame({"word": at >> 6, "mask": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
 
-    rows = keys.mapInPandas(set_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()
-    words = np.zeros(bits // 64, dtype=np.uint64)
-    for row in rows:
-        words[row["word"]] = np.int64(row["mask"]).view(np.uint64)
-    return Level(words, bits, hashes, seed)
+    def pack(rows: pa.Table) -> pa.Table:
+        """A range of words as bytes."""
+        first = rows["word"][0].as_py() // WORDS * WORDS
+        own = np.zeros(min(WORDS, bits // 64 - first), dtype=np.int64)
+        own[rows["word"].to_numpy() - first] = rows["mask"].to_numpy()
+        return pa.table({"first": [first], "words": [own.tobytes()]}, schema=pa.schema([("first", pa.int64()), ("words", pa.binary())]))
+
+    masks = keys.mapInPandas(set_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    ranges = masks.groupBy((F.col("word") / WORDS).cast("long")).applyInArrow(pack, "first long, words binary")
+    filled = np.zeros(bits // 64, dtype=np.uint64)
+    for row in ranges.toLocalIterator():  # one range of words after the other
+        own = np.frombuffer(row["words"], dtype=np.uint64)
+        filled[row["first"] : row["first"] + len(own)] = own
+    return Level(filled, bits, hashes, seed)
 
 
 def passing(keys: DataFrame, level: Level) -> DataFrame:

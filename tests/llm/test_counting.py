@@ -147,7 +147,16 @@ def test_the_manifest_follows_the_training_order(spark, nasty, tmp_path):
         orders.append([r.doc_id for r in rows])
     assert sorted(map(str, orders[0])) == sorted(map(str, orders[1])) and orders[0] != orders[1]
     ready = spark.range(40).selectExpr("40 - id AS doc_id", "'t' AS text").coalesce(1)
-    assert [r.doc_id for r in sharding.shard_in_order(ready, 3, ["doc_id"]).orderBy("position").collect()] == list(range(40, 0, -1))
+    with pytest.raises(ValueError):  # rows of no file have no stored order
+        sharding.shard_in_order(ready, 3, ["doc_id"])
+    ready.write.parquet(str(tmp_path / "ready"))
+    stored = spark.read.parquet(str(tmp_path / "ready"))
+    assert [r.doc_id for r in sharding.shard_in_order(stored, 3, ["doc_id"]).orderBy("position").collect()] == list(range(40, 0, -1))
+    file = next((tmp_path / "ready").glob("part-*.parquet"))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "rows.parquet").write_bytes(file.read_bytes())
+    with pytest.raises(Exception, match="no numbered file"):
+        sharding.shard_in_order(spark.read.parquet(str(tmp_path / "other")), 3, ["doc_id"]).collect()
 
 
 def test_token_counts_are_the_librarys(nasty):
