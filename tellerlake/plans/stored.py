@@ -14,7 +14,7 @@ from .pipeline import stored_table
 class StoredWarehouse:
     """Dimensions and facts read from their loads; marts and pages take them in place of derived ones.
 
-    Filters reach the files: facts lie in folders by date key, so a day reads one folder.
+    Filters reach the files: facts lie in folders by year and month of their date key.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -28,8 +28,9 @@ class StoredWarehouse:
         return self.table(name).filter("is_current")
 
     def day(self, fact: str, date_column: str, first: int, last: int) -> DataFrame:
-        """Rows of a fact with date keys from ``first`` to ``last``; other folders are not read."""
-        return self.table(fact).filter(F.col(date_column).between(first, last))
+        """Rows of a fact with date keys (yyyymmdd) from ``first`` to ``last``; the folders of other months are not read."""
+        months = (F.col("key_year") * 100 + F.col("key_month")).between(first // 100, last // 100)
+        return self.table(fact).filter(months & F.col(date_column).between(first, last))
 
 
 class JoinLayout:

@@ -454,10 +454,10 @@ def _(c: Context):
        "SELECT * FROM payment_history WHERE payment_id > 20000 AND payment_method IN ('mail', 'phone') AND payment_status = 'late'")
 def _(c: Context):
     """Key range, list and equality are part of the files' queries."""
-    return _embedded(c, "payment_history", "payment_id").filter("payment_id > 20000 AND payment_method IN ('mail', 'phone') AND payment_status = 'late'")
+    return _embedded(c, "payment_history", "payment_id", [("payment_id", ">", 20000), ("payment_method", "in", ["mail", "phone"]), ("payment_status", "=", "late")])
 
 
-def _embedded(c: Context, table: str, key: str):
+def _embedded(c: Context, table: str, key: str, where: list[tuple[str, str, object]] | None = None):
     folder, rows = work_path(c.spark, "embedded"), c.src.table(table)
     EM.write_embedded(rows.repartition(4), folder, table, key)
-    return EM.scan_embedded(c.spark, folder, table, rows.schema, key)
+    return EM.scan_embedded(c.spark, folder, table, rows.schema, key, where=where)

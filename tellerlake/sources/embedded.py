@@ -1,4 +1,4 @@
-"""Tables in embedded database files, as a Spark data source: key ranges are partitions, filters go into the query.
+"""Tables in embedded database files, as a Spark data source: key ranges are partitions, conditions go into the query.
 
 A table is a folder of SQLite files that all executors can open by path; each task opens the file it reads, there is no
 server. Tables are written by tasks, one file each. Columns are whole numbers, texts, floating-point numbers, and dates
@@ -8,6 +8,7 @@ or decimals as texts.
 from __future__ import annotations
 
 import glob
+import json
 import os
 import sqlite3
 import uuid
@@ -17,11 +18,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 BATCH_ROWS = 8192
-_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+SIGNS = ("=", ">", ">=", "<", "<=", "in")
 
 
 def _quoted(name: str) -> str:
@@ -66,22 +67,8 @@ class EmbeddedReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.folder, self.key = schema, options["path"], options["key"]
         self.parts = int(options.get("partitions", "1"))
-        self.tests: list[tuple[str, list]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes comparisons of whole numbers and texts into the query; returns the others for Spark to apply."""
-        kinds = {f.name: f.dataType.typeName() for f in self.schema.fields}
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            plain = kinds.get(name) in ("long", "integer", "string", "double")
-            if plain and type(f) in _SIGNS:
-                self.tests.append((f"{_quoted(name)} {_SIGNS[type(f)]} ?", [f.value]))
-            elif plain and isinstance(f, In) and f.value:
-                self.tests.append((f"{_quoted(name)} IN ({', '.join('?' * len(f.value))})", list(f.value)))
-            elif plain and isinstance(f, IsNotNull):
-                self.tests.append((f"{_quoted(name)} IS NOT NULL", []))
-            else:
-                yield f
+        self.tests = [(f"{_quoted(c)} {sign} ?", [value]) if sign != "in" else (f"{_quoted(c)} IN ({', '.join('?' * len(value))})", value)
+                      for c, sign, value in json.loads(options.get("where", "[]"))]
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -94,7 +81,9 @@ class EmbeddedReader(DataSourceReader):
             out += [Part(name, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
         return out
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a table without files
+            return
         key, arrow = _quoted(self.key), _arrow(self.schema)
         tests, values = [t for t, _ in self.tests], [v for _, vs in self.tests for v in vs]
         if partition.low is not None:
@@ -128,12 +117,20 @@ class Embedded(DataSource):
         return EmbeddedReader(schema, self.options)
 
 
-def scan_embedded(spark: SparkSession, folder: str, table: str, schema: StructType, key: str, partitions: int = 4) -> DataFrame:
-    """A stored table with the types of ``schema``; dates and decimals are cast from their texts."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def scan_embedded(spark: SparkSession, folder: str, table: str, schema: StructType, key: str, partitions: int = 4,
+                  where: list[tuple[str, str, object]] | None = None) -> DataFrame:
+    """A stored table with the types of ``schema``; dates and decimals are cast from their texts.
+
+    ``where`` lists conditions (column, one of SIGNS, value) on numbers and texts that become part of the files' queries;
+    all have to hold. They are stated here and not pushed down by the planner, because it keeps what one query pushed
+    for all later uses of the same table.
+    """
     spark.dataSource.register(Embedded)
     texts = {f.name for f in schema.fields if f.dataType.typeName() in ("date", "timestamp", "decimal")}
+    for column, sign, _ in where or []:
+        if sign not in SIGNS or column in texts or column not in schema.names:
+            raise ValueError(f"no condition on {column} with {sign}")
     plain = ", ".join(f"`{f.name}` {'string' if f.name in texts else f.dataType.simpleString()}" for f in schema.fields)
-    path = os.path.join(folder, table)
-    rows = spark.read.format("embedded").schema(plain).option("path", path).option("key", key).option("partitions", str(partitions)).load()
+    options = {"path": os.path.join(folder, table), "key": key, "partitions": str(partitions), "where": json.dumps(where or [])}
+    rows = spark.read.format("embedded").schema(plain).options(**options).load()
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in texts else F.col(f.name) for f in schema.fields])

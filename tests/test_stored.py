@@ -180,3 +180,120 @@ def test_pages_read_their_files_only(spark):
     assert sorted(r.id for r in table.lookup(300, 303, 301, -5).collect()) == [300, 303]
     none = PagedTable.write(rows.filter("false"), work_path(spark, "paged"), "id")
     assert none.page().isEmpty() and none.lookup(1).isEmpty()
+
+
+def test_bucketed_tables_join_without_a_shuffle(small):
+    from tellerlake.registry.stored import card_layout, card_payments
+
+    layout = card_layout(small, 4)
+    small.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = card_payments(layout)
+    assert out.count() > 0 and "Exchange" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    layout.release()
+
+
+def test_stored_marts_read_few_files(small):
+    from tellerlake.plans import filters as P
+    from tellerlake.registry.stored import _warehouse
+
+    w = _warehouse(small, ["payment_history", "card_balance"])
+    days = w.day("fact_payment", "payment_date_key", 19960101, 19960105)
+    assert 0 < days.count() == small.wh.fact_payment.filter("payment_date_key BETWEEN 19960101 AND 19960105").count()
+    scan = days._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "key_month" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    lookup = w.table("fact_credit_card_balance").filter("card_id = 6")
+    assert "PushedFilters: [IsNotNull(card_id), EqualTo(card_id,6)]" in plan(lookup) and "Join" not in plan(lookup)
+    page = P.filtered_page(w.table("fact_payment"), "fact_payment", 5, 7, payment_status="late")
+    assert sorted(map(tuple, page.select("payment_key", "total").collect())) == sorted(
+        map(tuple, P.filtered_page(small.wh.fact_payment, "fact_payment", 5, 7, payment_status="late").select("payment_key", "total").collect()))
+
+
+STATEMENTS = [
+    # statement, destructive, lineage, expanded, with product_id
+    ("-- drop it\nselect 1 from t", False, "Unknown", None, "-- drop it\nselect product_id, 1 from t"),
+    ("select 'delete' from bank_dw.t", False, "DW", None, "select product_id, 'delete' from bank_dw.t"),
+    ("select created_at, updated from t where x = 'it''s bank_dw.t; drop'", False, "Unknown", None, "select product_id, created_at, updated from t where x = 'it''s bank_dw.t; drop'"),
+    ("/* update */ DELETE FROM bank_oltp.t", True, "OLTP", None, None),
+    ("select \"drop\", `alter` from a", False, "Unknown", None, "select product_id, \"drop\", `alter` from a"),
+    ("x = 'open string drop", False, "Unknown", None, None),
+    ("/* open comment drop", False, "Unknown", None, None),
+    ("SELECT * FROM a", False, "Unknown", "SELECT {} FROM a", "SELECT product_id, * FROM a"),
+    ("select /* all */ *, (select max(x) from b) m from c", False, "Unknown", "SELECT {} from c", "select product_id, /* all */ *, (select max(x) from b) m from c"),
+    ("select a * b from c", False, "Unknown", None, "select product_id, a * b from c"),
+    ("select '*' from c", False, "Unknown", None, "select product_id, '*' from c"),
+    ("insert into bank_dw.t select * from bank_oltp . u", True, "Both", "insert into bank_dw.t SELECT {} from bank_oltp . u", None),
+    ("select Product_ID from t", False, "Unknown", None, None),
+    ("select 'product_id' from t", False, "Unknown", None, "select product_id, 'product_id' from t"),
+    ("select count(*) from bank_dw", False, "Unknown", None, "select product_id, count(*) from bank_dw"),
+    ("  Select Distinct a from t", False, "Unknown", None, "  Select Distinct product_id, a from t"),
+    ("", False, "Unknown", None, None), ("drop", True, "Unknown", None, None), ("dropped", False, "Unknown", None, None), ("it''''''s " * 3000 + "drop", True, "Unknown", None, None),
+]
+
+
+def test_statements_by_tokens(spark):
+    from tellerlake.functions import lexer
+    from tellerlake.functions.text import STAR_COLUMNS
+
+    df = spark.createDataFrame([(i, s[0]) for i, s in enumerate(STATEMENTS)] + [(-1, None)], "i int, s string")
+    s = F.col("s")
+    out = df.select("i", s, F.array_join(lexer.tokens(s), "").alias("whole"), lexer.is_destructive(s).alias("d"), lexer.lineage(s).alias("l"),
+                    lexer.expand_star(s).alias("e"), lexer.ensure_column(s).alias("p")).collect()
+    for r in out:
+        if r.i >= 0:
+            text, destructive, lineage, expanded, patched = STATEMENTS[r.i]
+            assert (r.whole, r.d, r.l) == (text, destructive, lineage), text
+            assert r.e == (expanded.format(", ".join(STAR_COLUMNS)) if expanded else text), text
+            assert r.p == (patched or text), text
+        else:
+            assert r.e is None and r.p is None
+
+
+def test_grid_gives_the_rules_best(small):
+    from tellerlake.plans import rules, threshold_grid
+    from tellerlake.registry.recommend import rule_features, rule_products
+
+    features, products = rule_features(small).cache(), rule_products(small)
+    twice = products.unionByName(products.withColumn("product_id", F.col("product_id") + 100_000).withColumn("minimum_credit_score", F.lit(None).cast("int")))
+    for catalogue in (products, twice):
+        for n in (1, 5):
+            want, got = (sorted(map(repr, f(features, catalogue, n).select("member_id", "rank", "product_id", "score", "eligible", "reasons", "probability").collect()))
+                         for f in (rules.recommend, threshold_grid.recommend))
+            assert want == got and want
+    cells = threshold_grid.with_cells(features, products).select(*threshold_grid.CELL).distinct().count()
+    assert cells < features.count()
+
+
+def test_catalogue_finds_keys_and_links(spark):
+    from tellerlake.plans import discovery
+    from tellerlake.session import own_session
+
+    own = own_session(spark)
+    parents = own.range(300).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g"), F.concat(F.lit("n"), "id").alias("name"))
+    sound = own.range(1000).select(F.col("id").alias("c"), (F.col("id") % 300).alias("k"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") % 5)).alias("name"))
+    broken = own.range(1000).select((F.col("id") % 301).alias("k"), F.col("id").cast("int").alias("c"))
+    none = parents.filter("false").select(F.col("k").alias("z"))
+    tables = {"parents": discovery.described(parents, {"k": "the key"}, {"k"}), "sound": sound, "broken": broken, "nothing": none}
+    found = {(r.table_name, r.column_name): r for r in discovery.catalogue(own, work_path(own, "profiles"), tables).collect()}
+    assert {k for k, r in found.items() if r.is_key} == {("parents", "k"), ("parents", "name"), ("sound", "c"), ("broken", "c")}
+    assert {k: r.refers_to for k, r in found.items() if r.refers_to} == {("sound", "k"): "parents.k", ("sound", "name"): "parents.name"}
+    assert found["parents", "k"].comment == "the key" and not found["parents", "k"].nullable and found["sound", "name"].nullable and ("nothing", "z") in found
+
+
+def test_embedded_tables(spark):
+    from tellerlake.sources import embedded
+
+    rows = spark.createDataFrame([(i if i % 40 else None, f"it's {i % 7}" if i % 3 else None, i * 0.5, DAY + datetime.timedelta(i), i % 2 == 0) for i in range(500)],
+                                 "id long, name string, x double, day date, flag boolean").withColumn("amount", F.col("x").cast("decimal(10,2)"))
+    folder = work_path(spark, "embedded")
+    embedded.write_embedded(rows.repartition(3), folder, "t", "id")
+    back = embedded.scan_embedded(spark, folder, "t", rows.schema, "id", 5)
+    assert back.select(F.spark_partition_id()).distinct().count() > 3
+    asked = embedded.scan_embedded(spark, folder, "t", rows.schema, "id", 5, [("id", ">", 100), ("id", "<=", 222), ("name", "in", ["it's 1", "it's 2"])])
+    assert sorted(map(repr, asked.collect())) == sorted(map(repr, rows.filter("id > 100 AND id <= 222 AND name IN ('it''s 1', 'it''s 2')").collect()))
+    with pytest.raises(ValueError):
+        embedded.scan_embedded(spark, folder, "t", rows.schema, "id", 5, [("day", "=", "2000-01-01")])
+    for test in ("true", "id > 100 AND id <= 222", "name = 'it''s 3' OR id IS NULL", "name IN ('it''s 1', 'nothing')", "id = 7 AND flag", "x < 3 AND day >= DATE '2000-01-03'", "name IS NULL"):
+        assert sorted(map(repr, back.filter(test).collect())) == sorted(map(repr, rows.filter(test).collect())), test
+    embedded.write_embedded(rows.filter("false"), folder, "empty", "id")
+    assert embedded.scan_embedded(spark, folder, "empty", rows.schema, "id").isEmpty()
