@@ -16,6 +16,8 @@ from .ngram_features import BITS, FAMILIES, fitted, labelled_sample, linear_scor
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Text that is judged at a time.
+CHUNK = 2 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
