@@ -16,7 +16,7 @@ from .graph import components
 N = 5
 #: A pair is linked when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-COLUMN_BYTES = 20 << 20  # text whose n-grams one column block holds
+COLUMN_BYTES = 10 << 20  # text whose n-grams one column block holds
 BLOCK_ROWS = 400  # documents of one matrix block
 BLOCK_GRAMS = 4096  # n-grams of one matrix block
 MESSAGE = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("docs", pa.binary()), ("grams", pa.binary())])
