@@ -152,7 +152,7 @@ def test_pipeline_equals_a_plain_version(spark):
     left = [r for r in rows if r.doc_id in first and not any(100 * len(i & gram_set(r.text)) >= 80 * len(i) for i in items)]
     by_source = defaultdict(list)
     for r in left:
-        by_source[r.source].append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, len(words(r.text))))
+        by_source[r.source].append((hashlib.md5(f"{r.doc_id}/{r.text}".encode()).hexdigest(), r.doc_id, len(words(r.text))))
     sizes = {s: sum(n for *_, n in own) for s, own in by_source.items()}
     target = water_level(sizes, {s: [5, 2, 1][i % 3] for i, s in enumerate(sorted(sizes))})
     wanted = defaultdict(int)
