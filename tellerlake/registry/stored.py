@@ -317,11 +317,11 @@ def _(c: Context):
 
 
 @query("stored_payments_page", "payment_key b, member_key b, payment_status s, is_on_time o, payment_ratio d" + _PAGE,
-       _paged_sql("fact_payment", "payment_key", "payment_status='late' AND NOT is_on_time AND payment_date_key BETWEEN 19960101 AND 19960331", 50, 25))
+       _paged_sql("fact_payment", "payment_key", "payment_status='late' AND NOT is_on_time AND payment_date_key BETWEEN 19960101 AND 19960331", 10, 10))
 def _(c: Context):
     """Late payments of a quarter: only its days are read."""
     fact = _warehouse(c, ["payment_history"]).day("fact_payment", "payment_date_key", 19960101, 19960331)
-    return P.filtered_page(fact, "fact_payment", 50, 25, payment_status="late", is_on_time=False)
+    return P.filtered_page(fact, "fact_payment", 10, 10, payment_status="late", is_on_time=False)
 
 
 @query("stored_health_page", "health_key b, member_key b, risk_category s, credit_score_tier s" + _PAGE,
