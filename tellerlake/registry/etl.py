@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as DT
@@ -15,7 +16,9 @@ from ..plans import warehouse as W
 from ..session import work_path
 from ..sources import schemas as SC
 from ..streaming import incremental as I
+from ..streaming import expiry as X
 from ..streaming import query_log as Q
+from ..streaming.incremental import read_stream
 from .base import FIRST_YEAR, LAST_YEAR, Context, query
 from .oracle_tables import ASOF as A
 
@@ -228,6 +231,42 @@ def _(c: Context):
     return Q.read_windows(c.spark, target, [])
 
 
+# Keyed state with expiry
+
+_LOADS_SQL = ("SELECT CAST(member_id AS VARCHAR) AS customer_id, CASE recommendation_status WHEN 'accepted' THEN 'rule_based' ELSE 'ml_similarity' END AS algorithm_type, "
+              "CAST(recommendation_date AS TIMESTAMP) AS created_at FROM product_recommendations WHERE recommendation_status IN ('accepted', 'pending')")
+
+
+@query("documents_expiring_stream", "customer_id s, algorithm_type s, created_at s", f"""
+SELECT customer_id, algorithm_type, max(created_at) AS created_at FROM ({_LOADS_SQL}) GROUP BY ALL
+HAVING max(created_at) >= (SELECT max(created_at) FROM ({_LOADS_SQL})) - INTERVAL 30 DAY""")
+def _(c: Context):
+    """Every version of the customers' documents as a stream of files in no order; documents go 30 days after their last version."""
+    folder, keys = work_path(c.spark, "loads"), ["customer_id", "algorithm_type"]
+    c.src.product_recommendations.filter("recommendation_status in ('accepted', 'pending')").select(
+        F.col("member_id").cast("string").alias("customer_id"),
+        F.when(F.col("recommendation_status") == "accepted", "rule_based").otherwise("ml_similarity").alias("algorithm_type"),
+        F.col("recommendation_date").cast("timestamp").alias("created_at")).repartition(4).write.parquet(folder)
+    loads = read_stream(c.spark, folder, c.spark.read.parquet(folder).schema, files_per_batch=2)
+    return _kept(c, X.expiring(loads, keys, F.col("created_at"), 30), keys).withColumnRenamed("at", "created_at")
+
+
+@query("query_log_recent_counters", "date s, event_type s, user_id b, query_count b", """
+SELECT CAST(ts AS DATE) AS date, event_type, user_id, count(*) AS query_count FROM events
+WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events) - 7 GROUP BY ALL""")
+def _(c: Context):
+    """Daily counters as keyed state; a day's counters go when the log is more than seven days past it."""
+    keys = ["date", "event_type", "user_id"]
+    events = Q.read_events(c.spark, c.folder).withColumn("date", F.to_date("ts"))
+    return _kept(c, X.expiring(events, keys, F.col("date"), 7), keys).withColumnRenamed("n", "query_count")
+
+
+def _kept(c: Context, changes: DataFrame, keys: list[str]) -> DataFrame:
+    target = work_path(c.spark, "changes")
+    X.write_changes(changes, target, work_path(c.spark, "checkpoint")).awaitTermination()
+    return X.kept_rows(c.spark, target, keys)
+
+
 # Data checks
 
 @query("orphan_keys", "constraint_name s, orphans b", " UNION ALL ".join(
