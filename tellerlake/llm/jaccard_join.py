@@ -18,7 +18,9 @@ N = 5
 PERCENT = 80
 COLUMN_BYTES = 10 << 20  # text whose n-grams one column block holds
 BLOCK_ROWS = 400  # documents of one matrix block
-BLOCK_GRAMS = 4096  # n-grams of one matrix block
+BLOCK_GRAMS = 4096  # n-grams of one dense matrix block
+DENSE_FROM = 64  # a column is dense if its pairs are more than one in so many of the block's
+SLICE = 1 << 20  # pairs that one step of a product by lists writes down
 MESSAGE = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("docs", pa.binary()), ("grams", pa.binary())])
 SEEN = np.dtype([("doc", "<u4"), ("n", "<u4"), ("sig", "<u8")])
 META = np.dtype([("n", "<u4"), ("sig1", "<u8"), ("sig2", "<u8"), ("sent", "?")])
@@ -170,13 +172,19 @@ def gatherer(schema: pa.Schema, percent: int):
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], left_n: np.ndarray, right_n: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs (row of left, row of right) are linked.
+    """Which pairs (row of left, row of right) are linked: a pair needs an overlap of percent (m + n) / (100 + percent)."""
+    need = -(-percent * (left_n[:, None] + right_n[None, :]) // (100 + percent))
+    return products(left, right, need) >= need
+
 
-    Both incidence matrices are cut into column blocks; the products of the blocks are added up. A pair needs an
-    overlap of percent (m + n) / (100 + percent). It is dropped by its sizes alone, or as soon as what it has and
-    what is left of the smaller set cannot reach that; the sum ends when no pair is left.
+def products(left: list[np.ndarray], right: list[np.ndarray], need: np.ndarray) -> np.ndarray:
+    """Overlaps of the rows of two incidence matrices, right wherever they reach ``need`` and below it elsewhere.
+
+    Columns that few rows hold are multiplied as lists of rows, at the cost of the pairs that share them; the others,
+    as in blocks of near copies, in dense column blocks, whose products are added up. A pair is dropped by its sizes
+    alone, or as soon as what it has and what is left of the smaller set cannot reach ``need``; the sum ends when no
+    pair is left.
     """
-    need = -(-percent * (left_n[:, None] + right_n[None, :]) // (100 + percent))
     a, b = np.concatenate(left), np.concatenate(right)
     columns = np.intersect1d(a, b)
     row_a, row_b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
@@ -184,26 +192,59 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], left_n: np.ndarray
     def located(values, rows):
         at = np.searchsorted(columns, values)
         hit = (at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == values) if len(columns) else np.zeros(len(values), bool)
-        at, rows = at[hit], rows[hit]
-        order = np.argsort(at, kind="stable")
-        return at[order], rows[order]
+        return at[hit], rows[hit]
 
     at_a, row_a = located(a, row_a)
     at_b, row_b = located(b, row_b)
     left_over, right_over = np.bincount(row_a, minlength=len(left)), np.bincount(row_b, minlength=len(right))
     total = np.zeros(need.shape, dtype=np.float32)
-    for start in range(0, len(columns), BLOCK_GRAMS):
+    if not len(columns) or not (np.minimum(left_over[:, None], right_over[None, :]) >= need).any():
+        return total
+    count_a, count_b = np.bincount(at_a, minlength=len(columns)), np.bincount(at_b, minlength=len(columns))
+    light = DENSE_FROM * count_a * count_b <= need.size
+    # Light columns first, so that either kind is a range of columns; the rows of a column stand together.
+    place = np.empty(len(columns), np.int64)
+    place[np.argsort(~light, kind="stable")] = np.arange(len(columns))
+    sides, lights = [], int(light.sum())
+    for at, rows, over, height in ((at_a, row_a, left_over, len(left)), (at_b, row_b, right_over, len(right))):
+        at = place[at]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], rows[order], over, height))
+    if lights:
+        total += listed_products(sides, lights, need.shape)
+    for start in range(lights, len(columns), BLOCK_GRAMS):
         if not (total + np.minimum(left_over[:, None], right_over[None, :]) >= need).any():
             break
         pair = []
-        for at, rows, over, height in ((at_a, row_a, left_over, len(left)), (at_b, row_b, right_over, len(right))):
+        for at, rows, over, height in sides:
             i, j = np.searchsorted(at, [start, start + BLOCK_GRAMS])
             block = np.zeros((height, min(BLOCK_GRAMS, len(columns) - start)), dtype=np.float32)
             block[rows[i:j], at[i:j] - start] = 1
             over -= np.bincount(rows[i:j], minlength=height)
             pair.append(block)
         total += pair[0] @ pair[1].T
-    return total >= need
+    return total
+
+
+def listed_products(sides: list[tuple], lights: int, shape: tuple[int, int]) -> np.ndarray:
+    """Product of the first ``lights`` columns as lists of rows, in slices of bounded size; takes them off what is left."""
+    cut = [int(np.searchsorted(at, lights)) for at, _, _, _ in sides]
+    (at_a, row_a), (at_b, row_b) = ((at[:c], rows[:c]) for c, (at, rows, _, _) in zip(cut, sides))
+    for rows, (_, _, over, height) in ((row_a, sides[0]), (row_b, sides[1])):
+        over -= np.bincount(rows, minlength=height)
+    begin = np.searchsorted(at_b, at_a)
+    times = np.searchsorted(at_b, at_a, side="right") - begin
+    ends = np.cumsum(times)
+    total = np.zeros(shape[0] * shape[1], dtype=np.int64)
+    i = 0
+    while i < len(at_a):
+        done = int(ends[i] - times[i])
+        j = max(i + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+        mine = np.repeat(np.arange(i, j), times[i:j])
+        other = np.arange(len(mine)) + done - (ends[mine] - times[mine]) + begin[mine]
+        total += np.bincount(row_a[mine] * shape[1] + row_b[other], minlength=len(total))
+        i = j
+    return total.reshape(shape)
 
 
 def forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -283,6 +324,13 @@ def reduced_sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int)
     return answered.groupBy("grp").applyInArrow(gatherer(arrow, percent), f"{out}, node string, set binary, prefix array<long>, centre double")
 
 
+def cells_of(sets: DataFrame) -> DataFrame:
+    """(pivot, node): the cells in which a set is; linked sets have one in common."""
+    prefix = sets.select("node", "centre", F.explode("prefix").alias("gram"))
+    pivots = prefix.groupBy("gram").agg(F.max(F.struct("centre", "node")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return stored(prefix.join(pivots.select("gram", F.col("p.node").alias("pivot")), "gram").select("pivot", "node").distinct(), "jaccard-cells")
+
+
 def links_between(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect the sets as all links do. ``sets``: node, n, set, prefix, centre.
 
@@ -291,9 +339,7 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
     block, with the pivot, is multiplied with itself. Members that are then still unconnected are compared across
     the blocks of their cell (``across``).
     """
-    prefix = sets.select("node", "centre", F.explode("prefix").alias("gram"))
-    pivots = prefix.groupBy("gram").agg(F.max(F.struct("centre", "node")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    cells = stored(prefix.join(pivots.select("gram", F.col("p.node").alias("pivot")), "gram").select("pivot", "node").distinct(), "jaccard-cells")
+    cells = cells_of(sets)
     blocks = cells.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
     heads = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("pivot", "block", F.col("pivot").alias("node"))
     dealt = (cells.filter("node <> pivot").join(blocks, "pivot")
@@ -336,6 +382,79 @@ def across(members: DataFrame, data: DataFrame, roots: DataFrame, percent: int)
     return dealt.join(data, "node").groupBy("pivot", "block1", "block2").applyInArrow(cross_links(percent), "a string, b string")
 
 
+def every_link(percent: int):
+    """All links between two blocks of a cell, or inside one, that no earlier cell of both their ends shows."""
+
+    def link(key: tuple, rows: pa.Table) -> pa.Table:
+        cell, same = key[0].as_py(), key[1].as_py() == key[2].as_py()
+        side, node = rows["side"].to_numpy(), np.array(rows["node"].to_pylist(), dtype=object)
+        sets, n = as_sets(rows), rows["n"].to_numpy().astype(np.int64)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+        ends: list[np.ndarray] = [np.zeros(0, object)] * 2
+        if len(left) and len(right):
+            found = overlaps([sets[i] for i in left], [sets[i] for i in right], n[left], n[right], percent)
+            if same:
+                found = np.triu(found, 1)
+            if found.any():
+                before = [np.array([c for c in cells if c < cell], dtype=np.int64) for cells in rows["cells"].to_pylist()]
+                found &= products([before[i] for i in left], [before[i] for i in right], np.ones(found.shape, np.int64)) < 1
+            i, j = np.nonzero(found)
+            ends = [node[left[i]], node[right[j]]]
+        pairs = [(min(a, b), max(a, b)) for a, b in zip(*ends)]
+        return pa.table({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, schema=pa.schema([("a", pa.string()), ("b", pa.string())]))
+
+    return link
+
+
+def all_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: every link between two sets, once. ``sets`` as for ``links_between``.
+
+    Each cell is cut into bands of set size, so wide that linked sets are in the same or in neighbouring ones, and
+    these into blocks; blocks that may have links are multiplied. A pair that meets in several cells is returned by
+    the first of them. The work of a cell of m like-sized sets is m * m, as is, where they are near copies, its result.
+    """
+    cells = cells_of(sets).select(F.xxhash64("pivot").alias("cell"), "node").distinct()
+    held = cells.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    sized = sets.select("node", "n", F.floor(F.log("n") / (float(np.log(100 / percent)) + 1e-9)).alias("band"))
+    placed = cells.join(sized.select("node", "band"), "node")
+    counts = placed.groupBy("cell", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("of"))
+    blocks = counts.select("cell", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("part"))
+    name = F.concat_ws(":", "band", "part")
+    one = blocks.select("cell", F.col("band").alias("band1"), name.alias("block1"))
+    two = blocks.select("cell", F.col("band").alias("band2"), name.alias("block2"))
+    pairs = one.join(two, "cell").filter("block1 <= block2 and abs(band1 - band2) <= 1").select("cell", "block1", "block2")
+    placed = placed.join(counts, ["cell", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("of"))).select("cell", name.alias("block"), "node")
+    first = placed.join(pairs.withColumn("block", F.col("block1")), ["cell", "block"]).withColumn("side", F.lit(0))
+    second = placed.join(pairs.filter("block1 < block2").withColumn("block", F.col("block2")), ["cell", "block"]).withColumn("side", F.lit(1))
+    dealt = first.union(second).select("cell", "block1", "block2", "side", "node")
+    rows = dealt.join(sets.select("node", "n", "set"), "node").join(held, "node")
+    return rows.groupBy("cell", "block1", "block2").applyInArrow(every_link(percent), "a string, b string")
+
+
+def join_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (doc_id, n_shingles, node) for each row, and (a, b) for each link between two different sets.
+
+    ``node`` names a set, so rows with equal sets share one, which stands for the links among them. Empty sets, of
+    null texts and texts without words, have a node too, but no links.
+    """
+    table = stored(reduced_sets(docs, doc_id, text, n, percent), "jaccard-sets")
+    sets = table.filter("set is not null").select("node", F.col("n_shingles").alias("n"), "set", "prefix", "centre")
+    return table.select("doc_id", "n_shingles", "node"), stored(all_links(sets, percent), "jaccard-links")
+
+
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, n_links for each row: how many other rows it is linked with.
+
+    Rows with equal sets are linked with each other; an empty set has no links.
+    """
+    members, links = join_links(docs, doc_id, text, n, percent)
+    sizes = members.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    both = links.union(links.select("b", "a")).toDF("node", "other")
+    others = both.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("rows").alias("others"))
+    counted = sizes.join(others, "node", "left").select("node", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counted, "node", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; component_id is the smallest doc_id reachable by links.
 

@@ -93,6 +93,72 @@ def test_jaccard_components_of_a_large_group_in_small_blocks(spark, tmp_path, mo
     assert found_components(spark.read.parquet(str(tmp_path / "d"))) == plain_components(rows)
 
 
+def plain_links(rows):
+    """(Links between different sets, links of each row) by comparing all pairs."""
+    sets = [gram_set(t) for _, t in rows]
+    between, own = set(), Counter()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if a and 100 * common >= 80 * (len(a) + len(sets[j]) - common):
+                own[i] += 1
+                own[j] += 1
+                if a != sets[j]:
+                    between.add(frozenset((a, sets[j])))
+    return between, Counter((doc, len(sets[i]), own[i]) for i, (doc, _) in enumerate(rows))
+
+
+def found_links(df):
+    return Counter(tuple(r) for r in jaccard_join.link_counts(df).select("doc_id", "n_shingles", "n_links").collect())
+
+
+def test_all_links_of_the_join(nasty, nothing):
+    rows = [(r.doc_id, r.text) for r in nasty.collect()]
+    between, own = plain_links(rows)
+    assert found_links(nasty) == own
+    members, links = jaccard_join.join_links(nasty)
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert len(pairs) == len(set(pairs)) == len(between) > 2 and all(a < b for a, b in pairs)
+    of_node = defaultdict(set)
+    for r in members.collect():
+        of_node[r.node].add(r.n_shingles)
+    assert all(len(v) == 1 for v in of_node.values()) and jaccard_join.link_counts(nothing).count() == 0
+
+
+def test_all_links_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Groups of near copies that are cut into many blocks and meet in many cells: each link once."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 3)
+    rnd, rows = random.Random(21), []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(160)]
+        for i in range(12):
+            own = base[:]
+            for _ in range(rnd.randint(0, 2)):
+                own[rnd.randrange(160)] = f"x{rnd.random()}"
+            own += [f"tail{group}{i}{j}" for j in range(rnd.randrange(14))]
+            rows += [(len(rows), " ".join(own))] * rnd.choice([1, 1, 2])
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    between, own = plain_links(rows)
+    members, links = jaccard_join.join_links(df)
+    assert links.count() == links.distinct().count() == len(between) > 50
+    assert found_links(df) == own
+
+
+@pytest.mark.parametrize("dense_from", [0, 1, 64, 10**9])
+def test_products_by_lists_and_by_blocks(monkeypatch, dense_from):
+    """Light and dense columns, few or many, give the same overlaps wherever a pair can reach what it needs."""
+    monkeypatch.setattr(jaccard_join, "DENSE_FROM", dense_from)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 8)
+    monkeypatch.setattr(jaccard_join, "SLICE", 5)
+    rnd = np.random.default_rng(dense_from % 1000)
+    sets = [np.unique(np.concatenate((rnd.choice(40, rnd.integers(0, 30)), 100 + rnd.choice(3000, rnd.integers(0, 20))))).astype(np.uint64) for _ in range(50)]
+    exact = np.array([[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:20]])
+    for least in (1, 10, 25):
+        found = jaccard_join.products(sets[:20], sets[20:], np.full(exact.shape, least))
+        assert np.array_equal(found >= least, exact >= least) and np.array_equal(found[exact >= least], exact[exact >= least])
+
+
 def test_words_of_slices():
     """Lower-casing a slice of an array must not touch its neighbours."""
     import pyarrow as pa
