@@ -75,17 +75,27 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def platt(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that make ``sigmoid(slope * logit + offset)`` a probability: Newton steps on smoothed labels."""
+    """Slope and offset that make ``sigmoid(slope * logit + offset)`` a probability: Newton steps on smoothed labels.
+
+    A step is halved until the loss falls; whole steps swing to and fro where the logits part the labels well.
+    """
     ones = label.sum()
     wanted = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
     x, theta = np.stack([logit, np.ones(len(logit))], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
+
+    def loss(at: np.ndarray) -> float:
+        return float((np.logaddexp(0, x @ at) - wanted * (x @ at)).sum())
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - wanted))
-        theta = theta - np.clip(step, -2, 2)
+        slope = x.T @ (p - wanted)
+        step, now = np.linalg.solve(hessian, slope), loss(theta)
+        while np.abs(step).max() >= 1e-9 and loss(theta - step) > now - 1e-4 * (slope @ step):
+            step = step / 2
         if np.abs(step).max() < 1e-9:
             break
+        theta = theta - step
     return max(float(theta[0]), 1e-6), float(theta[1])
 
 
