@@ -154,6 +154,48 @@ def test_neighbours_match_brute_force(spark, monkeypatch, cosine, cell_rows):
         assert [(d, n) for _, d, n in sorted(got[i])] == [(pytest.approx(d, abs=1e-9), n) for d, n in best]
 
 
+@pytest.mark.parametrize("cosine", [True, False])
+def test_large_tables_stream_past_their_queries(spark, monkeypatch, cosine):
+    """Blocks of a few queries, parts, values that single precision confounds, and vectors that are not finite."""
+    for name, value in {"CELL_ROWS": 30, "PIVOTS_FROM": 2, "BLOCK_BYTES": 2000, "PART_BYTES": 7000, "FOUND_ROWS": 100, "TILE": 16}.items():
+        monkeypatch.setattr(NB, name, value)
+    random = np.random.default_rng(7)
+    data = np.round(random.normal(size=(300, 4)), 3) + (0 if cosine else 3000)
+    data[100:120] = data[0] * (1 if cosine else 1 + 1e-9)
+    data[150] = 0.0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = {}
+    for r in NB.nearest(df, 9, id_column="id", vector="v", metric="cosine" if cosine else "l2").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.distance, r.neighbour_id))
+    for i, best in enumerate(brute(range(300), data, data, 9, cosine)):
+        assert [d for _, d, _ in sorted(got[i])] == pytest.approx([d for d, _ in best], abs=2e-8)
+        assert len({n for _, _, n in got[i]}) == 9
+    if not cosine:
+        odd = spark.createDataFrame(rows + [(300, [float("nan")] * 4), (301, [float("inf"), 0.0, 0.0, 0.0])], "id bigint, v array<double>")
+        again = {}
+        for r in NB.nearest(odd, 9, id_column="id", vector="v", metric="l2").collect():
+            again.setdefault(r.query_id, []).append((r.rank, r.distance, r.neighbour_id))
+        assert {i: sorted(v) for i, v in again.items() if i < 300} == {i: sorted(v) for i, v in got.items()} and len(again) == 302
+    asked = spark.createDataFrame([(1000 + i, [float(x) for x in data[i]]) for i in range(0, 300, 50)], "id bigint, v array<double>")
+    for r in NB.nearest(df, 9, id_column="id", vector="v", metric="cosine" if cosine else "l2", queries=asked).collect():
+        assert (r.rank, r.distance, r.neighbour_id) in got[r.query_id - 1000]
+
+
+def test_vectors_are_shuffled_once_for_each_block(spark, monkeypatch):
+    """No row of a piece is emitted that lies beyond the k-th row of the query's own piece."""
+    monkeypatch.setattr(NB, "CELL_ROWS", 50)
+    random = np.random.default_rng(8)
+    data = random.normal(size=(200, 3))
+    packs = [{"reps": np.arange(i, i + 50).tobytes(), "vecs": data[i : i + 50].tobytes(), "radius": 10.0,
+              "bounds": (np.floor(np.sort(((data[i : i + 50, None] - data[None, i : i + 50]) ** 2).sum(2), 1)[:, 4] * 1e9 + 0.5) + 1).tobytes()} for i in range(0, 200, 50)]
+    block = NB._Block(packs[:1], 5, False)
+    for pack in packs:
+        block.visit(np.zeros(3), pack)
+    assert block.rows < 50 * 5 * 4
+    assert len(block.result()) == 250
+
+
 def test_approximate_recall(spark):
     random = np.random.default_rng(4)
     centres = random.normal(size=(10, 16)) * 3
