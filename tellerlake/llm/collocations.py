@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import chunks, hash_strings, lower_words, mix, pieces, raw, stored, strings, text_bytes
 
 #: Text whose graph a task builds at a time, and text whose edges share a bucket.
-CHUNK, BUCKET_BYTES = 4 << 20, 8 << 20
+CHUNK, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Edges that one node may bring to its bucket; a node that may bring more has its edges dealt singly.
 NODE_EDGES = 1 << 20
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -184,9 +184,10 @@ class Graph:
 
     def __init__(self, docs: DataFrame, text: str, lang: str, least: int, hot: int | None = None):
         total = text_bytes(docs, text)
-        hot = max(4, NODE_EDGES // pieces(total, CHUNK)) if hot is None else hot
         rows = docs.select(F.col(text).cast("string").alias("_c_text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_c_lang"))
-        sent = rows.mapInArrow(sender(pieces(total, BUCKET_BYTES), hot), MESSAGE)
+        # A partition is a chunk at least, however little text it has.
+        self.hot = max(4, NODE_EDGES // max(pieces(total, CHUNK), rows.rdd.getNumPartitions())) if hot is None else hot
+        sent = rows.mapInArrow(sender(pieces(total, BUCKET_BYTES), self.hot), MESSAGE)
         fields = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'int' if f.type == pa.int32() else 'long'}" for f in PART)
         parts = stored(sent.groupBy("lang", "bucket", "single").applyInArrow(merger(least), fields), "collocations")
 

@@ -51,6 +51,14 @@ def test_one_pair_of_words_in_most_pieces(spark):
         assert sorted(map(tuple, collocations.collocations(docs, hot=hot).collect())) == expected
 
 
+def test_a_partition_is_a_chunk(spark):
+    """What one node may bring to its bucket stays bounded however many small partitions there are; results do not change."""
+    rows = [("en", f"the common pair w{i % 40} x, the common pair y{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(64)
+    assert collocations.Graph(docs, "text", "lang", 10).hot * 64 <= collocations.NODE_EDGES
+    assert sorted(map(tuple, collocations.collocations(docs).collect())) == plain_collocations(rows, 10, 2000)
+
+
 def test_paths_are_unary(spark):
     """A sentence that only stands whole is one path, whatever stands around it."""
     line = "one two three four five six seven"
