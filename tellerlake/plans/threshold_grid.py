@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, num
-from ..operators.pairing import pair_with
 from . import rules as R
 
 REQUIREMENTS = ["minimum_income_required", "minimum_credit_score", "maximum_debt_to_income"]
@@ -53,9 +52,7 @@ def recommend(features: DataFrame, products: DataFrame, n: int = 5) -> DataFrame
     """What ``rules.recommend`` returns; products are scored for one member of each cell."""
     members = with_cells(features, products)
     cells = members.groupBy(*CELL).agg(F.min_by(F.struct(*features.columns), "member_id").alias("_one"))
-    pairs = pair_with(cells.select(*CELL, F.col("_one.member_id").alias("_cell"), *[F.col(f"_one.{c}") for c in features.columns]),
-                      R.catalogue(products), "product_id").withColumn("score", R.rule_score())
-    best = R.best_per_customer(pairs, "_cell", [F.desc("score"), F.col("product_id")], n)
+    best = R.best_products(cells.select(*CELL, F.col("_one.member_id").alias("_cell"), *[F.col(f"_one.{c}") for c in features.columns]), products, "_cell", n)
     chosen = best.groupBy("_cell").agg(F.collect_list(F.struct("score", "rank", *R.PRODUCT_COLUMNS)).alias("_best"))  # n products
     known = cells.select(*CELL, F.col("_one.member_id").alias("_cell")).join(chosen, "_cell")
     top = members.join(known, CELL).select(*features.columns, F.explode("_best").alias("_b")).select(*features.columns, "_b.*")

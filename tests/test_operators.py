@@ -12,7 +12,8 @@ from tellerlake.operators import checks as C
 from tellerlake.operators import keyed as K
 from tellerlake.operators import neighbours as NB
 from tellerlake.operators import ordered as O
-from tellerlake.operators.pairing import pair_with
+from tellerlake.operators.pairing import first_with, pair_with
+from tellerlake.plans.rules import best_per_customer, falling, recommend
 
 
 def rows(df, *order):
@@ -120,6 +121,37 @@ def test_pairing_is_the_full_product(spark, block):
     assert got == [(m, p, f"p{p}") for m in range(5) for p in range(10)]
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_best_pairs_leave_a_row_alone(spark, block):
+    """n pairs of each row and block, and among them the n first of every customer, also of one with several rows."""
+    left = spark.createDataFrame([(1, 0), (1, 3), (2, 5), (None, 1), (3, None)], "m int, x int")
+    right = spark.createDataFrame([(i, f"p{i % 4}", None if i == 2 else float("nan") if i == 5 else float(i % 3)) for i in range(10)], "p bigint, name string, y double")
+
+    def score(product):
+        return product("y") - F.abs(F.col("x") - product("p") % 5)
+
+    def order(product):
+        return [*falling(score(product)), product("name"), product("p")]
+
+    def top(pairs):
+        by = [F.desc("score"), F.col("name"), F.col("p")]
+        return rows(best_per_customer(pairs.withColumn("score", score(F.col)), "m", by, 2).select("m", "rank", "p", "name"))
+
+    for keep in (None, lambda product: product("p") != 5):
+        cut = first_with(left, right, "p", order, 2, keep, block)
+        every = pair_with(left, right, "p", block)
+        assert top(cut) == top(every if keep is None else every.filter("p <> 5"))
+        assert cut.count() <= 2 * left.count() * (1 if block > 10 else 4)
+
+
+def test_best_products_are_cut_before_any_sort(small):
+    """The window over a customer's products gets a few rows of each, not all."""
+    from tellerlake.registry.recommend import rule_features, rule_products
+
+    plan = recommend(rule_features(small), rule_products(small))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(slice(sort_array(" in plan and "explode(_items" not in plan
+
+
 def brute(ids, data, queries, k, cosine):
     def unit(m):
         norm = np.linalg.norm(m, axis=1, keepdims=True)
