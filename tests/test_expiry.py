@@ -84,3 +84,20 @@ def test_state_is_dropped_with_its_timer(spark):
     assert len(run.kept()) == 20
     gone = run.spark.read.parquet(run.target).filter("gone").count()
     assert gone == 80
+
+
+def test_many_keys_of_every_kind(spark):
+    """Keys keep their types and nulls, and those of a bucket are handled together."""
+    run, base = Run(spark, 5), "a long, d date, t timestamp, b binary, f boolean, m int, x double, s string"
+    end = dt.datetime(2020, 3, 1, 1, 2, 3, 456789)
+    rows = [(None if i % 7 == 0 else 2**60 + i % 50, dt.date(2020, 1, 1 + i % 3), None if i % 5 == 0 else end - dt.timedelta(microseconds=i % 4), bytes([255, i % 3]),
+             i % 2 == 0, None if i % 11 == 0 else i % 6, 0.1 * (i % 5), "" if i % 4 else None, end - dt.timedelta(days=i % 9)) for i in range(3000)]
+    names = [c.split()[0] for c in base.split(", ")]
+    source = run.spark.createDataFrame(rows, base + ", at timestamp").withColumn("m", F.col("m").cast("decimal(20,3)"))
+    source.repartition(3).write.parquet(run.source)
+    stream = read_stream(run.spark, run.source, source.schema, files_per_batch=1)
+    X.write_changes(X.expiring(stream, names, F.col("at"), run.days, 8), run.target, run.checkpoint).awaitTermination()
+    got = X.kept_rows(run.spark, run.target, names).select(*names, "at")
+    want = source.groupBy(*names).agg(F.max("at").alias("at")).filter(F.col("at") >= F.lit(end - dt.timedelta(days=5)))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() > 500
