@@ -297,3 +297,16 @@ def test_embedded_tables(spark):
         assert sorted(map(repr, back.filter(test).collect())) == sorted(map(repr, rows.filter(test).collect())), test
     embedded.write_embedded(rows.filter("false"), folder, "empty", "id")
     assert embedded.scan_embedded(spark, folder, "empty", rows.schema, "id").isEmpty()
+
+def test_numbers_of_a_profile(spark):
+    """A value counts as a number if its text can be read as one, as before, whatever the column's type."""
+    from tellerlake.operators.profiles import number
+
+    texts = ["1", " 1.5 ", "-2e3", "+.5", "5.", "7d", "0x1p3", "0x1.8P-1f", "NaN", "inf", "-Infinity", "+INF", "\t3\n", "1 Main Street", "555-0001", "2001-06-15", "", ".", "e5", "1_0", "\u0661", "nano", "12\n\n", "1e", None]
+    rows = spark.createDataFrame([(t, i * 3**30 if t else None) for i, t in enumerate(texts)], "s string, n long").withColumns({
+        "m": (F.col("n") / 1000).cast("decimal(30,5)"), "x": F.col("n") / 7, "f": (F.col("n") / 7).cast("float"), "d": F.lit(DAY).cast("date"), "t": F.current_timestamp(),
+        "b": F.col("n") > 5, "i": (F.col("n") % 1000).cast("int")})
+    for name in rows.columns:
+        before = F.expr(f"try_cast(try_cast(`{name}` AS STRING) AS DOUBLE)")
+        assert rows.select(name, number(name, rows.schema[name].dataType).alias("now"), before.alias("then")).filter("NOT now <=> then").collect() == [], name
+    assert "rlike" in number("s", rows.schema["s"].dataType)._jc.toString().lower()
