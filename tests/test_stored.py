@@ -310,3 +310,20 @@ def test_numbers_of_a_profile(spark):
         before = F.expr(f"try_cast(try_cast(`{name}` AS STRING) AS DOUBLE)")
         assert rows.select(name, number(name, rows.schema[name].dataType).alias("now"), before.alias("then")).filter("NOT now <=> then").collect() == [], name
     assert "rlike" in number("s", rows.schema["s"].dataType)._jc.toString().lower()
+
+
+def test_files_of_embedded_tables_follow_the_size(spark, monkeypatch):
+    import glob
+    import os
+
+    from conftest import SMALL
+    from tellerlake.registry import Context, stored
+
+    folders = []
+    monkeypatch.setattr(stored, "work_path", lambda *a: folders.append(work_path(*a)) or folders[-1])
+    own = Context(spark, SMALL)  # its options end with it
+    for size in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize"):
+        own.spark.conf.set(f"spark.sql.adaptive.{size}", "4k")
+    rows = stored._embedded(own, "payment_history", "payment_id")
+    assert rows.count() == own.src.payment_history.count()
+    assert len(glob.glob(os.path.join(folders[0], "payment_history", "*.db"))) > 4
