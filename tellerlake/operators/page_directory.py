@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.files import read_parted, write_parted
 
 FILE_ROWS = 1_000_000
+MAX_FILES = 1000  # a larger table has larger files, so that its directory stays small
 
 
 class PagedTable:
@@ -25,7 +26,7 @@ class PagedTable:
     @staticmethod
     def write(rows: DataFrame, folder: str, key: str, counted: list[str] | None = None, file_rows: int = FILE_ROWS) -> PagedTable:
         spark = rows.sparkSession
-        parts = max(1, -(-rows.count() // file_rows))
+        parts = min(MAX_FILES, max(1, -(-rows.count() // file_rows)))
         data = os.path.join(folder, "data")
         rows.repartitionByRange(parts, key).sortWithinPartitions(key).write.mode("overwrite").parquet(data)
         stored = spark.read.schema(rows.schema).parquet(data).withColumn("_file", F.col("_metadata.file_name"))

@@ -327,3 +327,13 @@ def test_files_of_embedded_tables_follow_the_size(spark, monkeypatch):
     rows = stored._embedded(own, "payment_history", "payment_id")
     assert rows.count() == own.src.payment_history.count()
     assert len(glob.glob(os.path.join(folders[0], "payment_history", "*.db"))) > 4
+
+
+def test_a_directory_has_a_bounded_number_of_files(spark, monkeypatch):
+    from tellerlake.operators import page_directory
+
+    monkeypatch.setattr(page_directory, "MAX_FILES", 7)
+    table = page_directory.PagedTable.write(spark.range(1000), work_path(spark, "paged"), "id", file_rows=10)
+    assert table._directory().count() <= 7
+    assert [r.id for r in table.page(500, 20).collect()] == list(range(500, 520))
+    assert sorted(r.id for r in table.lookup(3, 997).collect()) == [3, 997]
