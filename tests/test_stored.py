@@ -337,3 +337,25 @@ def test_a_directory_has_a_bounded_number_of_files(spark, monkeypatch):
     assert table._directory().count() <= 7
     assert [r.id for r in table.page(500, 20).collect()] == list(range(500, 520))
     assert sorted(r.id for r in table.lookup(3, 997).collect()) == [3, 997]
+
+
+def test_exact_answers_of_a_search_are_found_once(spark, monkeypatch):
+    """The rounds of ``tuned`` share one table of answers, and distances are those of the whole vectors."""
+    import numpy as np
+
+    from tellerlake.operators import vector_index
+
+    calls = []
+    monkeypatch.setattr(vector_index.session, "kept", lambda df, label: calls.append(label) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(300, 9))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, embedding array<double>")
+    index = vector_index.VectorIndex.build(rows, work_path(spark, "vi"), cells=12)
+    asked = rows.filter("id % 20 = 0")
+    options, reached = index.tuned(asked, 5, 0.99)
+    assert calls == ["truth"] and reached >= 0.99 and options["probes"] > 4
+    found = index.search(asked, 5, probes=12, kept=300).collect()
+    for r in found:
+        assert abs(r.distance - ((data[r.query_id] - data[r.neighbour_id]) ** 2).sum()) < 1e-8
+    want = {(q, int(n)) for q in range(0, 300, 20) for n in ((data - data[q]) ** 2).sum(1).argsort()[:5]}
+    assert {(r.query_id, r.neighbour_id) for r in found} == want
