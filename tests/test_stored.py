@@ -359,3 +359,22 @@ def test_exact_answers_of_a_search_are_found_once(spark, monkeypatch):
         assert abs(r.distance - ((data[r.query_id] - data[r.neighbour_id]) ** 2).sum()) < 1e-8
     want = {(q, int(n)) for q in range(0, 300, 20) for n in ((data - data[q]) ** 2).sum(1).argsort()[:5]}
     assert {(r.query_id, r.neighbour_id) for r in found} == want
+
+
+def test_a_search_gives_on_the_best_rows_only(spark, monkeypatch):
+    """What leaves the ranking of codes are the rows kept for a query, not those of every cell that it visits."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from tellerlake.operators import vector_index
+
+    ranked, apply = [], PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda *args: ranked.append(apply(*args)) or ranked[-1])
+    rows = vectors(spark, 8, range(400))
+    index = VectorIndex.build(rows, work_path(spark, "vi"), cells=10)
+    asked = rows.filter("id % 20 = 0")
+    whole = sorted(map(tuple, index.search(asked, 5, probes=10, kept=12).collect()))
+    assert ranked[0].count() == 20 * 12
+    for name, value in (("QUERY_BLOCK", 3), ("CHUNK_ROWS", 90), ("BLOCK_ROWS", 7)):  # several blocks, chunks and cuts
+        if hasattr(vector_index, name):
+            monkeypatch.setattr(vector_index, name, value)
+        assert sorted(map(tuple, index.search(asked, 5, probes=10, kept=12).collect())) == whole
