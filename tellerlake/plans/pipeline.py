@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keyed as K
 from ..operators.versions import as_of
+from ..sources.bank import BankSources
 from ..sources.files import append_fact
 from . import warehouse as W
 
@@ -35,11 +36,21 @@ class Job:
     transform: Callable[[DataFrame], DataFrame]
     id_column: str | None = None  # extract only rows above the mark of this id
     date_key: str | None = None  # loads of this job add up and are laid out by this key; others replace the load before
+    finish: Callable[[DataFrame], DataFrame] = lambda rows: rows  # columns of a row alone, taken where the rows are written
+    begin: Callable[[], object] = lambda: None  # called as a run begins
 
 
 def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
-    """Jobs that read each other's written dimensions, not each other's plans."""
-    src = w.src
+    """Jobs that read each other's written dimensions, not each other's plans.
+
+    Four of them read all payments: the first of a run writes these to the work folder.
+    """
+    src, staged = w.src, []
+
+    def paid() -> BankSources:
+        if not staged:
+            staged.append(src.staged("payment_history"))
+        return staged[0]
 
     def done(table: str) -> DataFrame:
         return stored_table(w.spark, folder, table)
@@ -69,10 +80,11 @@ def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
 
     def payments(rows: DataFrame) -> DataFrame:
         if not reloaded("dim_member", "dim_credit_card"):  # one version of each key
-            return W.payment_facts(W.payment_keys(
-                rows, current("dim_member"), current("dim_credit_card"), done("dim_date"), done("dim_payment_method")))
+            new = K.rows_since(paid().payment_history, "payment_id", last_mark(w.spark, folder, "payment_history"))
+            return W.payment_keys(
+                rows, current("dim_member"), current("dim_credit_card"), done("dim_date"), done("dim_payment_method"), stored=new)
         keyed = dated(dated(rows, "dim_member", "member_id", "member_key", "payment_date"), "dim_credit_card", "card_id", "card_key", "payment_date")
-        return W.payment_facts(W.bounded_keys(keyed, done("dim_date"), done("dim_payment_method")))
+        return W.bounded_keys(keyed, done("dim_date"), done("dim_payment_method"))
 
     def health(rows: DataFrame) -> DataFrame:
         if not reloaded("dim_member"):
@@ -81,20 +93,20 @@ def warehouse_jobs(w: W.Warehouse, folder: str) -> list[Job]:
 
     return [
         Job("date_dimension", "generated", "dim_date", lambda: w.dim_date, lambda rows: rows),
-        Job("payment_method", "payment_history", "dim_payment_method", lambda: src.payment_history,
-            lambda rows: W.payment_method_rows(W.payment_method_usage(rows).select("payment_method"))),
+        Job("payment_method", "payment_history", "dim_payment_method", lambda: paid().payment_history,
+            lambda rows: W.payment_method_rows(W.payment_method_usage(rows).select("payment_method")), begin=staged.clear),
         Job("member", "members", "dim_member", lambda: src.members, members),
         Job("credit_card", "credit_cards", "dim_credit_card", lambda: src.credit_cards, cards),
         Job("financial_product", "financial_products", "dim_financial_product", lambda: src.financial_products, W.product_rows),
-        Job("payment_history", "payment_history", "fact_payment", lambda: src.payment_history, payments,
-            "payment_id", "payment_date_key"),
-        Job("financial_health", "financial_health_metrics", "fact_financial_health", lambda: src.financial_health_metrics,
-            health, "metric_id", "assessment_date_key"),
+        Job("payment_history", "payment_history", "fact_payment", lambda: paid().payment_history, payments,
+            "payment_id", "payment_date_key", W.payment_facts, staged.clear),
+        Job("financial_health", "financial_health_metrics", "fact_financial_health", lambda: paid().financial_health_metrics,
+            health, "metric_id", "assessment_date_key", begin=staged.clear),
         Job("recommendation", "product_recommendations", "fact_product_recommendation", lambda: src.product_recommendations,
             lambda rows: W.recommendation_facts(rows, current("dim_member"), done("dim_financial_product"), done("dim_date"), w.asof)),
         Job("card_balance", "payment_history", "fact_credit_card_balance",
-            lambda: W.monthly_balances(src.credit_cards, src.payment_history, w.asof),
-            lambda rows: W.balance_facts(rows, current("dim_credit_card"), done("dim_date"))),
+            lambda: W.monthly_balances(src.credit_cards, paid().payment_history, w.asof),
+            lambda rows: W.balance_facts(rows, current("dim_credit_card"), done("dim_date")), begin=staged.clear),
     ]
 
 
@@ -139,7 +151,10 @@ def run(spark: SparkSession, jobs: list[Job], folder: str, names: list[str] | No
     run_id = uuid.uuid4().hex
     audit = os.path.join(folder, "etl_job_audit_log")
     ended: list[tuple] = []
-    for job in [j for j in jobs if names is None or j.name in names]:
+    wanted = [j for j in jobs if names is None or j.name in names]
+    for job in wanted:
+        job.begin()
+    for job in wanted:
         head = (run_id, job.name, job.source, job.target)
         # the end of a job and the start of the next are one append
         _append(spark, [*ended, (*head, "started", 0, 0, 0.0, None, 0)], AUDIT_SCHEMA, audit)
@@ -164,12 +179,16 @@ def _run_job(spark: SparkSession, job: Job, folder: str) -> tuple[int, int]:
         top = F.coalesce(F.max(job.id_column), F.lit(0)).alias("top")
     read, written = Observation(), Observation()
     count = F.count(F.lit(1)).alias("n")
-    out = job.transform(rows.observe(read, count, top)).observe(written, count)
+    out = job.transform(rows.observe(read, count, top))
     path = os.path.join(folder, job.target, f"load={load}")
+
+    def finish(laid: DataFrame) -> DataFrame:
+        return job.finish(laid).observe(written, count)
+
     if job.date_key:
-        append_fact(out, path, job.date_key, mode="overwrite")
+        append_fact(out, path, job.date_key, "overwrite", finish)
     else:
-        out.write.mode("overwrite").parquet(path)
+        finish(out).write.mode("overwrite").parquet(path)
     if read.get["n"] or not job.id_column:
         _append(spark, [(job.name, job.source, job.target, read.get["top"], read.get["n"], load, bool(job.date_key))], MARK_SCHEMA,
                 os.path.join(folder, "etl_process_tracking"))

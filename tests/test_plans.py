@@ -250,3 +250,44 @@ def test_comparison_with_a_side_missing(spark):
     similar = spark.createDataFrame([("2", ["c"]), ("3", ["d"])], "customer_id string, recommendations array<string>")
     got = {r.customer_id: (r.rule_based, r.ml_based) for r in D.compared(rule, similar).collect()}
     assert got["1"][1] is None and got["3"][0] is None and got["2"][0].recommendations == ["b"] and "4" not in got
+
+
+def test_payments_meet_pairs_of_their_keys(spark, small):
+    """Cards and members by distinct pairs give the rows of the joins one by one, also for null, unknown and repeated keys; the payments are shuffled once."""
+    w = small.wh
+    some = small.src.payment_history.limit(200).localCheckpoint()
+    odd = some.limit(20)
+    payments = some.unionByName(odd.withColumn("card_id", F.lit(None).cast("bigint"))).unionByName(odd.withColumn("member_id", F.lit(None).cast("bigint"))).unionByName(
+        odd.withColumn("member_id", F.lit(-1).cast("bigint"))).unionByName(odd)
+    members = w.current_members.unionByName(w.current_members.filter("member_id % 3 = 0")).localCheckpoint()
+    cards = w.current_cards.unionByName(w.current_cards.filter("card_id % 2 = 0")).localCheckpoint()
+    for how in ("inner", "left"):
+        args = (payments, members, cards, w.dim_date, w.dim_payment_method, how)
+        plain, paired = (df.select("payment_id", "card_id", "member_id", "card_key", "member_key", "payment_date_key") for df in (W.payment_keys(*args), W.payment_keys(*args, stored=payments)))
+        assert plain.count() == paired.count() > 200 and plain.exceptAll(paired).isEmpty()
+
+
+def test_a_run_stages_the_payments_once(small, monkeypatch):
+    from tellerlake.sources.bank import BankSources
+
+    staged, real = [], BankSources.staged
+    monkeypatch.setattr(BankSources, "staged", lambda self, *names: staged.append(names) or real(self, *names))
+    folder = work_path(small.spark, "staged")
+    jobs = PL.warehouse_jobs(small.wh, folder)
+    for run in (1, 2):  # rows that have come since the first run are seen by the second
+        assert PL.run(small.spark, jobs, folder).filter("status <> 'success'").isEmpty()
+        assert staged == [("payment_history",)] * run
+    assert PL.stored_table(small.spark, folder, "fact_payment").count() == small.wh.fact_payment.count()
+
+
+def test_columns_of_a_row_are_derived_after_the_layout(spark):
+    rows, path, seen = spark.range(40).selectExpr("id", "20010100 + id % 3 * 100 + 1 AS day"), work_path(spark, "laid"), []
+
+    def finish(laid):
+        seen.append(laid._jdf.queryExecution().toString())
+        return laid.withColumn("twice", F.col("id") * 2)
+
+    files.append_fact(rows, path, "day", finish=finish)
+    assert "RebalancePartitions" in seen[0] and "twice" not in seen[0]
+    got = spark.read.parquet(path)
+    assert set(got.columns) == {"id", "day", "twice", "key_year", "key_month"} and got.filter("twice = 2 * id AND key_year = 2001 AND key_month = 1 + id % 3").count() == 40
