@@ -38,7 +38,8 @@ class JoinLayout:
 
     The tables are named in the session's catalogue; their files lie in ``folder``. All of them have the same number of
     buckets, which should be a few for each core that reads them. A key with very many rows makes a large bucket, so the
-    layout is for keys that are like a member's, not for a country's.
+    layout is for keys that are like a member's, not for a country's. Rows are written where they lie, a file for each
+    task and bucket: they are not shuffled, and a task sorts its own share of a bucket, not all of it.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int):
@@ -47,7 +48,7 @@ class JoinLayout:
 
     def write(self, name: str, rows: DataFrame) -> None:
         table = f"layout_{name}_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, self.key).write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key)
+        (rows.write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key)
          .option("path", os.path.join(self.folder, name)).saveAsTable(table))
         self._names[name] = table
 

@@ -193,6 +193,18 @@ def test_bucketed_tables_join_without_a_shuffle(small):
     layout.release()
 
 
+def test_rows_of_a_layout_are_written_where_they_lie(small):
+    from tellerlake.plans.stored import JoinLayout
+
+    layout = JoinLayout(small.spark, work_path(small.spark, "layout"), "id", 4)
+    for name in ("a", "b"):
+        layout.write(name, small.spark.range(400).repartition(5).withColumn(name, F.col("id") % 7))
+    assert 4 < len(layout.read("a").inputFiles()) <= 20  # a file for each task and bucket
+    both = layout.read("a").join(layout.read("b"), "id")
+    assert both.count() == 400 and "Exchange hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()
+    layout.release()
+
+
 def test_stored_marts_read_few_files(small):
     from tellerlake.plans import filters as P
     from tellerlake.registry.stored import _warehouse
