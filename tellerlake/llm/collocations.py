@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, hash_strings, lower_words, mix, pieces, raw, stored, strings, text_bytes
 
-#: Text whose graph a task builds at a time, and text whose edges share a bucket.
-CHUNK, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Text whose graph a task builds at a time (some 70 bytes of arrays for each of its bytes), and text whose edges share a bucket.
+CHUNK, BUCKET_BYTES = 2 << 20, 4 << 20
 #: Edges that one node may bring to its bucket; a node that may bring more has its edges dealt singly.
 NODE_EDGES = 1 << 20
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,58 +51,60 @@ def sender(buckets: int, hot: int):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in chunks(batch, "_c_text", CHUNK):
-                chunk = (TaskContext.get().partitionId() << 32) | number
+                yield from graph(part, (TaskContext.get().partitionId() << 32) | number, pack)
                 number += 1
-                out = {name: [] for name in ("lang", "bucket", "single", "chunk", "edges", "numbers")}
-                words, code, text, piece = split_pieces(part["_c_text"])
-                if not len(code):
-                    continue
-                langs = part["_c_lang"].dictionary_encode()
-                lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
-                end = len(words)
-                second, third = np.full(len(code), end), np.full(len(code), end)
-                second[:-1] = np.where(piece[:-1] == piece[1:], code[1:], end)
-                third[:-2] = np.where(piece[:-2] == piece[2:], code[2:], end)
-                _, node = np.unique((lang * (end + 1) + code) * (end + 1) + second, return_inverse=True)
-                key = node * (end + 1) + third
-                order = np.argsort(key, kind="stable")
-                new = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-                place, times = order[new], np.diff(np.append(new, len(order)))  # the first place of each edge
-                lang, first, second, third, node = lang[place], code[place], second[place], third[place], node[place]
-                single = np.bincount(node)[node] > hot
-                noted = np.flatnonzero(single & np.concatenate(([True], node[1:] != node[:-1])))
-
-                word_hash = np.append(hash_strings(words.to_pylist()), np.uint64(1))
-                home = mix(word_hash[first] * np.uint64(0x9E3779B97F4A7C15) + word_hash[second])
-                bucket = np.where(single, mix(home + word_hash[third]), home) % np.uint64(buckets)
-                bucket = np.concatenate([bucket, home[noted] % np.uint64(buckets)]).astype(np.int64)
-                lang, first, second, place = (np.concatenate([x, x[noted]]) for x in (lang, first, second, place))
-                third = np.concatenate([third, np.full(len(noted), end + 1)])
-                times = np.concatenate([times, np.zeros(len(noted), np.int64)])
-                single = np.concatenate([single, np.zeros(len(noted), bool)])
-
-                group = (lang * 2 + single) * buckets + bucket
-                order = np.argsort(group, kind="stable")
-                last = pa.concat_arrays([words, pa.array([b"", MARK], pa.large_binary())])
-                lines = pc.binary_join_element_wise(
-                    words.take(pa.array(first[order])), last.take(pa.array(second[order])),
-                    pc.binary_join_element_wise(last, pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary())).take(pa.array(third[order])),
-                    pa.scalar(b" ", pa.large_binary()))
-                data, bounds = raw(lines)
-                edge = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]))
-                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    own = order[i:j]
-                    out["lang"].append(langs.dictionary[int(lang[own[0]])].as_py())
-                    out["bucket"].append(int(bucket[own[0]]))
-                    out["single"].append(bool(single[own[0]]))
-                    out["chunk"].append(chunk)
-                    out["edges"].append(pack.compress(data[bounds[i] : bounds[j]].tobytes()))
-                    out["numbers"].append(pack.compress(np.concatenate([times[own], place[own]]).astype(np.uint32).tobytes()))
-                    if len(out["lang"]) == 256:
-                        yield pa.RecordBatch.from_pydict(out, schema=_MESSAGE)
-                        out = {name: [] for name in out}
-                if out["lang"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=_MESSAGE)
+
+    def graph(part: pa.RecordBatch, chunk: int, pack: zstandard.ZstdCompressor):  # a function of its own, so that a chunk's arrays are gone when the next one is read
+        out = {name: [] for name in ("lang", "bucket", "single", "chunk", "edges", "numbers")}
+        words, code, text, piece = split_pieces(part["_c_text"])
+        if not len(code):
+            return
+        langs = part["_c_lang"].dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+        end = len(words)
+        second, third = np.full(len(code), end), np.full(len(code), end)
+        second[:-1] = np.where(piece[:-1] == piece[1:], code[1:], end)
+        third[:-2] = np.where(piece[:-2] == piece[2:], code[2:], end)
+        _, node = np.unique((lang * (end + 1) + code) * (end + 1) + second, return_inverse=True)
+        key = node * (end + 1) + third
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        place, times = order[new], np.diff(np.append(new, len(order)))  # the first place of each edge
+        lang, first, second, third, node = lang[place], code[place], second[place], third[place], node[place]
+        single = np.bincount(node)[node] > hot
+        noted = np.flatnonzero(single & np.concatenate(([True], node[1:] != node[:-1])))
+
+        word_hash = np.append(hash_strings(words.to_pylist()), np.uint64(1))
+        home = mix(word_hash[first] * np.uint64(0x9E3779B97F4A7C15) + word_hash[second])
+        bucket = np.where(single, mix(home + word_hash[third]), home) % np.uint64(buckets)
+        bucket = np.concatenate([bucket, home[noted] % np.uint64(buckets)]).astype(np.int64)
+        lang, first, second, place = (np.concatenate([x, x[noted]]) for x in (lang, first, second, place))
+        third = np.concatenate([third, np.full(len(noted), end + 1)])
+        times = np.concatenate([times, np.zeros(len(noted), np.int64)])
+        single = np.concatenate([single, np.zeros(len(noted), bool)])
+
+        group = (lang * 2 + single) * buckets + bucket
+        order = np.argsort(group, kind="stable")
+        last = pa.concat_arrays([words, pa.array([b"", MARK], pa.large_binary())])
+        lines = pc.binary_join_element_wise(
+            words.take(pa.array(first[order])), last.take(pa.array(second[order])),
+            pc.binary_join_element_wise(last, pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary())).take(pa.array(third[order])),
+            pa.scalar(b" ", pa.large_binary()))
+        data, bounds = raw(lines)
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = order[i:j]
+            out["lang"].append(langs.dictionary[int(lang[own[0]])].as_py())
+            out["bucket"].append(int(bucket[own[0]]))
+            out["single"].append(bool(single[own[0]]))
+            out["chunk"].append(chunk)
+            out["edges"].append(pack.compress(data[bounds[i] : bounds[j]].tobytes()))
+            out["numbers"].append(pack.compress(np.concatenate([times[own], place[own]]).astype(np.uint32).tobytes()))
+            if len(out["lang"]) == 256:
+                yield pa.RecordBatch.from_pydict(out, schema=_MESSAGE)
+                out = {name: [] for name in out}
+        if out["lang"]:
+            yield pa.RecordBatch.from_pydict(out, schema=_MESSAGE)
 
     return messages
 

@@ -2,8 +2,12 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from documents import nasty, nothing  # noqa: F401
@@ -67,6 +71,18 @@ def test_paths_are_unary(spark):
     assert [tuple(r) for r in graph.paths().collect()] == [("en", line, 7, 12)]
 
 
+def test_the_graph_of_a_chunk_is_small_beside_an_executor(monkeypatch):
+    monkeypatch.setattr(collocations, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(w) for w in words[np.random.default_rng(1).integers(0, 5000, (80, 20_000))]]
+    batch = pa.RecordBatch.from_pydict({"_c_text": texts, "_c_lang": ["en"] * len(texts)})
+    tracemalloc.start()
+    sent = sum(m.num_rows for m in collocations.sender(8, 10)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent >= 8 and peak < 100e6, peak
+
+
 def test_no_collocations_without_rows(nothing):
     out = collocations.collocations(nothing)
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and out.count() == 0
