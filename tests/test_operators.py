@@ -228,6 +228,18 @@ def test_vectors_are_shuffled_once_for_each_block(spark, monkeypatch):
     assert len(block.result()) == 250
 
 
+def test_few_copies_of_the_vectors_are_sent():
+    """Blocks of queries and parts of the rows: bounded, enough tasks, and far fewer copies than tasks."""
+    width = 38 * 8
+    for n in (150_000, 900_000, 5_400_000):
+        for k in (10, 15, 50):
+            blocks, parts = NB._grid(n, n, width, k)
+            assert blocks * parts >= NB.SEARCH_TASKS and n * width <= min(blocks * NB.BLOCK_BYTES, parts * NB.PART_BYTES)
+            if n < 1_000_000:
+                assert (blocks + parts) * width + parts * k * NB.FOUND_BYTES < 0.9 * (NB.SEARCH_TASKS + 1) * width
+    assert NB._grid(40_000, 100, width, 10) == (1, 20)  # few queries still make many tasks
+
+
 def test_approximate_recall(spark):
     random = np.random.default_rng(4)
     centres = random.normal(size=(10, 16)) * 3
