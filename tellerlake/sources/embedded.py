@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -117,6 +118,23 @@ class Embedded(DataSource):
         return EmbeddedReader(schema, self.options)
 
 
+def _registered(spark: SparkSession) -> str:
+    """The name of the source in this session.
+
+    A session made from one that has registered a name can neither use nor replace it (Spark 4.1), so it takes the next one.
+    """
+    source, number = Embedded, 1
+    while True:
+        try:
+            spark.dataSource.register(source)
+            return source.name()
+        except AnalysisException as taken:
+            if taken.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+                raise
+        number += 1
+        source = type("Embedded", (Embedded,), {"name": classmethod(lambda cls, own=f"embedded_{number}": own)})
+
+
 def scan_embedded(spark: SparkSession, folder: str, table: str, schema: StructType, key: str, partitions: int = 4,
                   where: list[tuple[str, str, object]] | None = None) -> DataFrame:
     """A stored table with the types of ``schema``; dates and decimals are cast from their texts.
@@ -125,12 +143,11 @@ def scan_embedded(spark: SparkSession, folder: str, table: str, schema: StructTy
     all have to hold. They are stated here and not pushed down by the planner, because it keeps what one query pushed
     for all later uses of the same table.
     """
-    spark.dataSource.register(Embedded)
     texts = {f.name for f in schema.fields if f.dataType.typeName() in ("date", "timestamp", "decimal")}
     for column, sign, _ in where or []:
         if sign not in SIGNS or column in texts or column not in schema.names:
             raise ValueError(f"no condition on {column} with {sign}")
     plain = ", ".join(f"`{f.name}` {'string' if f.name in texts else f.dataType.simpleString()}" for f in schema.fields)
     options = {"path": os.path.join(folder, table), "key": key, "partitions": str(partitions), "where": json.dumps(where or [])}
-    rows = spark.read.format("embedded").schema(plain).options(**options).load()
+    rows = spark.read.format(_registered(spark)).schema(plain).options(**options).load()
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in texts else F.col(f.name) for f in schema.fields])
