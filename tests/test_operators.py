@@ -228,6 +228,44 @@ def test_vectors_are_shuffled_once_for_each_block(spark, monkeypatch):
     assert len(block.result()) == 250
 
 
+@pytest.mark.parametrize("cosine", [True, False])
+def test_a_leaf_meets_only_the_queries_that_reach_it(monkeypatch, cosine):
+    """Most pairs are never multiplied, and those that are give the exact answer."""
+    random = np.random.default_rng(11)
+    data = random.normal(size=(40, 6))[random.integers(0, 40, 3000)] + random.normal(size=(3000, 6)) / 5
+    if cosine:
+        data /= np.linalg.norm(data, axis=1, keepdims=True)
+    data, k, pairs = data[NB._by_leaves(data)], 5, []
+    square = lambda a, b: 1.0 - a @ b.T if cosine else ((a[:, None] - b[None]) ** 2).sum(2)
+    packs = [{"reps": np.arange(i, i + 1000).tobytes(), "vecs": data[i : i + 1000].tobytes(), "radius": 10.0,
+              "bounds": (NB._steps(np.sort(square(data[i : i + 1000], data[i : i + 1000]), 1)[:, k - 1]) + 1).tobytes()} for i in range(0, 3000, 1000)]
+    multiply = NB._Block._multiply
+    monkeypatch.setattr(NB._Block, "_multiply", lambda self, queries, rows, *rest: pairs.append(len(queries) * (rows.stop - rows.start)) or multiply(self, queries, rows, *rest))
+    block = NB._Block(packs, k, cosine)
+    for pack in packs:
+        block.visit(data.mean(0), pack)
+    assert sum(pairs) < 0.4 * 3000 * 3000
+    found, steps = block.result(), NB._steps(square(data, data))
+    best = np.argsort(steps, 1, kind="stable")[:, :k]
+    assert found["rep"].tolist() == np.repeat(np.arange(3000), k).tolist()
+    assert np.abs(found["distance"].to_numpy().reshape(-1, k) - np.take_along_axis(steps, best, 1) / NB.QUANTUM).max() < 3e-9
+
+
+def test_six_gigabytes_are_sent_a_dozen_times():
+    """Large blocks of queries: 27 copies of the vectors before."""
+    for k in (10, 15, 50):
+        assert sum(NB._grid(5_060_000, 5_060_000, 38 * 8, k)) <= 15
+
+
+def test_vectors_without_copies_find_no_rows(spark):
+    """Only a vector that comes twice is joined to its rows, also under the same id."""
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(100, [3.0, 1.0]), (3, [3.0, 1.0]), (101, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").filter("v IS NOT NULL")
+    got = NB.nearest(df, 4, id_column="id", vector="v", metric="l2").collect()
+    assert len(got) == 31 * 4
+    assert sorted((r.rank, r.neighbour_id, r.distance) for r in got if r.query_id == 100) == [(1, 3, 0.0), (2, 3, 0.0), (3, 100, 0.0), (4, 2, 1.0)]
+
+
 def test_few_copies_of_the_vectors_are_sent():
     """Blocks of queries and parts of the rows: bounded, enough tasks, and far fewer copies than tasks."""
     width = 38 * 8
