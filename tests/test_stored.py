@@ -390,3 +390,19 @@ def test_a_search_gives_on_the_best_rows_only(spark, monkeypatch):
         if hasattr(vector_index, name):
             monkeypatch.setattr(vector_index, name, value)
         assert sorted(map(tuple, index.search(asked, 5, probes=10, kept=12).collect())) == whole
+
+
+def test_rounds_that_cannot_reach_the_recall_are_not_searched(spark, monkeypatch):
+    """The first number of probes that is searched is the first whose cells hold enough of the answers."""
+    rows = vectors(spark, 8, range(400))
+    index, searched, search = VectorIndex.build(rows, work_path(spark, "vi"), cells=40), [], VectorIndex.search
+    asked = rows.filter("id % 20 = 0")
+
+    def tried(self, *args, **options):
+        searched.append({n: options[n] for n in ("probes", "kept")})
+        return search(self, *args, **options)
+
+    monkeypatch.setattr(VectorIndex, "search", tried)
+    options, reached = index.tuned(asked, 10, 0.95)
+    assert reached >= 0.95 and options["probes"] > 4 and options["kept"] / 100 == 2 ** len([p for p in (4, 8, 16, 32) if p < options["probes"]])
+    assert searched[-1] == options and len(searched) <= 2 and searched[0]["probes"] > 4
